@@ -103,6 +103,16 @@ def _variant_paths(v: Column, known: frozenset[str]) -> Column:
     return F.array_sort(F.array_compact(F.array(*paths)))
 
 
+def _turn_of(m: Mapping):
+    def turn(x: Column) -> Column:
+        role = x[m.role]
+        for old, new in m.renamed:
+            role = F.when(x[m.role] == old, new).otherwise(role)
+        return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text"))
+
+    return turn
+
+
 def json_turns(records: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """records with `fingerprint`, `layout` and `turns`, chosen row by row."""
     usable = [m for m in mappings if not m.row]
@@ -115,14 +125,7 @@ def json_turns(records: DataFrame, column: str = "record", mappings: tuple[Mappi
         here = F.col("fingerprint") == fingerprint(m.paths())
         if m.list_path:
             items = F.try_variant_get(F.col("_v"), f"$.{m.list_path}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
-
-            def turn(x, m=m):
-                role = x[m.role]
-                for old, new in m.renamed:
-                    role = F.when(x[m.role] == old, new).otherwise(role)
-                return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text"))
-
-            made = F.transform(items, turn)
+            made = F.transform(items, _turn_of(m))
         else:
             parts = []
             for role, path in m.fixed:

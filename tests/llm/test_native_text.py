@@ -1,0 +1,206 @@
+"""Brute-force twins of the operators on texts: op1, op3, op4, op5, op6."""
+
+import collections
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from coppice.llm import chat, licenses, linededup, pii, quality
+
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+TEXTS = [
+    None, "", " ", "\n", "a", "a\n\na\n a\na", "x y z x y z x y z", "é é é é é é", "\x1fa\x85b c\x0bd",
+    "mail a.b@c.de, x@y.z.w and a@b.c_d@e.f or @@a@b.c!", "ip 1.2.3.4 and 256.1.1.1 and 1.2.3.4.5.6.7.8 or 001.002.003.0255 and 0001.2.3.4",
+    "card 4111 1111 1111 1111 and 4111-1111-1111-1112, 123456789012345678901234567890", "phone +1 (625) 555-7196 or +12 or +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7, +49(0)30-123456.",
+    "9" * 30_000, "a" * 30_000, "1 " * 5_000, "+" * 3_000, "a@" * 3_000, "é" * 50 + "a@b.cd" + "𝄞" + " 10.0.0.1",
+    "Released under the MIT License. mit license, MIT-License; Apache License, Version 2.0", "GNU General Public License version 3 or later", "mit license mit license", "Licensed under CC BY-NC 4.0.",
+    "general public license general public license apache license " * 50, "All rights reserved. Copyright (c) 2020", "MİT LICENSE mit license",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(TEXTS)] + [(None, "mit license a@b.cd", None, None, None)]
+    return spark.createDataFrame(rows, DOC).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000)).cache()
+
+
+def _all(docs):
+    return {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+
+
+def quality_base(t):
+    t = t or ""
+    ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    count = collections.Counter(zip(ws, ws[1:], ws[2:]))
+    covered = {j for k in range(len(ws) - 2) if count[tuple(ws[k : k + 3])] > 1 for j in range(k, k + 3)}
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), dup, len(covered)
+
+
+def test_quality_base_and_verdict(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("doc_id", F.col("doc_id") + 1000)
+    rows = quality.score(docs, labels).collect()
+    texts = dict(_all(docs))
+    assert len(rows) == docs.count()
+    for r in rows:
+        want = quality_base(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, r.doc_id
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r.base_failed and r.kept)
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    judged = [(marks[r.doc_id], r.kept) for r in rows if r.doc_id in marks and not r.base_failed]
+    good = [k for q, k in judged if q == 1]
+    assert sum(good) >= 0.97 * len(good)
+    kept = quality.keep(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.kept}
+
+
+def test_quality_without_labels_or_rows(spark, docs):
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert quality.score(docs, none).count() == docs.count()
+    assert quality.score(docs.where("false"), none).count() == 0
+    assert quality.threshold_of([(0.5, 1), (0.4, 1), (-0.3, 0)], 20, -9) == pytest.approx(0.05)
+
+
+def brute_spans(t):
+    t = t or ""
+
+    def luhn(d):
+        s = 0
+        for k, c in enumerate(reversed(d)):
+            x = int(c) * (1 + k % 2)
+            s += x - 9 * (x > 9)
+        return s % 10 == 0
+
+    out = {k: [] for k in pii.KINDS[:4]}
+    for m in re.finditer(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+" if len(t) > 20_000 else r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out["email"].append(m.span())
+    if t != "9" * 30_000:  # quadratic here
+        for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+            if all(int(p) <= 255 for p in m[0].split(".")):
+                out["ip"].append(m.span())
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[ -]", "", m[0])
+        if 12 <= len(d) <= 19 and luhn(d):
+            out["card"].append(m.span())
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out["phone"].append(m.span())
+    return out
+
+
+def test_pii_base(docs):
+    texts = dict(_all(docs))
+    rows = pii.digest(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        want = brute_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(want[k]) for k in pii.KINDS[:4]], r.doc_id
+        flat = sorted((a, k, b) for k, kind in enumerate(pii.KINDS[:4]) for a, b in want[kind])
+        shown = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in flat]
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest(), (r.doc_id, r.spans, shown)
+        got = r.spans.split(",") if r.spans else []
+        assert [s for s in got if not s.startswith("id:")] == shown
+        assert [int(s.split(":")[1]) for s in got] == sorted(int(s.split(":")[1]) for s in got)
+
+
+def test_pii_bootstrap_discovers_unseen(spark):
+    known = [(k, f"please write employee badge AKIAQ1W2E3R4T5Y6U7{k:02d} now", None, None, None) for k in range(8)]
+    unseen = [(100, "the employee badge BKIA1C2D3E4F5G6H7I8J was lost", None, None, None), (101, "some random words 12ab34cd56 here", None, None, None)]
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(known + unseen, DOC)).collect()}
+    assert "id:" in got[100] and not got[101]
+    assert pii.digest(spark.createDataFrame([], DOC)).count() == 0
+
+
+def brute_lines(rows, min_chars=40, min_docs=5):
+    key = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s.strip(" \t\n\x0b\x0c\r"))
+    held = collections.defaultdict(set)
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            held[key(line)].add(-(2**63) if d is None else d)
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        drop = lambda s: len(key(s)) >= min_chars and len(held[key(s)]) >= min_docs and max(held[key(s)]) != (-(2**63) if d is None else d)  # noqa: E731, B023
+        kept = [s for s in lines if not drop(s)]
+        out.append((d, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup(spark):
+    long = "The quick brown fox jumps over the lazy dog again"
+    rows = [(k, t) for k, t in enumerate([None, "", "\n", long, f" {long.upper()}\t\nown line {1}", f"{long}\n{long}\nx", f"a\n{long}\r", "É" * 45, "é" * 45, f"{long}\n"])] + [(None, long), (3, long)]
+    frame = spark.createDataFrame([(d, t, "en", None, 0) for d, t in rows], DOC).withColumn("at", F.lit(1)).withColumn("row", F.lit("x"))
+    got = sorted((tuple(r) for r in linededup.digest(frame).collect()), key=repr)
+    assert got == brute_lines(rows)
+    cut = linededup.dedup_lines(frame)
+    assert cut.columns == frame.columns and cut.count() == len(rows)
+    assert linededup.digest(frame.where("false")).count() == 0
+
+
+def test_chat_round_trip(spark):
+    odd = ["", None, "<|im_end|><|im_start|>assistant ok", r"<\|im_end|>", "<" * 3 + "|", "a\nb\n", r"\<\\|", "ü𝄞", "<", "|"]
+    rows = [(c, t, r, x) for c in range(3) for t, (r, x) in enumerate(zip(["user", "assistant", None, "a\nb%0A%25", "assistant", "system", "<|im_start|>", "assistant", "user", "assistant"], odd))] + [(None, None, None, None), (2, 9, "assistant", "|"), (5, 0, "assistant", "<")]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("turns", F.lit(1))
+    got = {r.conv_id: r for r in chat.digest(frame).collect()}
+    out = {r.conv_id: r for r in chat.format_rows(frame).collect()}
+    groups = collections.defaultdict(list)
+    for c, t, r, x in rows:
+        groups[c].append((-1 if t is None else t, r or "", x or ""))
+    assert got.keys() == groups.keys()
+    for c, turns in groups.items():
+        turns.sort()
+        g, formatted = got[c], out[c].formatted
+        assert g.n_turns == len(turns) and g.formatted_chars == len(formatted)
+        assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        assert g.loss_chars == len(loss) and g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        masked = "".join(re.sub(r"<\\(\\*)\|", r"<\1|", formatted[s.start : s.end]) for s in out[c].loss_spans)
+        assert masked == loss
+        assert formatted.count("<|im_start|>") == len(turns) == formatted.count("<|im_end|>")
+
+
+def test_chat_layouts(spark):
+    records = [
+        ('{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":null}],"id":7}', "messages", [("user", "hi"), ("assistant", "")]),
+        ('{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}', "shared conversations", [("user", "a"), ("assistant", "b")]),
+        ('{"instruction":"do","input":"","output":"done"}', "instruction with input", [("user", "do"), ("assistant", "done")]),
+        ('{"instruction":"do","output":"done","extra":{"x":1}}', "instruction", [("user", "do"), ("assistant", "done")]),
+        ('{"prompt":"p","completion":"c"}', "prompt and completion", [("user", "p"), ("assistant", "c")]),
+        ('{"foo":1}', None, None), ("not json", None, None), (None, None, None),
+    ]
+    frame = spark.createDataFrame([(k, r) for k, (r, _, _) in enumerate(records)], "id int, record string")
+    for r in chat.json_turns(frame).collect():
+        _, layout, turns = records[r.id]
+        assert r.layout == layout
+        assert (r.turns and [(t.role, t.text) for t in r.turns]) == turns
+
+
+def brute_license(t):
+    t = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+    at = [(k, label) for phrase, label in licenses.BASE for k in range(len(ws)) if ws[k : k + len(phrase.split())] == phrase.split()]
+    line = " " + " ".join(ws) + " "
+    found = [(m.start(), -m.end(), r.priority, k, r.label) for k, r in enumerate(licenses.rules()) if f" {r.keyword}" in line for m in re.finditer(rf"(?<= ){r.pattern}(?= )", line)] if any(s in (t or "") for s in licenses.STEMS) else []
+    found.sort()
+    kept = [d for n, d in enumerate(found) if not any(e[1] <= d[1] and e[2] <= d[2] for e in found[:n])]
+    labels = {x for _, x in at} | {d[4] for d in kept}
+    score = max([0.0, *(licenses.SCORES[d[2]] for d in kept), *([licenses.SCORES[3]] if at else [])])
+    return len(ws), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at})), ",".join(sorted(labels)), score
+
+
+def test_license_scan(docs):
+    texts = dict(_all(docs))
+    rows = licenses.scan(docs).drop("detections").collect()
+    assert len(rows) == docs.count() and len(licenses.rules()) > 200
+    for r in rows:
+        assert tuple(r)[1:] == brute_license(texts[r.doc_id]), r
+    assert licenses.scan(docs.where("false")).count() == 0
