@@ -6,12 +6,13 @@ it and at 1 from all others, ties going to the rarer pivot.  Two sets within
 distance 0.2 share 80 of 100 shingles of either, so a document that is
 replicated to its nearest 20 of 100 pivots + 1 meets every partner in a region:
 that is the exact boundary window.  Within a region sizes are sorted, and a
-size ratio under 0.8 (again the triangle inequality, against the set of all
-shingles) cuts it.  A region then is joined by document pivots: its first
-document is compared to all others; where that does not connect the region, the
-rest is joined recursively, pairs being left out only if the triangle
-inequality on the distances to document pivots excludes them or if they are
-connected already.
+size ratio under 0.8 (the triangle inequality, against the set of all shingles)
+cuts it.  Two documents within 0.2 share not one but a number of pivots of both
+windows that follows from their sizes; pairs that share fewer are left out,
+exactly.  What is left, and the members of large regions, form groups that are
+joined recursively: a group goes to one task, or to one for every two of its
+blocks, where whole sets are compared and only links that connect
+components come out.
 
 Rarity comes from a table of counts of fixed size over all documents; any order
 of pivots is exact, rare ones first keep regions small.  Equal sets are one
@@ -44,14 +45,10 @@ class Join:
     percent: int = 80
     #: log2 of the cells of the table of counts (8 bytes each).
     table_bits: int = 18
-    #: Regions up to so many documents are listed whole; larger ones are recursed into.
-    region: int = 32
-    #: Comparisons to one document pivot that a task takes.
-    per_task: int = 500
-    #: Further document pivots of large regions before what is left is compared whole.
-    rounds: int = 3
-    #: Documents of a block when large regions are compared block by block.
-    block: int = 256
+    #: Regions up to so many documents are listed, pair by pair; larger ones become a group.
+    region: int = 24
+    #: Documents of a group that go to one task, at most, for each of two blocks.
+    block: int = 1024
 
 
 _BLOCK = 4096
@@ -144,95 +141,56 @@ def _windows(how: Join, table):
 
 
 def _regions(how: Join):
-    """Rows (pivot, n, doc) sorted by pivot and size to regions: listed whole, or as pairs with document pivots."""
+    """Rows (pivot, n, doc) sorted by pivot and size to regions: members and sizes, or edges (first, member) of large ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
-        lead = (None, 0, 0, 0)  # of a large region that goes on: pivot, document pivot, its size, last size
+        lead = None  # of a large region that may go on: pivot, first document, last size
 
         def emit(cols, whole):
-            """Regions of cols; the last one only if whole.  Gives back what is not done yet."""
+            """Regions of cols; gives back rows of a last region that may go on."""
             nonlocal lead
             pivot, n, doc = cols
             size = len(pivot)
-            if not size:
-                return None, cols
             cut = np.ones(size, bool)
             cut[1:] = (pivot[1:] != pivot[:-1]) | (100 * n[:-1] < how.percent * n[1:])
             starts = np.flatnonzero(cut)
             ends = np.append(starts[1:], size)
-            kinds, regions, members = [], [], []
-            rest = size
-            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-                if b == size and not whole and b - a <= how.region:
+            goes_on = lead is not None and lead[0] == pivot[0] and 100 * lead[2] >= how.percent * n[0]
+            members, sizes, rest = [], [], size
+            firsts, others = [], []
+            wanted = (ends - starts > 1) | (ends == size)
+            wanted[0] |= goes_on
+            for a, b in zip(starts[wanted].tolist(), ends[wanted].tolist()):
+                if (a == 0 and goes_on) or b - a > how.region:
+                    first = lead[1] if a == 0 and goes_on else int(doc[a])
+                    part = doc[a:b][doc[a:b] != first]
+                    firsts.append(np.full(len(part), first))
+                    others.append(part)
+                    lead = (pivot[a], first, n[b - 1])
+                elif b == size and not whole:
                     rest = a
-                    break
-                going = lead[0] == pivot[a] and 100 * lead[3] >= how.percent * n[a]
-                if b - a <= how.region and not going:
-                    kinds.append(0)
-                    regions.append(int(pivot[a]))
+                elif b - a > 1:
                     members.append(doc[a:b].tolist())
-                    continue
-                _, leader, least, _ = lead if going else (0, int(doc[a]), int(n[a]), 0)
-                for k in range(a, b):
-                    if 100 * least < how.percent * n[k]:
-                        leader, least = int(doc[k]), int(n[k])
-                    kinds.append(1)
-                    regions.append(int(pivot[a]))
-                    members.append([leader, int(doc[k]), int(n[k])])
-                lead = (pivot[a], leader, least, int(n[b - 1]))
-            else:
-                if not whole:
-                    a, b = int(starts[-1]), size
-                    if b - a == 1:
-                        going = lead[0] == pivot[a] and 100 * lead[3] >= how.percent * n[a]
-                        if going:
-                            kinds.append(1)
-                            regions.append(int(pivot[a]))
-                            members.append([lead[1] if 100 * lead[2] >= how.percent * n[a] else int(doc[a]), int(doc[a]), int(n[a])])
-                            lead = (pivot[a], members[-1][0], lead[2] if members[-1][0] == lead[1] else int(n[a]), int(n[a]))
-                        else:
-                            rest = a
-            batch = None
-            if kinds:
-                batch = pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(regions, pa.int64()), pa.array(members, pa.list_(pa.int64()))], ["kind", "region", "members"])
-            return batch, [c[rest:] for c in cols]
-
-        for batch in batches:
-            cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
-            out, held = emit(cols, False)
-            if out:
-                yield out
-        out, _ = emit(held, True)
-        if out:
-            yield out
+                    sizes.append(n[a:b].tolist())
+            pairs = [np.concatenate(v).tolist() for v in (firsts, others)] if firsts else [[], []]
+            members += [list(e) for e in zip(*pairs)]
+            sizes += [None] * len(pairs[0])
+            return members, sizes, [c[rest:] for c in cols]
 
-    return run
+        def batch_of(members, sizes):
+            return pa.RecordBatch.from_arrays([pa.array(members, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], ["members", "sizes"])
 
-
-def _compare(how: Join):
-    """Rows (p, salt, x, text) by p and salt, the pivot's own row first, to the overlap of x and p."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pivot = None, np.zeros(0, np.uint64)
         for batch in batches:
-            p, salt, x = (batch.column(k).to_numpy() for k in range(3))
-            for first, last, data, offsets in K.text_slices(batch.column(3)):
-                found, owner = shingles(data, offsets, how.words)
-                at = np.searchsorted(owner, np.arange(last - first + 1))
-                out = []
-                for k in range(last - first):
-                    row, own = first + k, found[at[k] : at[k + 1]]
-                    if (p[row], salt[row]) != now:
-                        now, pivot = (p[row], salt[row]), own
-                        if x[row] != p[row]:
-                            raise ValueError(f"no text of document pivot {p[row]}")
-                    elif x[row] != p[row]:
-                        if len(own) and len(pivot):
-                            place = np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)
-                            out.append((p[row], x[row], int(np.count_nonzero(pivot[place] == own)), len(pivot), len(own)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["p", "x", "both", "n_p", "n_x"])
+            cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+            if len(cols[0]):
+                members, sizes, held = emit(cols, False)
+                if members:
+                    yield batch_of(members, sizes)
+        if len(held[0]):
+            members, sizes, _ = emit(held, True)
+            if members:
+                yield batch_of(members, sizes)
 
     return run
 
@@ -266,97 +224,114 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, text string")
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, how: Join) -> DataFrame:
-    """p, x, both (shared shingles), n_p and n_x of pairs(p, x).
+def _links_of(x: list[int], side: list[int], sets: list[np.ndarray], how: Join) -> list[tuple[int, int]]:
+    """Links between the sets of a task, as many as connect their components; with two sides, those across."""
+    rows = len(x)
+    root = list(range(rows))
+
+    def top(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    across = min(side) != max(side)
+    n = [len(s) for s in sets]
+    out = []
+    if rows <= 48:
+        for a in range(rows):
+            for b in range(a + 1, rows):
+                if (across and side[a] == side[b]) or 100 * min(n[a], n[b]) < how.percent * max(n[a], n[b]) or top(a) == top(b):
+                    continue
+                small, large = (sets[a], sets[b]) if n[a] <= n[b] else (sets[b], sets[a])
+                both = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
+                if 100 * both >= how.percent * (n[a] + n[b] - both):
+                    root[top(a)] = top(b)
+                    out.append((x[a], x[b]))
+        return out
+    # all pairs at once: products of the incidence matrix, some columns at a time
+    owner, found = np.repeat(np.arange(rows), n), np.concatenate(sets)
+    _, column, shared = np.unique(found, return_inverse=True, return_counts=True)
+    common = shared[column] > 1
+    owner, column = owner[common], np.unique(column[common], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both, width = np.zeros((rows, rows), np.float32), 2048
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [first, first + width])
+        part = np.zeros((rows, width), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        both += part @ part.T
+    size = np.array(n, np.float32)
+    linked = 100 * both >= how.percent * (size[:, None] + size[None, :] - both)
+    if across:
+        sides = np.array(side)
+        linked &= sides[:, None] != sides[None, :]
+    for a in range(rows):
+        for b in np.flatnonzero(linked[a, a + 1 :]) + a + 1:
+            if top(a) != top(b):
+                root[top(a)] = top(b)
+                out.append((x[a], x[int(b)]))
+    return out
+
+
+def _grouped(how: Join):
+    """Rows (g, i, j, side, x, text) sorted by group and blocks to links."""
 
-    The texts of all x go to their pivots' tasks, the pivot's own first; a pivot
-    with many partners is dealt out over as many tasks as it needs.
-    """
-    parts = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / how.per_task).cast("int").alias("parts"))
-    own = parts.select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("p").alias("x"))
-    dealt = pairs.join(parts, "p").select("p", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("salt"), "x").unionAll(own)
-    dealt = checkpointed(dealt)
-    texts = _texts_of(docs, dealt.select("x").distinct())
-    # repeated rows of a doc_id: one of the texts, the same one everywhere
-    rows = dealt.join(texts.withColumnRenamed("doc_id", "x"), "x").select("p", "salt", "x", "text")
-    rows = rows.repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("x") != F.col("p"), "x")
-    return rows.mapInArrow(_compare(how), "p bigint, x bigint, both bigint, n_p bigint, n_x bigint")
-
-
-def _links(compared: DataFrame, how: Join) -> DataFrame:
-    linked = 100 * F.col("both") >= how.percent * (F.col("n_p") + F.col("n_x") - F.col("both"))
-    return compared.where(linked).select(F.col("p").alias("a"), F.col("x").alias("b"))
-
-
-def _sizes(how: Join, a: str, b: str):
-    return (100 * F.col(a) >= how.percent * F.col(b)) & (100 * F.col(b) >= how.percent * F.col(a))
-
-
-def _block_links(how: Join):
-    """Links between the components of up to two blocks of documents: as many as connect them, no more."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        x, c = table["x"].to_numpy(), table["c"].to_numpy()
-        side, rows = table["side"].to_numpy(), len(x)
-        sets, owners, first = [], [], 0
-        for a, b, data, offsets in K.text_slices(table["text"]):
-            found, owner = shingles(data, offsets, how.words)
-            sets.append(found)
-            owners.append(owner + a)
-        found, owner = np.concatenate(sets), np.concatenate(owners)
-        n = np.bincount(owner, minlength=rows)
-        _, column, shared = np.unique(found, return_inverse=True, return_counts=True)
-        common = shared[column] > 1
-        owner, column = owner[common], np.unique(column[common], return_inverse=True)[1]
-        both = np.zeros((rows, rows), np.float32)
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        width = 4096
-        for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            a, b = np.searchsorted(column, [first, first + width])
-            part = np.zeros((rows, width), np.float32)
-            part[owner[a:b], column[a:b] - first] = 1
-            both += part @ part.T
-        linked = 100 * both >= how.percent * (n[:, None] + n[None, :] - both)
-        linked &= c[:, None] != c[None, :]
-        if side.min() != side.max():
-            linked &= side[:, None] != side[None, :]
-        root = {k: k for k in c.tolist()}
-
-        def top(k):
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        out = []
-        for a, b in zip(*np.nonzero(np.triu(linked))):
-            ca, cb = top(int(c[a])), top(int(c[b]))
-            if ca != cb:
-                root[ca] = cb
-                out.append((int(x[a]), int(x[b])))
-        return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, x, side, sets = None, [], [], []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            sides, ids = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            out = []
+            for first, last, data, offsets in K.text_slices(batch.column(5)):
+                found, owner = shingles(data, offsets, how.words)
+                at = np.searchsorted(owner, np.arange(last - first + 1))
+                for k in range(last - first):
+                    row = first + k
+                    if keys[row] != now:
+                        if len(x) > 1:
+                            out += _links_of(x, side, sets, how)
+                        now, x, side, sets = keys[row], [], [], []
+                    x.append(ids[row])
+                    side.append(sides[row])
+                    sets.append(found[at[k] : at[k + 1]].copy())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+        if len(x) > 1 and (out := _links_of(x, side, sets, how)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     return run
 
 
-def _by_blocks(pool: DataFrame, wide: DataFrame, compared: DataFrame, how: Join) -> DataFrame:
-    """Links in large regions that document pivots left open.
+def _candidates(regions: DataFrame, how: Join) -> DataFrame:
+    """Edges (a, b): pairs that share as many window pivots as sets within the distance must, and those of large regions.
 
-    Regions that share documents form a group.  Its documents are dealt into
-    blocks; every two blocks are compared in one task, which gives only the links
-    that join components, so pairs are counted but never made rows.
+    Of o common shingles the first t stand within t + size - o places of either
+    set, so they are in both windows if t <= window - (size - o).
     """
-    region = wide.groupBy("region").agg(F.min("x").alias("a"))
-    groups = graph.components(wide.join(region, "region").select("a", F.col("x").alias("b")))
-    members = wide.select("x", "c").distinct().join(groups, F.col("x") == F.col("node")).select("x", "c", F.col("component").alias("g"))
-    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / how.block).cast("int").alias("k"))
-    placed = members.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("x"), F.col("k")).cast("int"))
-    dealt = placed.select("g", "x", "c", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    dealt = checkpointed(dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "x", "c"))
-    texts = _texts_of(pool, dealt.select("x").distinct()).withColumnRenamed("doc_id", "x").dropDuplicates(["x"])
-    return dealt.join(texts, "x").groupBy("g", "i", "j").applyInArrow(_block_links(how), "a bigint, b bigint")
+    listed = regions.where("sizes is not null").groupBy("members", "sizes").agg(F.count(F.lit(1)).alias("times"))
+    entry = F.arrays_zip(F.col("members").alias("d"), F.col("sizes").alias("n"))
+    pairs = F.flatten(F.transform(entry, lambda a, k: F.transform(F.slice(entry, k + 2, F.greatest(F.size(entry) - k - 1, F.lit(0))), lambda b: F.struct(F.least(a["d"], b["d"]).alias("a"), F.greatest(a["d"], b["d"]).alias("b"), F.least(a["n"], b["n"]).alias("low"), F.greatest(a["n"], b["n"]).alias("high")))))
+    close = F.filter(pairs, lambda e: 100 * e["low"] >= how.percent * e["high"])
+    counted = listed.select("times", F.explode(close).alias("e")).groupBy("e.a", "e.b", "e.low", "e.high").agg(F.sum("times").alias("shared"))
+    p = how.percent
+    common = F.ceil(F.lit(p) * (F.col("low") + F.col("high")) / (100 + p))
+    need = [F.col(n) + F.floor(-p * F.col(n) / 100) + 1 - (F.col(n) - common) for n in ("low", "high")]
+    chosen = counted.where(F.col("shared") >= F.least(*need)).select("a", "b")
+    return chosen.unionAll(regions.where("sizes is null").select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")))
+
+
+def _linked(frame: DataFrame, candidates: DataFrame, how: Join) -> DataFrame:
+    """Links that connect each component, from the groups of candidates."""
+    groups = checkpointed(graph.components(candidates))
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / how.block).cast("int").alias("k"))
+    placed = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = placed.select(F.col("component").alias("g"), F.col("node").alias("x"), "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "x")
+    texts = _texts_of(frame.where("doc_id is not null"), groups.select("node")).withColumnRenamed("doc_id", "x")
+    rows = dealt.join(texts, "x").select("g", "i", "j", "side", "x", "text").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "x")
+    return rows.mapInArrow(_grouped(how), "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame]:
@@ -369,41 +344,8 @@ def classes(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame]:
     members = sets.select("doc_id", "n", "h1", "h2")
     rows = reps.select(F.explode("pivots").alias("pivot"), "n", F.col("rep").alias("doc"))
     rows = rows.repartition("pivot").sortWithinPartitions("pivot", "n", "doc")
-    found = checkpointed(rows.mapInArrow(_regions(how), "kind int, region bigint, members array<bigint>"))
-    small = found.where("kind = 0").select("members").distinct()
-    large = found.where("kind = 1").select("region", F.col("members")[0].alias("p"), F.col("members")[1].alias("x"), F.col("members")[2].alias("n"))
-
-    pool = checkpointed(_texts_of(frame.where("doc_id is not null"), found.select(F.explode(F.when(F.col("kind") == 0, F.col("members")).otherwise(F.slice("members", 1, 2))).alias("x")).distinct()))
-    # the first document pivot of each region
-    star = small.select(F.col("members")[0].alias("p"), F.explode(F.slice("members", 2, how.region)).alias("x")).unionAll(large.where("p <> x").select("p", "x")).distinct()
-    compared = checkpointed(overlaps(pool, star, how))
-    done = checkpointed(graph.components(_links(compared, how)))
-
-    # further document pivots of the large regions that are not connected yet
-    inside = large.select("region", "x", "n")
-    wide = None
-    for k in range(how.rounds + 1):
-        wide = inside.join(done, F.col("x") == F.col("node"), "left").select("region", "x", "n", F.coalesce("component", "x").alias("c"))
-        open_regions = wide.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct(F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("c").alias("c_p")), F.xxhash64("x", F.lit(k))).alias("pivot")).where("low <> high").select("region", "pivot.*")
-        wide = checkpointed(wide.join(open_regions, "region"))
-        if k == how.rounds or not wide.head(1):
-            break
-        pairs = wide.where(F.col("c") != F.col("c_p")).where(_sizes(how, "n", "n_p")).select("p", "x").distinct()
-        compared = checkpointed(compared.unionAll(overlaps(pool, pairs, how)))
-        done = checkpointed(graph.components(_links(compared, how)))
-
-    # the rest of listed regions: pairs that are not connected
-    listed = checkpointed(small.withColumn("region", F.monotonically_increasing_id()))
-    spread = listed.select("region", F.explode("members").alias("x")).join(done, F.col("x") == F.col("node"), "left").select("region", "x", F.coalesce("component", "x").alias("c"))
-    several = spread.groupBy("region").agg(F.collect_list(F.struct("x", "c")).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    left = several.select(F.explode(F.flatten(F.transform("m", lambda a: F.transform(F.filter(F.col("m"), lambda b: (b["x"] > a["x"]) & (b["c"] != a["c"])), lambda b: F.struct(a["x"].alias("p"), b["x"].alias("x")))))).alias("e")).select("e.p", "e.x")
-    rest = checkpointed(left.distinct().join(compared.select("p", "x"), ["p", "x"], "left_anti"))
-    links = _links(compared, how)
-    if rest.head(1):
-        links = links.unionAll(checkpointed(_links(overlaps(pool, rest, how), how)))
-    # the rest of large regions, block by block
-    if wide.head(1):
-        links = links.unionAll(checkpointed(_by_blocks(pool, wide, compared, how)))
+    regions = checkpointed(rows.mapInArrow(_regions(how), "members array<bigint>, sizes array<bigint>"))
+    links = _linked(frame, _candidates(regions, how), how)
     named = members.join(reps.select("h1", "h2", F.col("n").alias("size"), "rep"), ["h1", "h2"], "left").where("size is null or size = n").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     return named, links
 
