@@ -106,11 +106,11 @@ def bootstrap_ratio(df: DataFrame, cell: str, cluster: str, top: str, bottom: st
 
     Rows are summed by cluster before the shuffle; a task sees one cell's clusters.
     """
-    sums = df.groupBy(cell, cluster).agg(F.sum(top).cast("double").alias("a"), F.sum(bottom).cast("double").alias("b"))
+    sums = df.groupBy(cell, cluster).agg(F.sum(top).cast("double").alias("__a"), F.sum(bottom).cast("double").alias("__b"))
 
     def redraw(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(cluster)
-        a, b, n = frame["a"].to_numpy(), frame["b"].to_numpy(), len(frame)
+        a, b, n = frame["__a"].to_numpy(), frame["__b"].to_numpy(), len(frame)
         rng = np.random.default_rng(seed)
         ratios = np.sort([a[i].sum() / b[i].sum() for i in (rng.integers(0, n, n) for _ in range(draws))])
         low, high = (ratios[math.floor(p * (draws - 1) + 0.5)] for p in (0.025, 0.975))
