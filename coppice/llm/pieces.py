@@ -21,6 +21,7 @@ columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -241,16 +242,41 @@ class Vocabulary:
                     out.append((a - cut, b - cut))
         return out
 
-    def _reach(self, text: str, low: int, high: int, state: tuple[int, int]) -> tuple[list[str | None], int, str | None]:
-        begin = low + state[1]
-        first = text[low + state[0] : begin] or None
-        return self.path(text, begin, first, min(len(text), high + self.longest)), begin, first
+    def _middle(self, text: str, low: int, high: int) -> tuple[list[int], int]:
+        """Unit starts after low and, of these, the last that no state at high reaches below (-1: none).
+
+        No token passes a unit start, so paths from either side of one are independent.
+        """
+        starts = self.cuts(text)
+        starts = starts[(starts >= max(low, 1)) & (starts <= high)].tolist()
+        before = bisect_right(starts, high - self.longest)
+        return starts, starts[before - 1] if before else -1
+
+    def _head(self, text: str, starts: list[int], tail: int, begin: int, first: str | None) -> tuple[int, list[str | None]] | None:
+        """The first unit start at or after begin and the path to it; None if there is none up to tail."""
+        at = bisect_left(starts, begin)
+        if at == len(starts) or starts[at] > tail:
+            return None
+        return starts[at], self.path(text, begin, first, starts[at])
 
     def matrix(self, text: str, low: int, high: int) -> list[tuple[int, int, int, int]]:
         """(entry, exit) pairs of weight 0 of the chunk from low to high; others are minus infinity."""
         exits, out = self.states(text, high), []
+        starts, tail = self._middle(text, low, high)
+        open_exits: list[tuple[int, int]] = []
+        if tail >= 0:
+            last = self.path(text, tail, None, high)
+            open_exits = [(a, b) for a, b in exits if high + a == tail or last[high + a] is not None]
+            open_exits = [(a, b) for a, b in open_exits if self.fits(None if high + a == tail else last[high + a], text[high + a : high + b])]
         for entry in self.states(text, low):
-            last, begin, first = self._reach(text, low, high, entry)
+            begin = low + entry[1]
+            first = text[low + entry[0] : begin] or None
+            if head := self._head(text, starts, tail, begin, first):
+                # every entry that reaches a unit start reaches every exit that the last one opens
+                if head[0] == begin or head[1][head[0]] is not None:
+                    out += [(*entry, *leave) for leave in open_exits]
+                continue
+            last = self.path(text, begin, first, min(len(text), high + self.longest))
             for a, b in exits:
                 if (high + a, high + b) == (low + entry[0], begin):  # the entry's token reaches over a short last chunk
                     out.append((*entry, a, b))
@@ -264,9 +290,17 @@ class Vocabulary:
         """Ids of the tokens after the entry's up to and with the exit's."""
         if (high + leave[0], high + leave[1]) == (low + entry[0], low + entry[1]):
             return []
-        last, begin, _ = self._reach(text, low, high, entry)
-        tokens = [*self.back(last, begin, high + leave[0]), text[high + leave[0] : high + leave[1]]]
-        return [i for t in tokens for i in self.token_ids(t)]
+        begin, end = low + entry[1], high + leave[0]
+        first = text[low + entry[0] : begin] or None
+        starts, tail = self._middle(text, low, high)
+        if head := self._head(text, starts, tail, begin, first):
+            inner = starts[bisect_left(starts, head[0]) : bisect_right(starts, tail)]
+            ids = [i for t in self.back(head[1], begin, head[0]) for i in self.token_ids(t)]
+            ids += np.frombuffer(b"".join(self.unit(text[a:b]) for a, b in zip(inner, inner[1:])), np.int32).tolist()
+            tokens = self.back(self.path(text, tail, None, end), tail, end)
+        else:
+            ids, tokens = [], self.back(self.path(text, begin, first, end), begin, end)
+        return ids + [i for t in [*tokens, text[end : high + leave[1]]] for i in self.token_ids(t)]
 
 
 Edges = list[tuple[int, int, int, int]]
