@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -90,6 +91,36 @@ def test_planted_passages_are_found(spark):
     assert chains.passages(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_passages_survive_what_lies_around_them(spark):
+    exact, seed = [f"p{k}" for k in range(50)], [f"s{k}" for k in range(8)]
+    other, middle = [f"q{k}" for k in range(40)], [f"r{k}" for k in range(60)]
+    texts = {
+        1: " ".join([*exact, *(f"a{k}" for k in range(20)), *seed, *(f"b{k}" for k in range(30))]),
+        2: " ".join([*exact, *(f"c{k}" for k in range(20)), *seed, *(f"d{k}" for k in range(30))]),
+        10: " ".join([*other[:20], *(f"e{k}" for k in range(20)), *other[20:]]), 11: " ".join(middle),
+        12: " ".join([*other[:20], *(f"f{k}" for k in range(20)), *other[20:], *middle]),
+    }
+    got = chains.passages(spark.createDataFrame(list(texts.items()), SCHEMA)).collect()
+    assert any(r.doc_id == 2 and r.src_doc_id == 1 and r.start_word <= 0 and r.end_word >= 50 for r in got), got
+    assert any(r.doc_id == 12 and r.src_doc_id == 11 and r.start_word <= 60 and r.end_word >= 120 for r in got), got
+    assert all(r.identity >= 0.8 and r.n_equal == round(r.identity * (r.end_word - r.start_word)) for r in got)
+
+
+def test_accepted_pieces_equal_brute_force():
+    how, rng = chains.Chaining(min_words=6), np.random.default_rng(3)
+    for _ in range(300):
+        equal = rng.random(40) < rng.choice([0.5, 0.7, 0.9])
+        wanted = np.zeros(40, bool)
+        for a in range(40):
+            for b in range(a + 6, 41):
+                if equal[a] and equal[b - 1] and 10 * equal[a:b].sum() >= 8 * (b - a):
+                    wanted[a:b] = True
+        found = np.zeros(40, bool)
+        for a, b in chains.accepted(equal, how):
+            found[a:b] = True
+        assert (found == wanted).all()
+
+
 def test_pipeline_stages(spark, sf_dir):
     names = table(spark, sf_dir, "documents").columns
     docs = table(spark, sf_dir, "documents")
