@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -106,6 +107,31 @@ def test_passages_survive_what_lies_around_them(spark):
     assert all(r.identity >= 0.8 and r.n_equal == round(r.identity * (r.end_word - r.start_word)) for r in got)
 
 
+def test_every_copy_in_a_document_is_found(spark):
+    shared = [f"p{k}" for k in range(60)]
+    parts = [w for c in "abc" for w in [*shared, *(f"{c}{k}" for k in range(40))]]
+    texts = {1: " ".join(["x y z", *shared]), 2: " ".join(parts), 3: " ".join(["w", *shared, "v"]), 4: "same " * 3000, 5: "same " * 4000}
+    got = chains.passages(spark.createDataFrame(list(texts.items()), SCHEMA)).collect()
+    assert sorted((r.start_word, r.end_word) for r in got if r.doc_id == 2) == [(0, 60), (100, 160), (200, 260)]
+    assert [(r.start_word, r.end_word) for r in got if r.doc_id == 3] == [(1, 61)]
+    assert [(r.start_word, r.end_word, r.src_doc_id) for r in got if r.doc_id == 5] == [(0, 4000, 4)]
+
+
+def test_matches_over_batch_borders():
+    rows = sorted((int(s), int(d), int(a)) for s, d, a in np.random.default_rng(5).integers(0, 6, (150, 3)))
+    wanted = []
+    for s in range(6):
+        places = {d: min(a for u, e, a in rows if (u, e) == (s, d)) for d in sorted({e for u, e, _ in rows if u == s})}
+        docs = list(places)
+        for u, d, a in rows:
+            if u == s:
+                wanted += [(d, p, a, places[p]) for p in {docs[0], docs[max(docs.index(d) - 1, 0)]} if p != d]
+    for size in (1, 2, 7, 150):
+        cut = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size])], ["seed", "doc", "at"]) for k in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in chains._matches(iter(cut)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(wanted)
+
+
 def test_accepted_pieces_equal_brute_force():
     how, rng = chains.Chaining(min_words=6), np.random.default_rng(3)
     for _ in range(300):
