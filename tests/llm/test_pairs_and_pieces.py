@@ -117,6 +117,23 @@ def test_every_copy_in_a_document_is_found(spark):
     assert [(r.start_word, r.end_word, r.src_doc_id) for r in got if r.doc_id == 5] == [(0, 4000, 4)]
 
 
+def test_stated_identity_is_found(spark):
+    rows = []
+    for d in range(0, 200, 2):
+        base = [f"w{d}x{k}" for k in range(50)]
+        for k, w in enumerate([[f"l{d}x{k}" for k in range(20)] + base, [w if k != 25 else f"new{d}x{k}" for k, w in enumerate(base)] + [f"r{d}x{k}" for k in range(20)]]):
+            rows.append((d + k, " ".join(w)))
+    got = {(r.doc_id, r.src_doc_id) for r in chains.passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(d + 1, d) for d in range(0, 200, 2)}
+
+
+def test_extension_goes_over_indels():
+    base = list(range(60))
+    copy = [*base[:20], 901, *base[20:33], *base[34:47], 902, 903, *base[47:]]
+    for d, s, seed in ((copy, base, (0, 0, 8)), (copy, base, (len(copy) - 8, 52, 8)), (base, copy, (0, 0, 8))):
+        assert sum(n for _, _, n in chains.align(d, s, [seed])) == 59
+
+
 def test_matches_over_batch_borders():
     rows = sorted((int(s), int(d), int(a)) for s, d, a in np.random.default_rng(5).integers(0, 6, (150, 3)))
     wanted = []
