@@ -13,6 +13,7 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -93,11 +94,13 @@ FAMILIES = (
     ("wtfpl", "wtfpl", r"wtfpl", ("1", "2")),
     ("wtfpl", "the fuck you want", r"do what the fuck you want to public licen[sc]e", ("1", "2")),
     ("bsd", "bsd", r"bsd(?: style)? licen[sc]e", ()),
-    ("0bsd", "bsd", r"(?:zero clause bsd|0bsd|bsd 0 clause)(?: licen[sc]e)?", ()),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|2 clause bsd|two clause bsd|bsd 2 clause)(?: licen[sc]e)?", ()),
+    ("0bsd", "bsd", r"(?:zero clause bsd|bsd 0 clause)(?: licen[sc]e)?", ()),
+    ("0bsd", "0bsd", r"0bsd(?: licen[sc]e)?", ()),
+    ("bsd-2-clause", "freebsd", r"freebsd(?: licen[sc]e)?", ()),
+    ("bsd-2-clause", "bsd", r"(?:simplified bsd|2 clause bsd|two clause bsd|bsd 2 clause)(?: licen[sc]e)?", ()),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|3 clause bsd|three clause bsd|bsd 3 clause)(?: licen[sc]e)?", ()),
     ("bsd-4-clause", "bsd", r"(?:original bsd|4 clause bsd|four clause bsd|bsd 4 clause)(?: licen[sc]e)?", ()),
-    ("odbl", "open database", r"open(?: data commons)? database licen[sc]e", ("1 0",)),
+    ("odbl", "open", r"open(?: data commons)? database licen[sc]e", ("1 0",)),
     ("odc-by", "open data commons", r"open data commons attribution licen[sc]e", ("1 0",)),
     ("cdla-permissive", "community data", r"community data licen[sc]e agreement permissive", ("1 0", "2 0")),
     ("cdla-sharing", "community data", r"community data licen[sc]e agreement sharing", ("1 0",)),
@@ -122,7 +125,9 @@ TEXTS = (
     Rule("proprietary", "rights reserved", r"all rights reserved", 4),
     Rule("copyright", "copyright", r"copyright(?: c)?(?: [12][0-9]{3})*", 4),
     Rule("copyleft", "copyleft", r"copyleft", 4),
-    Rule("licensed", "license", r"(?:licensed|released|distributed) under(?: the)?(?: terms of)?(?: the)?", 4),
+    Rule("licensed", "licensed under", r"licensed under(?: the)?(?: terms of)?(?: the)?", 4),
+    Rule("licensed", "released under", r"released under(?: the)?(?: terms of)?(?: the)?", 4),
+    Rule("licensed", "distributed under", r"distributed under(?: the)?(?: terms of)?(?: the)?", 4),
     Rule("licensed", "licence", r"(?:licenced|see the licence|this licence)", 4),
     Rule("no-warranty", "warrant", r"without warrant(?:y|ies)(?: or conditions)? of any kind", 4),
 )
@@ -159,12 +164,22 @@ def _rule_array(chosen: tuple[Rule, ...]) -> Column:
     return F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(f" {r.keyword}").alias("keyword"), F.lit(rf"(?<= ){r.pattern}(?= )").alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(k).alias("rule")) for k, r in enumerate(chosen)))
 
 
+def _always(pattern: str) -> str:
+    """A pattern without its groups: what every match holds."""
+    while (less := re.sub(r"\((?:\?[:!])?[^()]*\)\??", "", pattern)) != pattern:
+        pattern = less
+    return pattern
+
+
+#: Keywords of the rules that match without `licen`; a text with neither holds no detection and no base phrase.
+BARE = tuple(sorted({r.keyword for r in rules() if "licen" not in _always(r.pattern)}))
+STEMS = ("licen", *sorted({k.split()[0] for k in BARE}))
+_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_BARE = rf"(?i)(?:^|{_BREAK})(?:{'|'.join(k.replace(' ', _BREAK + '+') for k in BARE)})"
+
+
 def _gate(text: Column) -> Column:
-    low = F.lower(text)
-    gate = F.lit(False)
-    for stem in STEMS:
-        gate = gate | F.contains(low, F.lit(stem))
-    return gate
+    return F.contains(lowered(text), F.lit("licen")) | text.rlike(_BARE)
 
 
 def _base(words: Column) -> list[Column]:

@@ -204,3 +204,50 @@ def test_license_scan(docs):
     for r in rows:
         assert tuple(r)[1:] == brute_license(texts[r.doc_id]), r
     assert licenses.scan(docs.where("false")).count() == 0
+
+
+def every(parsed):
+    """A string for each choice of a parsed pattern's branches and options; repeats once at least where they must."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            kind, value = str(arg[0][0]), arg[0][1]
+            more = ["w" if kind == "CATEGORY" else chr(value if kind == "LITERAL" else value[0])]
+        elif op == "SUBPATTERN":
+            more = every(arg[3])
+        elif op == "BRANCH":
+            more = [s for part in arg[1] for s in every(part)]
+        elif op == "MAX_REPEAT":
+            more = ([""] if arg[0] == 0 else []) + [s * max(arg[0], 1) for s in every(arg[2])]
+        else:
+            assert op == "ASSERT_NOT", op
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_filters_change_no_result(spark):
+    texts = []
+    for r in licenses.rules():
+        for s in every(re._parser.parse(r.pattern)):
+            assert f" {r.keyword}" in f" {s} ", (r, s)
+            assert "licen" in s or re.search(licenses._BARE, s), (r, s)
+        texts.append(s.upper().replace(" ", "\n-"))
+    named = {
+        "Apache 2.0": "apache-2.0", "MPL 2.0": "mpl-2.0", "EPL-1.0": "epl-1.0", "CDDL 1.0": "cddl-1.0", "EUPL 1.2": "eupl-1.2", "WTFPL": "wtfpl", "BSD-3-Clause": "bsd-3-clause",
+        "a 3 clause BSD": "bsd-3-clause", "CeCILL": "cecill", "in the public\ndomain": "public-domain", "All rights\nreserved": "proprietary", "Creative\nCommons Attribution 4.0": "cc-by-4.0",
+        "FreeBSD": "bsd-2-clause", "0BSD": "0bsd", "CC\nBY 4.0": "cc-by-4.0", "Open Data Commons Database Licence": "odbl", "a simple example": "",
+    }
+    rows = list(enumerate([*named, *texts]))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k, t in rows:
+        line = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())) + " "
+        found = sorted((m.start(), -m.end(), r.priority, n, r.label) for n, r in enumerate(licenses.rules()) for m in re.finditer(rf"(?<= ){r.pattern}(?= )", line))
+        kept = [d for n, d in enumerate(found) if not any(e[1] <= d[1] and e[2] <= d[2] for e in found[:n])]
+        assert {d[4] for d in kept} <= set(got[k].labels.split(",")), t
+        assert [(d.label, d.start, d.end) for d in got[k].detections] == [(d[4], d[0], -d[1]) for d in kept], t
+    for k, label in enumerate(named.values()):
+        assert label in got[k].labels.split(","), rows[k]
