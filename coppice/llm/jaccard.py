@@ -358,7 +358,23 @@ def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """The documents, with all their columns, that are the first of their component."""
-    first = join(docs, how).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else kept
+    """The documents, with all their columns, that are the first of their component.
+
+    A row of a null doc_id is its own component and stays.  Rows that share a doc_id
+    and differ in text are judged each by itself: all but one of them come after all
+    other documents.  Of those of equal text the least by all its columns stays.
+    """
+    key = F.xxhash64("doc_id", "text")
+    rows, null = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    several = checkpointed(rows.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("doc_id", "low"))
+    own = F.col("doc_id")
+    placed = rows.withColumn("_own", own)
+    if not several.isEmpty():
+        late = key.bitwiseAND(F.lit((1 << 63) - 1)).bitwiseOR(F.lit(1 << 62))
+        placed = rows.join(several, "doc_id", "left").withColumn("_own", F.when(F.col("low").isNull() | (key == F.col("low")), own).otherwise(late)).select(*docs.columns, "_own")
+    first = join(placed.select(F.col("_own").alias("doc_id"), "text"), how).where("doc_id = component_id").select(F.col("doc_id").alias("_own")).distinct()
+    kept = placed.join(first, "_own", "left_semi").select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.min(F.struct(*others)).alias("row") if others else F.lit(None).alias("row")
+    one = kept.groupBy("doc_id", "text").agg(row)
+    return one.select(*(c if c in ("doc_id", "text") else F.col(f"row.{c}").alias(c) for c in docs.columns)).unionAll(null)

@@ -67,6 +67,13 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in brute_components(texts).values()})
 
 
+def test_null_and_repeated_ids_stay(spark):
+    rows = [(None, "one two three", 3), (None, "one two three", 3), (None, "other words here", 1), (None, None, 2), (7, "first text of seven", 2), (7, "first text of seven", 1), (7, "a second text", 5), (8, "one two three", 0), (9, "one two three", 0), (6, None, 1), (6, None, 1), (8, "a second text", 0), (8, "a third text", 0)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, n int"))
+    assert kept.columns == ["doc_id", "text", "n"]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([*rows[:4], rows[5], rows[6], rows[7], rows[9], rows[12]], key=repr)
+
+
 @pytest.mark.parametrize("chunk", [pieces.CHUNK_CHARS, 64])
 def test_encoding_equals_the_library(spark, sf_dir, chunk):
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").limit(60).collect()}
