@@ -4,8 +4,10 @@ Base finders (email, ip, card, phone) and secrets of known shape are the seed
 entities.  Every identifier-like token stands in a lexical pattern: the two
 words before it and the token's shape.  Patterns and instances form a graph,
 scored in turns: a pattern's confidence is the smoothed share of confident
-instances, an instance's the confidence of its best pattern.  Patterns of high
-confidence and support add the tokens that no finder knew (kind `id`).
+instances, an instance's the confidence of its best pattern.  Instances that are
+believed support patterns like seeds do, and rounds go on until none adds a
+pattern.  Patterns of high confidence and support add the tokens that no finder
+knew (kind `id`); a secret of known shape is one of them in any context.
 
 Texts are read once, in a narrow pass; only identifiers, patterns and spans are
 shuffled.  All is done in DataFrame functions.
@@ -34,13 +36,14 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: A token of 8 or more with a digit, and secrets of known shape.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{8,}+"
+#: A token of 8 or more with a digit, or one of known shape without; and secrets of known shape.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|(?:AKIA[A-Z]{16}|ghp_[A-Za-z]{36}|xox[abpr]-[A-Za-z-]{10,}+|sk-[A-Za-z_-]{20,}+)(?![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{8,}+"
 SECRET = r"^(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 
 
 @dataclass(frozen=True)
 class Bootstrap:
+    #: Rounds at least.
     rounds: int = 3
     #: Added to a pattern's count of instances: rare patterns are not trusted.
     smoothing: float = 1.0
@@ -98,17 +101,23 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 def _scored_patterns(tokens: DataFrame, how: Bootstrap) -> DataFrame:
-    """The patterns that are trusted after the last round."""
-    edges = checkpointed(tokens.groupBy("pattern", F.xxhash64("text").alias("instance")).agg(F.max("seed").alias("seed")))
-    instance = edges.withColumn("belief", F.col("seed").cast("double"))
-    patterns = None
-    for k in range(how.rounds):
-        patterns = instance.groupBy("pattern").agg((F.sum("belief") / (F.count(F.lit(1)) + how.smoothing)).alias("confidence"), F.sum(F.col("seed").cast("bigint")).alias("seeds"))
-        if k + 1 < how.rounds:
-            trusted = patterns.where(F.col("seeds") >= how.min_seeds).select("pattern", "confidence")
-            believed = edges.join(trusted, "pattern", "left").groupBy("instance").agg(F.max(F.greatest(F.col("seed").cast("double"), F.coalesce("confidence", F.lit(0.0)))).alias("belief"))
-            instance = edges.join(believed, "instance")
-    return patterns.where((F.col("confidence") >= how.min_confidence) & (F.col("seeds") >= how.min_seeds)).select("pattern")
+    """The patterns that are trusted once a round adds none; a believed instance supports them like a seed.
+
+    In the first rounds all patterns of enough support raise beliefs, then trusted ones only.  Beliefs never fall.
+    """
+    edges = tokens.groupBy("pattern", F.xxhash64("text").alias("instance")).agg(F.max("seed").cast("double").alias("belief"))
+    instance, known, k = checkpointed(edges), -1, 0
+    while True:
+        support = F.sum((F.col("belief") >= how.min_confidence).cast("bigint"))
+        scored = instance.groupBy("pattern").agg((F.sum("belief") / (F.count(F.lit(1)) + how.smoothing)).alias("confidence"), support.alias("support"))
+        able = checkpointed(scored.where(F.col("support") >= how.min_seeds).select("pattern", "confidence"))
+        trusted = able.where(F.col("confidence") >= how.min_confidence)
+        count, k = trusted.count(), k + 1
+        if k >= how.rounds and count == known:
+            return trusted.select("pattern")
+        known = count if k >= how.rounds else -1
+        raised = instance.join(able if k < how.rounds else trusted, "pattern", "left").groupBy("instance").agg(F.max(F.greatest("belief", F.coalesce("confidence", F.lit(0.0)))).alias("belief"))
+        instance = checkpointed(instance.select("pattern", "instance").join(raised, "instance"))
 
 
 def find(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
@@ -117,9 +126,9 @@ def find(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     base = F.concat(*KINDS[:4])
     flagged = F.transform("tokens", lambda t: F.struct(t.alias("t"), F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])).alias("known")))
     tokens = found.where(F.size("tokens") > 0).select("doc_id", "key", F.explode(flagged).alias("x")).select("doc_id", "key", "x.t.*", "x.known")
-    tokens = tokens.withColumn("seed", (F.col("known") | F.col("text").rlike(SECRET)).cast("int"))
+    tokens = tokens.withColumn("secret", F.col("text").rlike(SECRET)).withColumn("seed", (F.col("known") | F.col("secret")).cast("int"))
     trusted = _scored_patterns(tokens, how)
-    added = tokens.where("not known").join(trusted, "pattern", "left_semi").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("id"))
+    added = tokens.where("not known").join(trusted.withColumn("trusted", F.lit(True)), "pattern", "left").where("secret or trusted").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("id"))
     joined = found.alias("f").join(added.alias("a"), F.col("f.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("f.key.a") == F.col("a.key.a")) & (F.col("f.key.b") == F.col("a.key.b")), "left")
     return joined.select("f.doc_id", *(f"f.{k}" for k in KINDS[:4]), F.coalesce("a.id", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("id"))
 
