@@ -45,3 +45,13 @@ def row_key(text: Column | None = None) -> Column:
     """Tells rows of one doc_id with different texts apart (16 bytes)."""
     text = text_of() if text is None else text
     return F.struct(F.xxhash64(text).alias("a"), F.hash(text, F.lit(17)).alias("b"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner", parts: int = 16) -> DataFrame:
+    """left joined to right, which has one row for a value of `on`; a value may hold most rows of left.
+
+    The rows of a value are dealt out by the hash of the column `by`, and right is repeated for each part.
+    """
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    repeated = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(repeated, [on, "_part"], how).drop("_part")

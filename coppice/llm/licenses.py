@@ -1,9 +1,11 @@
 """License scans (6): ordered signature rules behind a keyword prefilter.
 
 Texts become words (A-Z lowered, ASCII punctuation dropped) joined by single
-spaces, on which hundreds of signature rules stand.  Only texts that hold one
-of a few stems are turned into words at all; of the rules only those whose
-keyword occurs are run.  A detection that lies within another one of the same or
+spaces, on which the signature rules stand: written ones for license texts and
+hints, and one for each version of each license family.  A text that holds no
+rule's keyword is done after that; of the rules only those are run whose
+literals (keyword, version) all occur.  These filters follow from the rules and
+hold no detection back.  A detection that lies within another one of the same or
 a higher priority is suppressed.  Everything is one narrow pass: no shuffle.
 
 Defined results: a null or empty text has no words, no labels and score 0;
@@ -20,19 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lowered, text_of
-from .spans import match_spans
+from .spans import let, match_spans, running
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words where A-Z are not lowered yet.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, and words where A-Z are not lowered yet.
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Base phrases with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 #: Priorities, first wins: a stated identifier or license text, a name with version, a name, a hint.
 SCORES = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.3}
-#: A text without any of these holds no detection of any rule.
-STEMS = ("licen", "copyright", "copyleft", "spdx", "public domain", "rights reserved", "creative commons", "hereby granted", "redistribution and use", "cc by", "cc-by", "cc0", "gpl", "warranties", "warranty")
 
 
 @dataclass(frozen=True)
@@ -41,6 +40,8 @@ class Rule:
     keyword: str
     pattern: str
     priority: int
+    #: A literal that every match holds beside the keyword.
+    also: str = ""
 
 
 # Families as (label, keyword, pattern of the name, versions).
@@ -144,24 +145,25 @@ def rules() -> tuple[Rule, ...]:
             full = f"{label}-{v.replace(' ', '.')}"
             # version 3 0 contains version 3 0 or later's beginning: the longer interval suppresses it
             number = rf"(?: version| v)? (?:v)?{v}(?! [0-9])" if " " not in v else rf"(?: version| v)? (?:v)?{v}"
-            out.append(Rule(full, keyword, name + number, 2))
-            out.append(Rule(full + "-or-later", keyword, name + number + r" (?:or(?: at your option)?(?: any)? (?:later|newer)(?: version)?|and later)", 1))
-            out.append(Rule(full, "spdx", rf"spdx license identifier {label.replace('-', ' ')} {v}(?: only)?", 1))
+            out.append(Rule(full, keyword, name + number, 2, v))
+            out.append(Rule(full + "-or-later", keyword, name + number + r" (?:or(?: at your option)?(?: any)? (?:later|newer)(?: version)?|and later)", 1, v))
+            out.append(Rule(full, "spdx", rf"spdx license identifier {label.replace('-', ' ')} {v}(?: only)?", 1, v))
         out.append(Rule(label, keyword, name, 3))
     for short, long in CC_PARTS:
         label = "cc-" + short.replace(" ", "-")
         for v in CC_VERSIONS:
             full = f"{label}-{v.replace(' ', '.')}"
-            out.append(Rule(full, "cc", rf"cc {short} {v}", 2))
-            out.append(Rule(full, "creative commons", rf"creative commons {long}(?: international| unported| generic)?(?: licen[sc]e)? {v}", 2))
+            out.append(Rule(full, "cc", rf"cc {short} {v}", 2, v))
+            out.append(Rule(full, "creative commons", rf"creative commons {long}(?: international| unported| generic)?(?: licen[sc]e)? {v}", 2, v))
         out.append(Rule(label, "cc", rf"cc {short}", 3))
         out.append(Rule(label, "creative commons", rf"creative commons {long}", 3))
-    return tuple(out)
+    # two families of one label share its identifiers
+    return tuple(dict.fromkeys(out))
 
 
 def _rule_array(chosen: tuple[Rule, ...]) -> Column:
     """A constant array; patterns stand on whole words."""
-    return F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(f" {r.keyword}").alias("keyword"), F.lit(rf"(?<= ){r.pattern}(?= )").alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(k).alias("rule")) for k, r in enumerate(chosen)))
+    return F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(f" {r.keyword}").alias("keyword"), F.lit(r.also).alias("also"), F.lit(rf"(?<= ){r.pattern}(?= )").alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(k).alias("rule")) for k, r in enumerate(chosen)))
 
 
 def _always(pattern: str) -> str:
@@ -171,15 +173,14 @@ def _always(pattern: str) -> str:
     return pattern
 
 
-#: Keywords of the rules that match without `licen`; a text with neither holds no detection and no base phrase.
-BARE = tuple(sorted({r.keyword for r in rules() if "licen" not in _always(r.pattern)}))
-STEMS = ("licen", *sorted({k.split()[0] for k in BARE}))
-_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_BARE = rf"(?i)(?:^|{_BREAK})(?:{'|'.join(k.replace(' ', _BREAK + '+') for k in BARE)})"
-
-
-def _gate(text: Column) -> Column:
-    return F.contains(lowered(text), F.lit("licen")) | text.rlike(_BARE)
+def _able(line: Column, chosen: tuple[Rule, ...]) -> Column:
+    """Whether a word string holds `licen`, as all base phrases do, or a keyword of a rule that matches without it."""
+    bare: dict[str, set[str]] = {}
+    for r in chosen:
+        if "licen" not in _always(r.pattern):
+            bare.setdefault(r.keyword[0], set()).add(r.keyword[1:])
+    # the first letter is read once for all words that share it
+    return F.contains(line, F.lit("licen")) | line.rlike(" (?:" + "|".join(f"{c}(?:{'|'.join(sorted(rest))})" for c, rest in sorted(bare.items())) + ")")
 
 
 def _base(words: Column) -> list[Column]:
@@ -199,25 +200,31 @@ def _base(words: Column) -> list[Column]:
     return [n, F.least(*first), F.greatest(*last), F.array_compact(F.array(*labels))]
 
 
-def detections(words: Column, chosen: tuple[Rule, ...] | None = None) -> Column:
-    """Detections that no other suppresses: struct of kept (label, start, end, priority) in the word string."""
-    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    able = F.filter(_rule_array(chosen or rules()), lambda r: F.contains(line, r["keyword"]))
-    one = lambda r: F.transform(match_spans(line, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))
-    ordered = F.array_sort(F.flatten(F.transform(able, one)))
-    kinds = sorted(SCORES)
-    zero = F.struct(*(F.lit(-1).cast("bigint").alias(f"m{k}") for k in kinds), F.array().cast("array<struct<label:string,start:bigint,end:bigint,priority:int>>").alias("kept"))
+def detections(line: Column, chosen: tuple[Rule, ...]) -> Column:
+    """Detections that no other suppresses: (label, start, end, priority) in the word string."""
+
+    def of_rule(r: Column) -> Column:
+        return F.transform(match_spans(line, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))
+
+    able = F.filter(_rule_array(chosen), lambda r: F.contains(line, r["keyword"]) & F.contains(line, r["also"]))
+
+    def judged(ordered: Column) -> Column:
+        # in this order whatever contains a detection came before it
+        def reach_of(most: int) -> Column:
+            return running(F.transform(ordered, lambda d: F.when(d["priority"] <= most, -d["neg_end"]).otherwise(F.lit(-1)).cast("bigint")), F.greatest, -1)
+
+        covered = F.arrays_zip(*(reach_of(k).alias(f"m{k}") for k in sorted(SCORES)))
+
+        def mark(d: Column, m: Column) -> Column:
+            most = F.lit(-1).cast("bigint")
+            for k in sorted(SCORES):
+                most = F.when(d["priority"] == k, m[f"m{k}"]).otherwise(most)
+            return F.struct(d["label"].alias("label"), d["start"].alias("start"), (-d["neg_end"]).alias("end"), d["priority"].alias("priority"), (most < -d["neg_end"]).alias("kept"))
 
-    def step(acc, d):
-        end = -d["neg_end"]
-        # in this order whatever contains d came before it
-        reach = F.when(d["priority"] == kinds[0], acc[f"m{kinds[0]}"])
-        for k in kinds[1:]:
-            reach = reach.when(d["priority"] == k, F.greatest(*(acc[f"m{j}"] for j in kinds if j <= k)))
-        item = F.struct(d["label"].alias("label"), d["start"].alias("start"), end.alias("end"), d["priority"].alias("priority"))
-        return F.struct(*(F.when(d["priority"] == k, F.greatest(acc[f"m{k}"], end)).otherwise(acc[f"m{k}"]).alias(f"m{k}") for k in kinds), F.when(reach >= end, acc["kept"]).otherwise(F.array_append(acc["kept"], item)).alias("kept"))
+        kept = F.filter(F.zip_with(ordered, covered, mark), lambda d: d["kept"])
+        return F.transform(kept, lambda d: F.struct(d["label"].alias("label"), d["start"].alias("start"), d["end"].alias("end"), d["priority"].alias("priority")))
 
-    return F.aggregate(ordered, zero, step, lambda acc: acc["kept"])
+    return let(F.array_sort(F.flatten(F.transform(able, of_rule))), judged)
 
 
 _KEPT = "array<struct<label:string,start:bigint,end:bigint,priority:int>>"
@@ -225,13 +232,18 @@ _KEPT = "array<struct<label:string,start:bigint,end:bigint,priority:int>>"
 
 def scan(docs: DataFrame, chosen: tuple[Rule, ...] | None = None) -> DataFrame:
     """doc_id, n_words, the base columns, `detections`, labels and score."""
-    text = text_of()
-    gated = docs.select("doc_id", F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("bigint").alias("n_words"), F.when(_gate(text), F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))).alias("words"))
-    has = F.col("words").isNotNull()
-    n, first, last, base = _base(F.coalesce("words", F.array().cast("array<string>")))
+    chosen = chosen or rules()
+    body = lowered(F.btrim(F.regexp_replace(text_of(), BREAK, " "), F.lit(" ")))
+    texts = docs.select("doc_id", body.alias("body"))
+    line = F.concat(F.lit(" "), F.col("body"), F.lit(" "))
+    blanks = F.octet_length("body") - F.octet_length(F.replace("body", F.lit(" "), F.lit("")))
+    n_words = F.when(F.col("body") == "", 0).otherwise(blanks + 1).cast("bigint")
+    gated = texts.select("doc_id", n_words.alias("n_words"), F.when(_able(line, chosen), F.col("body")).alias("body"))
+    has = F.col("body").isNotNull()
+    n, first, last, base = _base(F.split("body", " ", -1))
     found = gated.select(
         "doc_id", "n_words", F.when(has, n).otherwise(F.lit(0)).cast("bigint").alias("n_base"), F.when(has, first).cast("bigint").alias("first_word"), F.when(has, last).cast("bigint").alias("last_word"),
-        F.when(has, base).otherwise(F.array().cast("array<string>")).alias("base"), F.when(has, detections(F.col("words"), chosen)).otherwise(F.array().cast(_KEPT)).alias("detections"),
+        F.when(has, base).otherwise(F.array().cast("array<string>")).alias("base"), F.when(has, let(line, lambda x: detections(x, chosen))).otherwise(F.array().cast(_KEPT)).alias("detections"),
     )
     best = F.array_min(F.transform("detections", lambda d: d["priority"]))
     worth = F.lit(0.0)

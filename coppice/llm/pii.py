@@ -25,8 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key, text_of
-from .spans import match_spans
+from .common import checkpointed, row_key, spread_join, text_of
+from .spans import SPAN, let, match_spans, running
 
 # The kinds in order, and their patterns.  Possessive repeats and
 # the guards at run starts change no match; they keep long runs linear.
@@ -64,7 +64,7 @@ def _digits(text: Column) -> Column:
 def base_spans(text: Column) -> dict[str, Column]:
     """For each base kind the array of (start, end, gap, text) of its valid matches."""
     ip_ok = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
-    none = F.array().cast("array<struct<start:bigint,end:bigint,gap:string,text:string>>")
+    none = F.array().cast(SPAN)
 
     def card_ok(s):
         digits = _digits(s["text"])
@@ -80,30 +80,53 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _shape(token: Column) -> Column:
-    """Class of a token: digits, hex, upper-case or mixed, with its length up to 40."""
+    """Class of a token: digits, hex, upper-case or mixed, with its length."""
     kind = F.when(token.rlike("^[0-9]+$"), "9").when(token.rlike("^[0-9a-f]+$"), "f").when(token.rlike("^[0-9A-Z]+$"), "A").otherwise("x")
-    return F.concat(kind, F.least(F.char_length(token), F.lit(40)).cast("string"))
+    return F.concat(kind, F.char_length(token).cast("string"))
 
 
 def _pattern(gap: Column, token: Column) -> Column:
-    """The two words before a token, lowered, digits as 0, and its shape."""
-    before = F.regexp_extract(F.right(gap, F.lit(80)), r"(?:\S+\s+)?\S*\s*$", 0)
+    """The two words before a token, as far as the token before it, lowered, digits as 0, and its shape."""
+    # from the end, so that only these words are read
+    before = F.reverse(F.regexp_extract(F.reverse(gap), r"^\s*+\S*+(?:\s++\S++)?+", 0))
     return F.concat(F.regexp_replace(F.lower(F.regexp_replace(before, r"\s+", " ")), "[0-9]", "0"), F.lit("\t"), _shape(token))
 
 
+def _flagged(tokens: Column, base: Column) -> Column:
+    """The tokens, each with `known`: whether a base span overlaps it.
+
+    Both are sorted together; a base span that starts before a token overlaps it if
+    the furthest end of these does, one that starts after if the next start does.
+    """
+    far = 2**62
+    marks = F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("token"), s["end"].alias("end"), F.lit("").alias("text"), F.lit("").alias("pattern")))
+    items = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("token"), t["end"].alias("end"), t["text"].alias("text"), t["pattern"].alias("pattern")))
+
+    def judged(both: Column) -> Column:
+        ends = F.transform(both, lambda x: F.when(x["token"] == 0, x["end"]).otherwise(F.lit(0).cast("bigint")))
+        starts = F.transform(F.reverse(both), lambda x: F.when(x["token"] == 0, x["start"]).otherwise(F.lit(far)))
+        reach = F.arrays_zip(running(ends, F.greatest).alias("end"), F.reverse(running(starts, F.least, far)).alias("start"))
+        flag = F.zip_with(both, reach, lambda x, r: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["pattern"].alias("pattern"), (x["token"] == 1).alias("token"), ((r["end"] > x["start"]) | (r["start"] < x["end"])).alias("known")))
+        return F.filter(flag, lambda x: x["token"])
+
+    return let(F.array_sort(F.concat(marks, items)), judged)
+
+
 def _found(docs: DataFrame) -> DataFrame:
-    """doc_id, key, spans by kind (start, end) and identifier-like tokens, without texts."""
+    """doc_id, key, spans by kind (start, end) and identifier-like tokens (known: within a base span), without texts."""
     body = docs.select("doc_id", text_of().alias("text"))
     spans = body.select("doc_id", row_key(F.col("text")).alias("key"), *(c.alias(k) for k, c in base_spans(F.col("text")).items()), match_spans(F.col("text"), TOKEN).alias("tokens"))
     slim = {k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS[:4]}
     tokens = F.transform("tokens", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), _pattern(s["gap"], s["text"]).alias("pattern")))
-    return spans.select("doc_id", "key", *(c.alias(k) for k, c in slim.items()), tokens.alias("tokens"))
+    found = spans.select("doc_id", "key", *(c.alias(k) for k, c in slim.items()), tokens.alias("tokens"))
+    return found.withColumn("tokens", F.when(F.size("tokens") > 0, _flagged(F.col("tokens"), F.concat(*KINDS[:4]))))
 
 
 def _scored_patterns(tokens: DataFrame, how: Bootstrap) -> DataFrame:
     """The patterns that are trusted once a round adds none; a believed instance supports them like a seed.
 
     In the first rounds all patterns of enough support raise beliefs, then trusted ones only.  Beliefs never fall.
+    A pattern may hold most instances and an instance most patterns: joins are spread.
     """
     edges = tokens.groupBy("pattern", F.xxhash64("text").alias("instance")).agg(F.max("seed").cast("double").alias("belief"))
     instance, known, k = checkpointed(edges), -1, 0
@@ -116,19 +139,19 @@ def _scored_patterns(tokens: DataFrame, how: Bootstrap) -> DataFrame:
         if k >= how.rounds and count == known:
             return trusted.select("pattern")
         known = count if k >= how.rounds else -1
-        raised = instance.join(able if k < how.rounds else trusted, "pattern", "left").groupBy("instance").agg(F.max(F.greatest("belief", F.coalesce("confidence", F.lit(0.0)))).alias("belief"))
-        instance = checkpointed(instance.select("pattern", "instance").join(raised, "instance"))
+        likely = spread_join(instance, able if k < how.rounds else trusted, "pattern", "instance", "left")
+        raised = likely.groupBy("instance").agg(F.max(F.greatest("belief", "confidence")).alias("raised"), F.min("belief").alias("low")).where("raised > low").drop("low")
+        instance = checkpointed(spread_join(instance, raised, "instance", "pattern", "left").select("pattern", "instance", F.greatest("belief", "raised").alias("belief")))
 
 
 def find(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     """doc_id and, for each kind, its spans; `id` are those that the bootstrap adds."""
     found = checkpointed(_found(docs))
-    base = F.concat(*KINDS[:4])
-    flagged = F.transform("tokens", lambda t: F.struct(t.alias("t"), F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])).alias("known")))
-    tokens = found.where(F.size("tokens") > 0).select("doc_id", "key", F.explode(flagged).alias("x")).select("doc_id", "key", "x.t.*", "x.known")
+    tokens = found.where(F.size("tokens") > 0).select("doc_id", "key", F.explode("tokens").alias("x")).select("doc_id", "key", "x.start", "x.end", "x.text", "x.pattern", "x.known")
     tokens = tokens.withColumn("secret", F.col("text").rlike(SECRET)).withColumn("seed", (F.col("known") | F.col("secret")).cast("int"))
     trusted = _scored_patterns(tokens, how)
-    added = tokens.where("not known").join(trusted.withColumn("trusted", F.lit(True)), "pattern", "left").where("secret or trusted").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("id"))
+    judged = spread_join(tokens.where("not known"), trusted.withColumn("trusted", F.lit(True)), "pattern", "key", "left")
+    added = judged.where("secret or trusted").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("id"))
     joined = found.alias("f").join(added.alias("a"), F.col("f.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("f.key.a") == F.col("a.key.a")) & (F.col("f.key.b") == F.col("a.key.b")), "left")
     return joined.select("f.doc_id", *(f"f.{k}" for k in KINDS[:4]), F.coalesce("a.id", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("id"))
 
@@ -145,5 +168,7 @@ def _listed(kinds: tuple[str, ...]) -> Column:
 
 
 def digest(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
+    """The contract's columns, then n_id (spans that the method adds) and n_found (all spans)."""
     found = find(docs, how)
-    return found.select("doc_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS[:4]), F.sha2(_listed(KINDS[:4]), 256).alias("base_sha256"), _listed(KINDS).alias("spans"))
+    sizes = [F.size(k).cast("bigint") for k in KINDS]
+    return found.select("doc_id", *(n.alias(f"n_{k}") for k, n in zip(KINDS[:4], sizes)), F.sha2(_listed(KINDS[:4]), 256).alias("base_sha256"), _listed(KINDS).alias("spans"), sizes[4].alias("n_id"), (sizes[0] + sizes[1] + sizes[2] + sizes[3] + sizes[4]).alias("n_found"))
