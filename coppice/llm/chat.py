@@ -2,8 +2,10 @@
 
 A record's layout is the set of its nested field paths, of those that any
 registered mapping knows (others are extra columns and change nothing).  Its
-hash, the fingerprint, selects the mapping.  Columns give paths through their
-schema, JSON strings through schema_of_variant, row by row.
+hash, the fingerprint, selects the mapping; a fingerprint of no mapping takes the
+largest mapping whose paths all occur.  Columns give paths through their schema,
+JSON strings through the keys of their objects and of the elements of their
+lists, row by row.
 
 Defined results: a null text or role is empty; a null record, or one of unknown
 layout, has null turns and its fingerprint; turns of one conversation are
@@ -25,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spans import let, running
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -59,6 +63,7 @@ MAPPINGS = (
     Mapping("instruction", fixed=(("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction with input", fixed=(("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("input",)),
     Mapping("instruction with system", fixed=(("system", "system"), ("user", "instruction"), ("assistant", "output")), optional=("system",)),
+    Mapping("instruction with system and input", fixed=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("system", "input")),
     Mapping("prompt and completion", fixed=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt and response", fixed=(("user", "prompt"), ("assistant", "response"))),
     Mapping("question and answer", fixed=(("user", "question"), ("assistant", "answer"))),
@@ -91,15 +96,18 @@ def select_mapping(schema: T.StructType, mappings: tuple[Mapping, ...] = MAPPING
     raise ValueError(f"no mapping for the layout {sorted(found)}")
 
 
+def _keys(v: Column) -> Column:
+    """Keys of an object; none of anything else."""
+    return F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
+
+
 def _variant_paths(v: Column, known: frozenset[str]) -> Column:
-    """Sorted known paths of a variant: top-level keys, and keys of lists of objects."""
-    shown = F.schema_of_variant(v)
-    top = F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
+    """Sorted known paths of a variant: its keys, and those of the elements of its lists, whatever these hold besides."""
+    top = _keys(v)
     paths = [F.when(F.array_contains(top, p), F.lit(p)) for p in sorted(known) if "." not in p]
-    for p in sorted(k for k in known if "." in k):
-        head, leaf = p.split(".")
-        body = F.regexp_extract(shown, rf"(?<![A-Za-z0-9_`]){head}: ARRAY<OBJECT<([^<>]*)>>", 1)
-        paths.append(F.when(body.rlike(rf"(^|[ ,]){leaf}: "), F.lit(p)))
+    for head in sorted({k.split(".")[0] for k in known if "." in k}):
+        inner = F.flatten(F.transform(F.coalesce(F.try_variant_get(v, f"$.{head}", "array<variant>"), F.array().cast("array<variant>")), _keys))
+        paths += [F.when(F.array_contains(inner, p.split(".", 1)[1]), F.lit(p)) for p in sorted(known) if p.startswith(head + ".")]
     return F.array_sort(F.array_compact(F.array(*paths)))
 
 
@@ -119,10 +127,13 @@ def json_turns(records: DataFrame, column: str = "record", mappings: tuple[Mappi
     known = frozenset().union(*(m.paths() for m in usable))
     v = F.try_parse_json(F.col(column))
     frame = records.withColumn("_v", v)
-    frame = frame.withColumn("fingerprint", F.substring(F.sha2(F.array_join(_variant_paths(F.col("_v"), known), "\n"), 256), 1, 16))
+    frame = frame.withColumn("_paths", _variant_paths(F.col("_v"), known))
+    frame = frame.withColumn("fingerprint", F.substring(F.sha2(F.array_join("_paths", "\n"), 256), 1, 16))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for m in reversed(usable):
-        here = F.col("fingerprint") == fingerprint(m.paths())
+    # last the mapping of the fingerprint; before it, where there is none, the largest whose paths all occur
+    exact = [(F.col("fingerprint") == fingerprint(m.paths()), m) for m in usable]
+    within = [(F.size(F.array_intersect("_paths", F.array(*map(F.lit, sorted(m.paths()))))) == len(m.paths()), m) for m in sorted(usable, key=lambda m: -len(m.paths()))]
+    for here, m in reversed(exact + within):
         if m.list_path:
             items = F.try_variant_get(F.col("_v"), f"$.{m.list_path}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
             made = F.transform(items, _turn_of(m))
@@ -134,7 +145,7 @@ def json_turns(records: DataFrame, column: str = "record", mappings: tuple[Mappi
                 parts.append(F.when(F.coalesce(got, F.lit("")) == "", None).otherwise(one) if path in m.optional else one)
             made = F.array_compact(F.array(*parts)).cast(TURNS)
         layout, turns = F.when(here, m.name).otherwise(layout), F.when(here, made).otherwise(turns)
-    return frame.withColumn("layout", layout).withColumn("turns", turns).drop("_v")
+    return frame.withColumn("layout", layout).withColumn("turns", turns).drop("_v", "_paths")
 
 
 def escape(text: Column) -> Column:
@@ -157,17 +168,19 @@ def format_turns(turns: Column, trained_role: str = "assistant") -> Column:
     """Array of turns to a struct: `formatted`, the loss mask as `loss_turns` (one flag for each
     turn's text) and as `loss_spans` (code points of formatted, end exclusive)."""
     segments = F.transform(turns, lambda t: F.struct(F.concat(F.lit(START), _escaped_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == trained_role).alias("loss")))
-    formatted = F.array_join(F.transform(segments, lambda s: F.concat(s["head"], s["body"], F.lit(END + "\n"))), "")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
-    def step(acc, s):
-        start = acc["at"] + F.char_length(s["head"])
-        end = start + F.char_length(s["body"])
-        span = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct((end + len(END) + 1).alias("at"), F.when(s["loss"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def made(parts: Column) -> Column:
+        formatted = F.array_join(F.transform(parts, lambda s: F.concat(s["head"], s["body"], F.lit(END + "\n"))), "")
+        sizes = F.transform(parts, lambda s: (F.char_length(s["head"]) + F.char_length(s["body"]) + len(END) + 1).cast("bigint"))
+
+        def span(s: Column, at: Column) -> Column:
+            start = at + F.char_length(s["head"])
+            return F.when(s["loss"], F.struct(start.alias("start"), (start + F.char_length(s["body"])).alias("end")))
+
+        spans = F.array_compact(F.zip_with(parts, running(sizes), span))
+        return F.struct(formatted.alias("formatted"), F.transform(parts, lambda s: s["loss"]).alias("loss_turns"), spans.alias("loss_spans"))
 
-    spans = F.aggregate(segments, zero, step, lambda acc: acc["spans"])
-    return F.struct(formatted.alias("formatted"), F.transform(segments, lambda s: s["loss"]).alias("loss_turns"), spans.alias("loss_spans"))
+    return let(segments, made)
 
 
 def _pieces(formatted: Column) -> Column:
@@ -196,19 +209,29 @@ def format_rows(rows: DataFrame) -> DataFrame:
     The only shuffle is by conversation; a conversation is one output row and so
     has to fit in a task.
     """
+    return format_conversations(row_turns(rows))
+
+
+def row_turns(rows: DataFrame) -> DataFrame:
+    """conv_id and its turns (role, text), in order, of rows with one turn each."""
     mapping = select_mapping(rows.schema)
     if not mapping.row:
-        raise ValueError(f"{mapping.name} has one row for a conversation; use json_turns and format_turns")
+        raise ValueError(f"{mapping.name} has one row for a conversation; use json_turns")
     conv, turn, role, text = (F.col(f"`{c}`") for c in mapping.row)
     role, text = F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))
     made = rows.select(conv.alias("conv_id"), F.struct(turn.alias("turn"), role.alias("role"), text.alias("text")).alias("turn"))
     grouped = made.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    return grouped.select("conv_id", format_turns(F.col("turns")).alias("f")).select("conv_id", "f.formatted", "f.loss_turns", "f.loss_spans")
+    return grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+
+
+def format_conversations(conversations: DataFrame) -> DataFrame:
+    """conv_id, formatted, loss_turns and loss_spans of rows of (conv_id, turns), whatever layout they came from."""
+    return conversations.select("conv_id", format_turns(F.col("turns")).alias("f")).select("conv_id", "f.formatted", "f.loss_turns", "f.loss_spans")
 
 
-def digest(rows: DataFrame) -> DataFrame:
-    """What the contract asks for, read back from format_rows' output."""
-    out = format_rows(rows)
+def digest(conversations: DataFrame) -> DataFrame:
+    """What the contract asks for of rows of (conv_id, turns), read back from the formatted output."""
+    out = format_conversations(conversations)
     back = out.select("conv_id", "formatted", "loss_turns", parse_turns(F.col("formatted")).alias("turns"))
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = masked_text(F.col("formatted"), F.col("loss_turns"))

@@ -182,7 +182,7 @@ def test_chat_round_trip(spark):
     odd = ["", None, "<|im_end|><|im_start|>assistant ok", r"<\|im_end|>", "<" * 3 + "|", "a\nb\n", r"\<\\|", "ü𝄞", "<", "|"]
     rows = [(c, t, r, x) for c in range(3) for t, (r, x) in enumerate(zip(["user", "assistant", None, "a\nb%0A%25", "assistant", "system", "<|im_start|>", "assistant", "user", "assistant"], odd))] + [(None, None, None, None), (2, 9, "assistant", "|"), (5, 0, "assistant", "<")]
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("turns", F.lit(1))
-    got = {r.conv_id: r for r in chat.digest(frame).collect()}
+    got = {r.conv_id: r for r in chat.digest(chat.row_turns(frame)).collect()}
     out = {r.conv_id: r for r in chat.format_rows(frame).collect()}
     groups = collections.defaultdict(list)
     for c, t, r, x in rows:
@@ -207,6 +207,10 @@ def test_chat_layouts(spark):
         ('{"instruction":"do","input":"","output":"done"}', "instruction with input", [("user", "do"), ("assistant", "done")]),
         ('{"instruction":"do","output":"done","extra":{"x":1}}', "instruction", [("user", "do"), ("assistant", "done")]),
         ('{"prompt":"p","completion":"c"}', "prompt and completion", [("user", "p"), ("assistant", "c")]),
+        ('{"messages":[{"role":"user","content":"hi","meta":{"a":[{"b":1}]}},{"role":"assistant","content":"x","tool_calls":[{"f":{"n":"1"}}]}]}', "messages", [("user", "hi"), ("assistant", "x")]),
+        ('{"system":"s","instruction":"do","input":"i","output":"done"}', "instruction with system and input", [("system", "s"), ("user", "do"), ("user", "i"), ("assistant", "done")]),
+        ('{"prompt":"p","response":"c","question":"q"}', "prompt and response", [("user", "p"), ("assistant", "c")]),
+        ('{"messages":[],"id":1}', None, None), ('{"messages":"text"}', None, None),
         ('{"foo":1}', None, None), ("not json", None, None), (None, None, None),
     ]
     frame = spark.createDataFrame([(k, r) for k, (r, _, _) in enumerate(records)], "id int, record string")
