@@ -1,17 +1,19 @@
 """HTML extraction (9): paragraphs score their ancestors, the best container is kept.
 
-A page is read once into blocks of text, each with its chain of open elements.
-Blocks pass points for length and commas up the chain, less at each level and
+A page is read once into blocks of text, each in its innermost element.  Blocks
+pass points for length and commas to LEVELS ancestors, less at each level and
 discounted by link density.  The element of most points is the container; it
-grows to the article or main element around it, and siblings that score near it
-or are plain paragraphs join it.  All text in these is kept but for boilerplate
-elements (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments), known by tag, role, class or id.
+grows to the article or main element around it, and siblings that read like the
+same story join it.  All text in these is kept but for boilerplate: elements
+that are so by tag, role or hiding (menus, headers, footers, sidebars, adverts,
+forms, scripts, styles), and elements whose class or id names boilerplate, if
+place and content agree (see `_named` and `_dropped`).
 
 Defined results: a null or empty page, or one without text, gives an empty
 text; broken or cut markup is read as far as it goes; a page whose text has no
 container of its own gives the text of its body; repeated rows are extracted
-alike and other columns stay; an empty table gives an empty one.
+alike and other columns stay; an empty table gives an empty one.  Time is linear
+in the page, however deep its elements are.
 """
 
 from __future__ import annotations
@@ -32,21 +34,41 @@ DROPPED = frozenset("head title nav footer aside form button select option svg c
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIST_ENDS = frozenset("ul ol dl table".split())
+#: Names of boilerplate wherever it stands.
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners promo promos promotion sponsor sponsored sponsors"
-    " sidebar sidebars side comment comments commentlist respond replies reply discussion disqus cookie cookies consent gdpr notice notices alert warning newsletter subscribe subscription"
-    " share sharing social related recommended recommendations breadcrumb breadcrumbs menu menus nav navbar navigation footer header masthead popup modal overlay"
-    " login signup pagination pager widget widgets toolbar legal copyright disclaimer skip search form paywall tags teaser outbrain taboola".split()
+    " sidebar sidebars comment comments commentlist respond replies disqus cookie cookies consent gdpr newsletter subscribe subscription"
+    " share sharing breadcrumb breadcrumbs menu menus nav navbar navigation footer masthead popup modal"
+    " login signup pagination pager paywall outbrain taboola".split()
+)
+#: Names that parts of an article have too.
+WEAK_NAMES = frozenset(
+    "side discussion reply notice notices alert warning social related recommended recommendations overlay header widget widgets toolbar"
+    " legal copyright disclaimer skip search form tags teaser".split()
+)
+#: Parts of a name that say nothing of their own.
+FILLERS = frozenset(
+    "area bar block body box bottom center col column container content entry first global group inner item items js last left link links list main"
+    " mobile module outer page panel post primary right row secondary section site slot text top unit user wrap wrapper zone".split()
 )
 NEUTRAL_NAMES = frozenset("with has no without".split())
+#: Elements that are never dropped by name.
+CONTENT = frozenset("html body article main h1 h2 h3 h4 h5 h6 pre blockquote table thead tbody tr td th figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar status alertdialog".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[a-zA-Z/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_SENTENCE_ENDS = frozenset(".!?…:;。！？\"'”’»)")
 _PARAGRAPHS = frozenset("p pre td blockquote li dd div section article".split())
 
 
-def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
+#: Ancestors that a paragraph scores.
+LEVELS = 5
+
+
+def _gone(tag: str, attributes: str, inside_article: bool) -> bool:
+    """Boilerplate by tag, role or hiding."""
     if tag in DROPPED:
         return True
     if tag == "header":
@@ -59,128 +81,181 @@ def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and tag not in INLINE:
-            for word in value.split():
-                parts = set(re.split(r"[-_]+", word))
-                if parts & BAD_NAMES and not parts & NEUTRAL_NAMES:
-                    return True
     return False
 
 
-class _Block:
-    __slots__ = ("text", "chain", "linked")
+def _named(tag: str, attributes: str) -> int:
+    """2 if class or id names boilerplate, 1 if by a weak name only.
+
+    A name counts if all its parts are names of boilerplate, numbers or fillers: `related-box`, not `related-work`.
+    """
+    if not attributes or tag in INLINE or tag in CONTENT:
+        return 0
+    found = 0
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for word in (m[2] or m[3] or m[4] or "").lower().split():
+                parts = [p for p in re.split(r"[-_]+", word) if p and not p.isdigit()]
+                if not NEUTRAL_NAMES.isdisjoint(parts) or not all(p in BAD_NAMES or p in WEAK_NAMES or p in FILLERS for p in parts):
+                    continue
+                found = max(found, 2 if not BAD_NAMES.isdisjoint(parts) else 1 if not WEAK_NAMES.isdisjoint(parts) else 0)
+    return found
 
-    def __init__(self, text: str, chain: tuple[int, ...], linked: int):
-        self.text, self.chain, self.linked = text, chain, linked
 
+class Page:
+    """Text blocks (text, element, linked characters) and, for each block element, its tag, parent, class, name's strength, and whether it is in an article."""
 
-def blocks_of(html: str) -> tuple[list[_Block], list[str], list[int]]:
-    """Text blocks with chains of open block elements (outermost first), and tag and parent of each element."""
-    tags, parents = ["#root"], [-1]
-    stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, element (-1: inline), dropped
-    out: list[_Block] = []
-    parts: list[str] = []
-    linked, links, articles = 0, 0, 0
+    def __init__(self, html: str):
+        self.blocks: list[tuple[str, int, int]] = []
+        self.tags, self.parents, self.classes, self.named, self.in_article = ["#root"], [-1], [""], [0], [False]
+        self._read(html)
 
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
-            if text:
-                out.append(_Block(text, tuple(e for _, e, _ in stack if e >= 0), min(linked, len(text))))
-            parts.clear()
+    def _read(self, html: str) -> None:
+        # open elements: tag, own block element or -1, whether dropped, innermost block element
+        stack: list[tuple[str, int, bool, int]] = [("#root", 0, False, 0)]
+        opened: dict[str, int] = defaultdict(int)
+        parts: list[str] = []
         linked = 0
 
-    def close(depth: int) -> None:
-        nonlocal links, articles
-        if any(e >= 0 for _, e, _ in stack[depth:]):
-            flush()
-        for tag, _, _ in stack[depth:]:
-            links -= tag == "a"
-            articles -= tag in ("article", "main")
-        del stack[depth:]
-
-    at, end = 0, len(html)
-    while at < end:
-        m = _MARKUP.search(html, at)
-        upto = m.start() if m else end
-        if upto > at and not stack[-1][2]:
-            parts.append(html[at:upto])
-            linked += (upto - at) if links else 0
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-            else:
-                if tag not in INLINE:
+        def flush() -> None:
+            nonlocal linked
+            if parts:
+                text = " ".join(unescape("".join(parts)).split())
+                if text:
+                    self.blocks.append((text, stack[-1][3], min(linked, len(text))))
+                parts.clear()
+            linked = 0
+
+        def close(depth: int) -> None:
+            if any(e >= 0 for _, e, _, _ in stack[depth:]):
+                flush()
+            for tag, _, _, _ in stack[depth:]:
+                opened[tag] -= 1
+            del stack[depth:]
+
+        at, end = 0, len(html)
+        while at < end:
+            m = _MARKUP.search(html, at)
+            upto = m.start() if m else end
+            if upto > at and not stack[-1][2]:
+                parts.append(html[at:upto])
+                linked += (upto - at) if opened["a"] else 0
+            if not m:
+                break
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                if opened[tag]:
+                    close(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth][0] == tag))
+                elif tag not in INLINE:
                     flush()
-            continue
-        if tag == "br":
-            if not stack[-1][2]:
-                parts.append(" ")
-            continue
-        if tag in VOID:
-            if tag == "hr":
+                continue
+            if tag == "br":
+                if not stack[-1][2]:
+                    parts.append(" ")
+                continue
+            if tag in VOID:
+                if tag == "hr":
+                    flush()
+                continue
+            if tag in RAW:
+                stop = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(html, at)
+                at = stop.end() if stop else end
+                continue
+            ends = SAME_CLOSES.get(tag, {"p"} if tag in CLOSES_P else set()) | ({"p"} if tag in CLOSES_P else set())
+            if any(opened[e] for e in ends):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth][0] in ends:
+                        close(depth)
+                        break
+                    if stack[depth][1] >= 0 and (tag in CLOSES_P or stack[depth][0] in LIST_ENDS):
+                        break
+            in_article = opened["article"] + opened["main"] > 0
+            dropped = stack[-1][2] or _gone(tag, m[3], in_article)
+            if tag in INLINE:
+                stack.append((tag, -1, dropped, stack[-1][3]))
+            else:
                 flush()
+                self.parents.append(stack[-1][3])
+                self.tags.append(tag)
+                self.named.append(0 if dropped else _named(tag, m[3]))
+                self.classes.append(" ".join(w for a in _ATTRIBUTE.finditer(m[3]) if a[1].lower() == "class" for w in (a[2] or a[3] or a[4] or "").split()))
+                self.in_article.append(in_article)
+                stack.append((tag, len(self.tags) - 1, dropped, len(self.tags) - 1))
+            opened[tag] += 1
+            if m[3].endswith("/") and tag not in INLINE and tag not in CLOSES_P:
+                close(len(stack) - 1)
+        flush()
+
+    def summed(self, values: dict[int, float]) -> list[float]:
+        """For each element, its own value and those of all elements in it; parents stand before their children."""
+        total = [values.get(e, 0) for e in range(len(self.tags))]
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parents[e]] += total[e]
+        return total
+
+    def within(self, chosen: set[int]) -> list[bool]:
+        """For each element, whether it or an ancestor is chosen."""
+        out = [0 in chosen]
+        for e in range(1, len(self.tags)):
+            out.append(e in chosen or out[self.parents[e]])
+        return out
+
+
+def _sums(page: Page) -> tuple[list[float], list[float]]:
+    length, linked = defaultdict(int), defaultdict(int)
+    for text, e, n in page.blocks:
+        length[e] += len(text)
+        linked[e] += n
+    return page.summed(length), page.summed(linked)
+
+
+def _dropped(page: Page) -> set[int]:
+    """Elements that their name and their place or content make boilerplate.
+
+    One with more than half of the page's text never is.  A weak name needs more in
+    an article: many links, or a short text that has no heading.
+    """
+    length, linked = _sums(page)
+    headings = page.summed({e: 1 for e, tag in enumerate(page.tags) if tag in HEADINGS})
+    out = set()
+    for e, strength in enumerate(page.named):
+        if not strength or 2 * length[e] > length[0]:
             continue
-        if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(html, at)
-            at = stop.end() if stop else end
-            continue
-        if tag in CLOSES_P or tag in SAME_CLOSES:
-            ends = SAME_CLOSES.get(tag, {"p"})
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in ends or (tag in CLOSES_P and stack[depth][0] == "p"):
-                    close(depth)
-                    break
-                if stack[depth][1] >= 0 and (tag in CLOSES_P or stack[depth][0] in LIST_ENDS):
-                    break
-        dropped = stack[-1][2] or _boilerplate(tag, m[3], articles > 0)
-        if tag in INLINE:
-            stack.append((tag, -1, dropped))
-        else:
-            flush()
-            parents.append(next(e for _, e, _ in reversed(stack) if e >= 0))
-            tags.append(tag)
-            stack.append((tag, len(tags) - 1, dropped))
-        links += tag == "a"
-        articles += tag in ("article", "main")
-        if m[3].endswith("/") and tag not in INLINE and tag not in CLOSES_P:
-            close(len(stack) - 1)
-    flush()
-    return out, tags, parents
+        many_links, slight = linked[e] > 0.3 * length[e], length[e] < 400 and not headings[e]
+        if strength == 2 or not page.in_article[e] or many_links or slight:
+            out.add(e)
+    return out
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    blocks, tags, parents = blocks_of(html)
-    if not blocks:
+    page = Page(html)
+    gone = page.within(_dropped(page))
+    page.blocks = [b for b in page.blocks if not gone[b[1]]]
+    if not page.blocks:
         return ""
+    tags, parents = page.tags, page.parents
     points: dict[int, float] = defaultdict(float)
-    length: dict[int, int] = defaultdict(int)
-    linked: dict[int, int] = defaultdict(int)
-    for b in blocks:
-        n, own = len(b.text), b.chain[-1]
-        for e in b.chain:
-            length[e] += n
-            linked[e] += b.linked
+    for text, own, of_links in page.blocks:
+        n = len(text)
         if n < 25 or tags[own] not in _PARAGRAPHS:
             continue
-        worth = (1 + b.text.count(",") + b.text.count("，") + min(n / 100, 3)) * (1 - b.linked / n)
-        up = [own, *reversed(b.chain[:-1])] if tags[own] in ("div", "section", "article") else list(reversed(b.chain[:-1]))
-        for level, e in enumerate(up):
+        worth = (1 + text.count(",") + text.count("，") + min(n / 100, 3)) * (1 - of_links / n)
+        e = own if tags[own] in ("div", "section", "article") else parents[own]
+        for level in range(LEVELS):
+            if e < 0:
+                break
             points[e] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
-    scored = {e: s * (1 - linked[e] / max(length[e], 1)) for e, s in points.items() if tags[e] not in ("#root", "html", "body")}
+            e = parents[e]
+    length, linked = _sums(page)
+    density = [linked[e] / max(length[e], 1) for e in range(len(tags))]
+    scored = {e: s * (1 - density[e]) for e, s in points.items() if tags[e] not in ("#root", "html", "body")}
     if not scored:
-        return "\n".join(b.text for b in blocks)
+        return "\n".join(text for text, _, _ in page.blocks)
     best = max(scored, key=lambda e: (scored[e], -e))
     top = scored[best]
     e = best
@@ -189,15 +264,24 @@ def main_text(html: str | None) -> str:
             best = e
         e = parents[e]
     kept = {best}
-    if tags[best] not in ("article", "main"):
+    if tags[best] != "main":
+        ends = page.summed({e: 1 for e in {own for text, own, _ in page.blocks if text[-1] in _SENTENCE_ENDS}})
+        headings = page.summed({e: 1 for e, tag in enumerate(tags) if tag in HEADINGS})
+        paragraphs = page.summed({own: 1 for text, own, _ in page.blocks if len(text) >= 25})
         for e, parent in enumerate(parents):
-            if parent == parents[best] and e != best:
-                density = linked[e] / max(length[e], 1)
-                if scored.get(e, 0) >= max(10, 0.2 * top) or (tags[e] in ("p", "h1", "h2", "h3", "pre", "blockquote") and length[e] and density < 0.25) or (tags[e] in ("ul", "ol", "table") and length[e] >= 80 and density < 0.25):
-                    kept.add(e)
-    elif tags[best] == "article":  # further articles of the same parent that score near it
-        kept |= {e for e, parent in enumerate(parents) if parent == parents[best] and tags[e] == "article" and scored.get(e, 0) >= 0.5 * top}
-    return "\n".join(b.text for b in blocks if not kept.isdisjoint(b.chain))
+            if parent != parents[best] or e == best or not length[e] or density[e] >= 0.25:
+                continue
+            if tags[best] == "article":  # further articles beside it
+                story = tags[e] == "article" and paragraphs[e]
+            elif tags[e] in ("div", "section"):  # parts of the story; those of the page itself have to look alike
+                alike = tags[parent] not in ("#root", "html", "body") or (tags[e] == tags[best] and page.classes[e] == page.classes[best])
+                story = scored.get(e, 0) >= max(10, 0.2 * top) or (alike and (ends[e] or headings[e]))
+            else:
+                story = tags[e] in ("p", "h1", "h2", "h3", "pre", "blockquote") or (tags[e] in ("ul", "ol", "table") and length[e] >= 80)
+            if story:
+                kept.add(e)
+    inside = page.within(kept)
+    return "\n".join(text for text, own, _ in page.blocks if inside[own])
 
 
 def extract(pages: DataFrame) -> DataFrame:

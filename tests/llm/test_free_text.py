@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -104,3 +105,46 @@ def test_extract_whole_table(spark, sf_dir):
     assert htmltext.extract(pages.where("false")).count() == 0
     clash = pages.selectExpr("*", "'x' as text", "1 as n_chars", "2 as at")
     assert htmltext.extract(clash).columns == ["page_id", "url", "at", "text", "n_chars"]
+
+
+_TEXT = "This is a sentence of some length, with a comma or two, that reads like an article. "
+
+
+@pytest.mark.parametrize("part", [
+    f'<section id="discussion"><h2>Discussion</h2><p>{_TEXT * 3}</p><p>{_TEXT}</p></section>', '<h2 id="related-work">Related work</h2>', '<h3 id="form-and-function">Form</h3>',
+    '<pre class="warning">x = 1</pre>', f'<div class="tags-and-scope"><p>{_TEXT}</p></div>', f'<div class="has-sidebar"><p>{_TEXT}</p></div>', '<header class="article-header"><h1>Title</h1></header>',
+])
+def test_article_parts_stay(part):
+    html = f"<body><nav><a href=x>Menu</a></nav><article><p>{_TEXT * 2}</p>{part}<p>{_TEXT * 2}</p></article><footer>Foot.</footer></body>"
+    inner = [" ".join(t.split()) for t in re.findall(r">([^<>]+)<", part)]
+    assert htmltext.main_text(html) == "\n".join([(_TEXT * 2).strip(), *inner, (_TEXT * 2).strip()])
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="sidebar"><p>Side text, with commas, and more.</p></div>', '<div class="notice">Please accept, or not.</div>', '<div class="related-box"><a href=x>One</a> <a href=y>Two</a></div>',
+    f'<div id="comments"><h2>Comments</h2><p>{_TEXT * 3}</p></div>', '<form><p>Name, please</p></form>', '<aside><p>Aside, of course.</p></aside>', '<div class="ad-slot-1">Buy this.</div>',
+    '<p class="social-bar"><a href=x>Share</a></p>', '<div hidden>Hidden.</div>', '<ul class="tags"><li>one</li><li>two</li></ul>',
+])
+def test_boilerplate_goes_wherever_it_stands(part):
+    body = (_TEXT * 4).strip()
+    assert htmltext.main_text(f"<body>{part}<article><p>{body}</p>{part}<p>{body}</p></article>{part}</body>") == f"{body}\n{body}"
+
+
+def test_stories_of_several_parts():
+    short, long = "A short closing remark.", (_TEXT * 4).strip()
+    assert htmltext.main_text(f"<body><main><article><p>{long}</p></article><article><p>{short * 2}</p></article></main></body>") == f"{long}\n{short * 2}"
+    assert htmltext.main_text(f"<div id=story><div>{short}</div><div><p>{long}</p><p>{long}</p></div><div>{short}</div></div>") == f"{short}\n{long}\n{long}\n{short}"
+    assert htmltext.main_text(f'<body><div class=x>Foot</div><div class="part"><p>{long}</p></div><div class="part">{short}</div><div><a href=x>{short}</a></div></body>') == f"{long}\n{short}"
+    nested = f"<article><p>{long}</p><article><p>{short}</p></article><blockquote><p>{short}</p></blockquote></article>"
+    assert htmltext.main_text(nested) == f"{long}\n{short}\n{short}"
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "li", "p", "article", "td"])
+def test_deep_pages_take_linear_time(tag):
+    page = lambda n: f"<{tag}>some text, here" * n + "</i></ul>" * n
+    took = []
+    for n in (10_000, 40_000):
+        start = time.perf_counter()
+        htmltext.main_text(page(n))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0] + 0.2
