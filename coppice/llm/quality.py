@@ -185,12 +185,12 @@ def _base_failed(rules: Rules):
 
 
 def score(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id, the base counts, base_failed, llr and kept of every document."""
+    """doc_id, the base counts, base_failed, kept and llr of every document."""
     weights, threshold = fit(docs, labels, rules)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     scored = _frame(docs).mapInArrow(_scorer(rules.bucket_bits, shared), f"doc_id bigint, {COUNTS}, llr double")
-    failed = _base_failed(rules)
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    judged = scored.withColumn("base_failed", _base_failed(rules))
+    return judged.select(*(c for c in judged.columns if c != "llr"), (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr")
 
 
 def keep(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
