@@ -114,9 +114,20 @@ class Matcher:
         return found
 
 
+_made: list[tuple] = []
+
+
+def _matcher(items, error_percent: int) -> Matcher:
+    """One automaton for a worker, as long as its tasks take the same items."""
+    value = items.value
+    if not _made or _made[0][0] is not value or _made[0][1] != error_percent:
+        _made[:] = [(value, error_percent, Matcher(value, error_percent))]
+    return _made[0][2]
+
+
 def _matching(items, error_percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items.value, error_percent)
+        matcher = _matcher(items, error_percent)
         for batch in batches:
             out = []
             ids, texts = batch.column(0), batch.column(1)
@@ -164,7 +175,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, error_percent: int = 8) -> Data
         items = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items.value, error_percent)
+            matcher = _matcher(items, error_percent)
             for batch in batches:
                 texts = batch.column(at)
                 stay = [not matcher.find(normalised(texts[k].as_py() or "")) for k in range(batch.num_rows)]
