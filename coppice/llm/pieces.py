@@ -7,9 +7,10 @@ each neighbouring pair is.  So the encoding is the path of greatest weight, 0.
 
 A long text is cut every `chunk_chars`.  The state at a cut is the token that
 ends at or reaches over it.  Every chunk, on its own, gives the matrix of weights
-from entry to exit states; max-plus products of these are associative, so the
-states on the best path at all cuts follow from the small matrices alone, and
-then each chunk is traced back independently.  Within a chunk, places where no
+from entry to exit states.  Max-plus products of these are associative: they are taken
+in a tree, FAN matrices at a time, up to the matrix of the whole text, and on the
+way back each product's entry and exit states fix those of its factors.  Then each
+chunk is traced back independently.  Within a chunk, places where no
 piece spans two characters cut the text into units, whose paths are cached.
 
 Defined results: a null or empty text has no tokens; U+2581 decodes to a space,
@@ -23,16 +24,21 @@ from __future__ import annotations
 import struct
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
 
 #: Texts of more characters are scanned in chunks of so many.
 CHUNK_CHARS = 1 << 16
+#: Matrices that one product of the tree takes.
+FAN = 32
 #: Entries of the caches of units and of pairs in a worker; a full cache starts anew.
 CACHED = 700_000
 SPACE = "▁"
@@ -314,12 +320,12 @@ def combined(left: Edges, right: Edges) -> Edges:
     return sorted({(a, b, *to) for a, b, c, d in left for to in by.get((c, d), ())})
 
 
-def states_on_path(matrices: list[Edges]) -> list[tuple[int, int]]:
-    """The state at each cut, the text's ends with them, on the path of weight 0."""
-    reached = [{(0, 0)}]
+def states_on_path(matrices: list[Edges], entry: tuple[int, int] = (0, 0), leave: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+    """The state at each cut, first and last ones with them, on the path of weight 0 from entry to leave."""
+    reached = [{entry}]
     for m in matrices:
         reached.append({(c, d) for a, b, c, d in m if (a, b) in reached[-1]})
-    state = min(reached[-1])
+    state = min(reached[-1]) if leave is None else leave
     out = [state]
     for m, before in zip(reversed(matrices), reversed(reached[:-1]), strict=True):
         state = min((a, b) for a, b, c, d in m if (c, d) == state and (a, b) in before)
@@ -369,6 +375,27 @@ def _encode_short(shared):
 _CHUNK = "row string, at int, low bigint, high bigint, doc_id bigint, body string"
 
 
+def _chunker(shared, chunk: int):
+    """Rows (row, doc_id, text) to the chunks of each text, with as many characters around as a piece has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(shared)
+        for batch in batches:
+            for row, doc_id, text in zip(*batch.columns):
+                ready, row, doc_id = v.prepared(text.as_py()), row.as_py(), doc_id.as_py()
+                for first in range(0, len(ready), 16 * chunk):
+                    lows = range(first, min(first + 16 * chunk, len(ready)), chunk)
+                    begins, ends = [max(low - v.longest, 0) for low in lows], [min(low + chunk, len(ready)) for low in lows]
+                    columns = [pa.array([row] * len(lows)), pa.array([low // chunk for low in lows], pa.int32()), pa.array([low - a for low, a in zip(lows, begins)], pa.int64()), pa.array([b - a for a, b in zip(begins, ends)], pa.int64()), pa.array([doc_id] * len(lows), pa.int64()), pa.array([ready[a : b + v.longest] for a, b in zip(begins, ends)])]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "at", "low", "high", "doc_id", "body"])
+
+    return run
+
+
+def _edges(flat) -> Edges:
+    return list(zip(*[iter(map(int, flat))] * 4))
+
+
 def _matrices(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
@@ -379,50 +406,68 @@ def _matrices(shared):
     return run
 
 
-def _resolve(key, frame):
-    """Entry and exit state of each chunk of a text, from its small matrices."""
+def _product(key, frame):
+    """One matrix of up to FAN consecutive ones."""
+    flat = [x for edge in reduce(combined, map(_edges, frame.sort_values("at").edges)) for x in edge]
+    return pd.DataFrame({"row": [key[0]], "at": [int(key[1])], "edges": [flat]})
+
+
+def _whole(frames):
+    """Entry and exit state of whole texts."""
+    for frame in frames:
+        found = [states_on_path([_edges(e)]) for e in frame.edges]
+        yield pd.DataFrame({"row": frame.row, "at": frame["at"], "states": [[*a, *b] for a, b in found]})
+
+
+def _factors(key, frame):
+    """Entry and exit state of each factor of a product, from those of the product."""
     frame = frame.sort_values("at")
-    states = states_on_path([list(zip(*[iter(map(int, e))] * 4)) for e in frame.edges])
-    frame["states"] = [[*a, *b] for a, b in zip(states, states[1:])]
-    return frame[["row", "at", "states"]]
+    outer = [int(x) for x in frame.states.iloc[0]]
+    found = states_on_path(list(map(_edges, frame.edges)), tuple(outer[:2]), tuple(outer[2:]))
+    return pd.DataFrame({"row": frame.row, "at": frame["at"], "states": [[*a, *b] for a, b in zip(found, found[1:])]})
+
+
+def _states(matrices: DataFrame, fan: int) -> DataFrame:
+    """row, at and states (entry, exit) of each chunk: products in a tree upwards, states of factors downwards."""
+    levels, up = [matrices], F.floor(F.col("at") / fan).cast("int")
+    most = matrices.agg(F.max("at")).first()[0] or 0
+    while most:
+        levels.append(levels[-1].groupBy("row", up.alias("up")).applyInPandas(_product, "row string, at int, edges array<int>"))
+        most //= fan
+    states = levels.pop().mapInPandas(_whole, "row string, at int, states array<int>")
+    while levels:
+        joined = levels.pop().withColumn("up", up).join(states.withColumnRenamed("at", "up"), ["row", "up"])
+        states = joined.groupBy("row", "up").applyInPandas(_factors, "row string, at int, states array<int>")
+    return states
 
 
 def _traces(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
         for batch in batches:
-            rows = batch.to_pylist()
-            ids = [v.trace(r["body"], r["low"], r["high"], tuple(r["states"][:2]), tuple(r["states"][2:])) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("at"), batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["row", "at", "doc_id", "ids"])
+            ids, same = [], []
+            for r in batch.to_pylist():
+                text, low, high, states = r["body"], r["low"], r["high"], r["states"]
+                found = v.trace(text, low, high, tuple(states[:2]), tuple(states[2:]))
+                ids.append(found)
+                # tokens stand for whole characters, so a text decodes if the stretch of each chunk does
+                shown = b"".join(map(v.shown.__getitem__, found)).decode("utf-8", "replace")
+                same.append(shown == text[low + states[1] : max(low + states[1], high + states[3])].replace(SPACE, " "))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("at"), batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["row", "at", "doc_id", "ids", "same"])
 
     return run
 
 
-def _encode_long(docs: DataFrame, shared, chunk: int, longest: int, prefix: bool) -> DataFrame:
+def _encode_long(docs: DataFrame, shared, chunk: int) -> DataFrame:
     """doc_id, ids and round_trip of long texts: chunks are dealt out over all executors."""
-    ready = F.concat(F.lit(SPACE if prefix else ""), F.replace("text", F.lit(" "), F.lit(SPACE)))
     # repeated rows of one text share a key, and each still has its row in the end
-    named = docs.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")).select("doc_id", "copies", "text", ready.alias("ready"))
-    named = named.withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2("text", 256)))
-    n = F.char_length("ready")
-    cuts = named.select("row", "doc_id", "ready", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("at"))
-    low, size = F.col("at") * chunk, F.char_length("ready")
-    begin = F.greatest(low - longest, F.lit(0))
-    chunks = cuts.select("row", "at", (low - begin).cast("bigint").alias("low"), (F.least(low + chunk, size) - begin).cast("bigint").alias("high"), "doc_id", F.substr("ready", begin + 1, low - begin + chunk + longest).alias("body"))
-    chunks = chunks.repartition("row", "at")
-    matrices = chunks.mapInArrow(_matrices(shared), "row string, at int, edges array<int>")
-    states = matrices.groupBy("row").applyInPandas(_resolve, "row string, at int, states array<int>")
-    traced = chunks.join(states, ["row", "at"]).mapInArrow(_traces(shared), "row string, at int, doc_id bigint, ids array<int>")
-    whole = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
-    joined = whole.join(named.select("row", "copies", "text"), "row").select("doc_id", "ids", "text", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(shared)
-        for batch in batches:
-            same = [v.decode(i.as_py()) == t.as_py().replace(SPACE, " ") for i, t in zip(batch.column(1), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], ["doc_id", "ids", "round_trip"])
-
-    return joined.mapInArrow(check, "doc_id bigint, ids array<int>, round_trip boolean")
+    named = docs.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2("text", 256)).alias("row"), "doc_id", "text")
+    chunks = named.mapInArrow(_chunker(shared, chunk), _CHUNK).dropDuplicates(["row", "at"])
+    matrices = checkpointed(chunks.mapInArrow(_matrices(shared), "row string, at int, edges array<int>"))
+    traced = chunks.join(_states(matrices, FAN), ["row", "at"]).mapInArrow(_traces(shared), "row string, at int, doc_id bigint, ids array<int>, same boolean")
+    whole = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"), F.min("same").alias("round_trip"))
+    copies = named.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    return whole.join(copies, "row").select("doc_id", "ids", "round_trip", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def encode(docs: DataFrame, model: bytes, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -434,7 +479,7 @@ def encode(docs: DataFrame, model: bytes, chunk_chars: int = CHUNK_CHARS) -> Dat
     frame = docs.select("doc_id", "text")
     long = F.char_length(F.coalesce("text", F.lit(""))) >= chunk_chars
     short = frame.where(~long).mapInArrow(_encode_short(shared), "doc_id bigint, ids array<int>, round_trip boolean")
-    both = short.unionAll(_encode_long(frame.where(long), shared, chunk_chars, v.longest, v.prefix))
+    both = short.unionAll(_encode_long(frame.where(long), shared, chunk_chars))
     return both.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "round_trip")
 
 
