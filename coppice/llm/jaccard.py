@@ -346,7 +346,7 @@ def classes(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame]:
     rows = rows.repartition("pivot").sortWithinPartitions("pivot", "n", "doc")
     regions = checkpointed(rows.mapInArrow(_regions(how), "members array<bigint>, sizes array<bigint>"))
     links = _linked(frame, _candidates(regions, how), how)
-    named = members.join(reps.select("h1", "h2", F.col("n").alias("size"), "rep"), ["h1", "h2"], "left").where("size is null or size = n").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+    named = members.join(reps.select("h1", "h2", F.col("n").alias("size"), "rep"), ["h1", "h2"], "left").where("size is null or size = n").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     return named, links
 
 

@@ -61,6 +61,12 @@ def test_jaccard_join_of_no_rows(spark):
     assert jaccard.join(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_null_ids_link_nothing_and_repeated_rows_are_returned(spark):
+    rows = [(None, "a b c d e f", 1, "p"), (5, "a b c d e f", 2, "q"), (7, "A B c d e f", 3, "r"), (7, "A B c d e f", 3, "r"), (None, None, 0, "")]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string, component_id bigint, rep string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, 2, None), (5, 2, 5), (7, 2, 5), (7, 2, 5), (None, 0, None)], key=repr)
+
+
 def test_one_document_of_each_group_stays(spark):
     texts = chain_of_copies()
     kept = jaccard.keep_one(spark.createDataFrame(list(texts.items()), SCHEMA)).collect()
@@ -74,8 +80,9 @@ def test_null_and_repeated_ids_stay(spark):
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([*rows[:4], rows[5], rows[6], rows[7], rows[9], rows[12]], key=repr)
 
 
-@pytest.mark.parametrize("chunk", [pieces.CHUNK_CHARS, 64])
-def test_encoding_equals_the_library(spark, sf_dir, chunk):
+@pytest.mark.parametrize("chunk,fan", [(pieces.CHUNK_CHARS, 32), (64, 3), (500, 32)])
+def test_encoding_equals_the_library(spark, sf_dir, monkeypatch, chunk, fan):
+    monkeypatch.setattr(pieces, "FAN", fan)
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").limit(60).collect()}
     texts |= {5000: "", 5001: None, 5002: "  two  spaces ", 5003: "\U0001f600 \x00 漢字", 5004: "a" * 5000, 5005: "ab " * 3000}
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
@@ -86,6 +93,32 @@ def test_encoding_equals_the_library(spark, sf_dir, chunk):
         assert r.n_tokens == len(r.ids) and r.round_trip
 
 
+def test_products_of_matrices_are_associative():
+    v = pieces.Vocabulary(open(pieces.MODEL, "rb").read())
+    text = v.prepared("internationalisation of aaaaaaaaaa and 漢字漢字 \U0001f600\U0001f600 uncharacteristically " * 4)
+    cuts = [*range(0, len(text), 40), len(text)]
+    parts = [v.matrix(text[max(a - v.longest, 0) : b + v.longest], min(a, v.longest), min(a, v.longest) + b - a) for a, b in zip(cuts, cuts[1:])]
+    left, right = parts[0], parts[-1]
+    for m in parts[1:]:
+        left = pieces.combined(left, m)
+    for m in parts[-2::-1]:
+        right = pieces.combined(m, right)
+    assert left == right and len({e[:2] for e in left}) == 1
+
+
+def test_encoding_of_repeated_odd_and_no_rows(spark):
+    model = pieces.read_model(spark)
+    rows = [(None, "long words " * 40, 1, "x"), (None, "long words " * 40, 2, "y"), (3, "long words " * 40, 3, "z"), (3, "other words " * 40, 3, "z"), (None, None, 0, ""), (5, "", 0, "")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, ids int, round_trip string")
+    got = pieces.encode(frame, model, 64)
+    assert got.columns == ["doc_id", "ids", "n_tokens", "round_trip"] and all(r.round_trip for r in got.collect())
+    back = pieces.decode(got, model)
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=repr) == sorted(((d, t or "") for d, t, _, _ in rows), key=repr)
+    assert pieces.encode(frame.where("false"), model, 64).collect() == []
+    odd = spark.createDataFrame([(1, None), (2, [])], "at int, ids array<int>")
+    assert [r.text for r in pieces.decode(odd, model).collect()] == ["", ""]
+
+
 def test_planted_passages_are_found(spark):
     shared = [f"p{k}" for k in range(120)]
     near = [w if k % 30 != 17 else "changed" for k, w in enumerate(shared)]
