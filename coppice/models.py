@@ -78,3 +78,13 @@ def events_forest() -> Forest:
 
 def large_forest() -> Forest:
     return random_forest(19, 60, 6, ORDER_RANGES, base_score=0.25)
+
+
+#: A panel: five features of an entity, four of the step.
+PANEL_FEATURES = ["c_acctbal", "c_nationkey", "segment", "n_digits", "key_share", "t", "t_left", "t_frac_sq", "t_sine"]
+PANEL_CONSTANT = {0, 1, 2, 3, 4}
+PANEL_RANGES = [(-1000.0, 10000.0), 25, 5, (1.0, 7.0), (0.0, 1.0), (0.0, 32.0), (0.0, 32.0), (0.0, 1.0), (0.0, 1.0)]
+
+
+def panel_forest() -> Forest:
+    return random_forest(29, 100, 6, PANEL_RANGES, base_score=-0.5)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import seeded, uniform
+from ..functions.ordering import first_in_order, quantiles, seeded, uniform
 
 
 def fit_codes(train: DataFrame, column: str) -> DataFrame:
@@ -28,8 +28,8 @@ def split_entities(df: DataFrame, key: str, test_share: float, seed: int) -> Dat
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> DataFrame:
     """One row: edges, distinct interpolated quantiles at 1/bins, 2/bins, ... below 1."""
-    at = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    return df.agg(F.array_distinct(F.percentile(column, at)).alias("edges"))
+    found = quantiles(df, column, [k / bins for k in range(1, bins)])
+    return found.agg(F.array_sort(F.collect_set("value")).alias("edges"))
 
 
 def digitize(column: Column, edges: Column) -> Column:
@@ -64,14 +64,11 @@ def fill_below(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataF
 
 
 def replicate(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """Rows of round(n * share) entities drawn by seeded order.
-
-    The number is found first, then the order's cut by its rank; entities are ranked, rows only joined.
-    """
-    entities = df.select(key).distinct()
-    n = entities.count()
-    chosen = entities.orderBy(seeded(seed, key), key).limit(int(n * share + 0.5))
-    return df.join(chosen, key, "left_semi")
+    """Rows of round(n * share) entities drawn by seeded order; no task ranks more than a small range of the entities."""
+    entities = df.select(key).distinct().withColumn("__all", F.lit(0))
+    quota = entities.groupBy("__all").agg(F.floor(F.count("*") * F.lit(share) + 0.5).alias("quota"))
+    chosen = first_in_order(entities, ["__all"], seeded(seed, key), key, quota)
+    return df.join(chosen.select(key), key, "left_semi")
 
 
 def clean_name(column: Column) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import nearest_rank, seeded
+from ..functions.ordering import first_in_order, nearest_rank, seeded
 
 
 def nested_median(df: DataFrame, keys: Sequence[str], block: str, value: str) -> DataFrame:
@@ -73,8 +73,8 @@ def mismatch(a: Column, b: Column, tolerance: float | None = None) -> Column:
 def stratified_sample(sizes: DataFrame, key: str, size: str, per_stratum: int, seed: int) -> DataFrame:
     """Groups in strata by the power of two of their size; of each stratum the first per_stratum by seeded order."""
     strata = sizes.withColumn("stratum", F.floor(F.log2(F.col(size).cast("double"))).cast("bigint"))
-    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(seeded(seed, key), key))
-    return strata.withColumn("__rank", rank).filter(F.col("__rank") <= per_stratum).drop("__rank")
+    quotas = strata.groupBy("stratum").agg(F.lit(per_stratum).alias("quota"))
+    return first_in_order(strata, ["stratum"], seeded(seed, key), key, quotas)
 
 
 def pack_batches(groups: DataFrame, shard: str, key: str, size: str, budget: int) -> DataFrame:

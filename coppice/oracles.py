@@ -6,6 +6,7 @@ import math
 
 from . import models
 from .model import Forest
+from .operators.schedule import SplitMix
 
 
 def _number(x: float) -> str:
@@ -83,7 +84,89 @@ MEDIANS = f"""medians AS (SELECT cell, variant, {_rank('m', 50)} AS ticks FROM
 (SELECT cell, variant, block, {_rank('ticks', 50)} AS m FROM samples GROUP BY ALL) GROUP BY cell, variant)"""
 
 
+PANEL = """SELECT c_custkey, t, c_acctbal, c_nationkey::DOUBLE AS c_nationkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0.0 WHEN 'BUILDING' THEN 1.0
+WHEN 'FURNITURE' THEN 2.0 WHEN 'MACHINERY' THEN 3.0 END::DOUBLE AS segment, length(c_custkey::VARCHAR)::DOUBLE AS n_digits, (c_custkey % 1000) / 1000.0::DOUBLE AS key_share,
+31 - t AS t_left, (t / 32.0::DOUBLE) * (t / 32.0::DOUBLE) AS t_frac_sq, sin(pi() * (t / 32.0::DOUBLE)) AS t_sine FROM customer, range(32) AS r(t)"""
+
+STRATA = """sizes AS (SELECT l_orderkey, count(*) AS n, floor(log2(count(*)))::BIGINT AS stratum FROM lineitem GROUP BY 1),
+pools AS (SELECT stratum, count(*) AS pool, sum(n)::BIGINT AS pool_rows FROM sizes GROUP BY 1),
+shares AS (SELECT *, CASE WHEN sum(pool_rows) OVER () <= 5000 THEN 1.0::DOUBLE ELSE least(greatest(5000.0::DOUBLE / sum(pool_rows) OVER (), 50.0::DOUBLE / sum(pool) OVER ()), 1.0::DOUBLE) END AS fraction,
+  (sum(pool) OVER (ORDER BY stratum))::BIGINT AS upto FROM pools),
+strata AS (SELECT stratum, pool, pool_rows, fraction, least(floor(upto * fraction + {u}) - floor((upto - pool) * fraction + {u}), pool)::BIGINT AS sampled FROM shares),
+timed AS (SELECT l_orderkey, n, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {order}, l_orderkey) <= sampled AS timed FROM sizes JOIN strata USING (stratum))"""
+
+
+def _draws(name: str, n: str, seed: int, draws: int) -> str:
+    """CTE of weights: a row for each distinct n, draw and unit drawn."""
+    return (f"{name} AS (SELECT n, draw, floor({_uniform(seed, 'n', 'draw', 'pick')} * n)::BIGINT AS unit, count(*) AS weight "
+            f"FROM (SELECT DISTINCT {n} AS n FROM placed), range({draws}) AS a(draw), LATERAL (SELECT unnest(range(n)) AS pick) GROUP BY ALL)")
+
+
+def _crossed(cells: str) -> str:
+    using = ", ".join(f"{c}" for c in cells.split(", "))
+    return f"""{SAMPLES}, totals AS (SELECT {cells}, block, round, sum(ticks)::DOUBLE AS a, sum(n_rows)::DOUBLE AS b FROM samples GROUP BY ALL),
+e AS (SELECT {cells}, block, row_number() OVER (PARTITION BY {cells} ORDER BY block) - 1 AS e, count(*) OVER (PARTITION BY {cells}) AS n_e FROM (SELECT DISTINCT {cells}, block FROM samples)),
+r AS (SELECT {cells}, round, row_number() OVER (PARTITION BY {cells} ORDER BY round) - 1 AS r, count(*) OVER (PARTITION BY {cells}) AS n_r FROM (SELECT DISTINCT {cells}, round FROM samples)),
+placed AS (SELECT * FROM totals JOIN e USING ({using}, block) JOIN r USING ({using}, round)),
+{_draws('we', 'n_e', 11, 40)}, {_draws('wr', 'n_r', 12, 40)},
+drawn AS (SELECT {cells}, we.draw, sum(a * we.weight * wr.weight) / sum(b * we.weight * wr.weight) AS ratio FROM placed JOIN we ON we.n = n_e AND we.unit = e
+  JOIN wr ON wr.n = n_r AND wr.unit = r AND wr.draw = we.draw GROUP BY ALL),
+whole AS (SELECT {cells}, sum(ticks)::DOUBLE / sum(n_rows)::DOUBLE AS ratio FROM samples GROUP BY ALL),
+found AS (SELECT {cells}, whole.ratio, low, high FROM whole JOIN (SELECT {cells}, quantile_cont(ratio, 0.025) AS low, quantile_cont(ratio, 0.975) AS high FROM drawn GROUP BY ALL) USING ({using}))"""
+
+
+def _weighed(source: str, keys: str, value: str, weight: str, name: str) -> str:
+    """The value at place total // 2 of values repeated by weight."""
+    return (f"SELECT {keys}, min({value}) AS {name} FROM (SELECT {keys}, {value}, sum({weight}) OVER (PARTITION BY {keys} ORDER BY {value}) AS upto, "
+            f"sum({weight}) OVER (PARTITION BY {keys}) // 2 AS half FROM {source}) WHERE upto > half GROUP BY {keys}")
+
+
+def _nested() -> str:
+    return f"""{SAMPLES}, s AS (SELECT cell, variant, block, event_id % 11 AS entity, block % 4 AS rnd, ticks FROM samples),
+e AS (SELECT cell, entity, row_number() OVER (PARTITION BY cell ORDER BY entity) - 1 AS e, count(*) OVER (PARTITION BY cell) AS n_e FROM (SELECT DISTINCT cell, entity FROM s)),
+r AS (SELECT cell, rnd, row_number() OVER (PARTITION BY cell ORDER BY rnd) - 1 AS r, count(*) OVER (PARTITION BY cell) AS n_r FROM (SELECT DISTINCT cell, rnd FROM s)),
+placed AS (SELECT * FROM s JOIN e USING (cell, entity) JOIN r USING (cell, rnd)),
+{_draws('we', 'n_e', 5, 30)}, {_draws('wr', 'n_r', 6, 30)},
+ones AS (SELECT *, 1 AS w FROM s), m1 AS (SELECT *, 1 AS w FROM ({_weighed('ones', 'cell, variant, block', 'ticks', 'w', 'm')})), once AS ({_weighed('m1', 'cell, variant', 'm', 'w', 'latency')}),
+d1 AS (SELECT placed.*, we.draw, we.weight AS w FROM placed JOIN we ON we.n = n_e AND we.unit = e),
+d2 AS ({_weighed('d1', 'cell, variant, block, n_r, r, draw', 'ticks', 'w', 'm')}),
+d3 AS (SELECT d2.*, wr.weight AS w FROM d2 JOIN wr ON wr.n = n_r AND wr.unit = r AND wr.draw = d2.draw),
+d4 AS ({_weighed('d3', 'cell, variant, draw', 'm', 'w', 'latency')}),
+ratios AS (SELECT d4.cell, d4.variant, d4.latency::DOUBLE / b.latency AS ratio FROM d4 JOIN d4 b ON b.cell = d4.cell AND b.draw = d4.draw AND b.variant = 'base')
+SELECT cell, variant, latency, round(ratio, 9) AS ratio, round(low, 9) AS low, round(high, 9) AS high
+FROM (SELECT o.cell, o.variant, o.latency, o.latency::DOUBLE / b.latency AS ratio FROM once o JOIN once b ON b.cell = o.cell AND b.variant = 'base')
+LEFT JOIN (SELECT cell, variant, quantile_cont(ratio, 0.025) AS low, quantile_cont(ratio, 0.975) AS high FROM ratios GROUP BY ALL) USING (cell, variant)"""
+
+
+def _masses(forest: Forest, varying: set[int], split: bool, name: str) -> str:
+    """CTE of the mass of every node, by recursion over paths."""
+    both = f"(n.feature IN ({', '.join(map(str, sorted(varying)))}) AND {str(split).lower()})"
+    share = "CASE WHEN l.weight + r.weight > 0 THEN l.weight / (l.weight + r.weight) ELSE 0.5::DOUBLE END"
+    return f"""{name}(tree, node, mass) AS (
+  SELECT DISTINCT tree, 0, 1.0::DOUBLE FROM nodes
+  UNION ALL
+  SELECT m.tree, side.child, CASE WHEN {both} THEN m.mass WHEN side.child = n.lft THEN m.mass * {share} ELSE m.mass * (1 - {share}) END
+  FROM {name} m JOIN nodes n ON n.tree = m.tree AND n.node = m.node AND n.op IS NOT NULL JOIN nodes l ON l.tree = n.tree AND l.node = n.lft JOIN nodes r ON r.tree = n.tree AND r.node = n.rgt,
+  LATERAL (SELECT unnest([n.lft, n.rgt]) AS child) side)"""
+
+
+def _paths(forest: Forest) -> str:
+    """CTE of heavy paths: predicates (and features) of each tree, in order."""
+    return f"""{_nodes(forest)},
+steps(tree, node, level) AS (
+  SELECT DISTINCT tree, 0, 0 FROM nodes
+  UNION ALL
+  SELECT s.tree, CASE WHEN l.weight >= r.weight THEN n.lft ELSE n.rgt END, s.level + 1 FROM steps s JOIN nodes n ON n.tree = s.tree AND n.node = s.node AND n.op IS NOT NULL
+  JOIN nodes l ON l.tree = n.tree AND l.node = n.lft JOIN nodes r ON r.tree = n.tree AND r.node = n.rgt),
+paths AS (SELECT tree, coalesce(list(predicate ORDER BY level) FILTER (WHERE op IS NOT NULL), []) AS path, coalesce(list(feature ORDER BY level) FILTER (WHERE op IS NOT NULL), []) AS features
+  FROM steps JOIN nodes USING (tree, node) GROUP BY tree)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    varying = set(range(6)) - models.ORDER_CONSTANT
+    strata = "WITH " + STRATA.format(u=repr(SplitMix(3).unit()) + "::DOUBLE", order=_seeded(3, "l_orderkey"))
+    in_varying = f"feature IN ({', '.join(map(str, sorted(varying)))})"
+    masses = f"WITH RECURSIVE {_nodes(models.orders_forest())}, {_masses(models.orders_forest(), varying, False, 'never')}, {_masses(models.orders_forest(), varying, True, 'always')}"
     orders = scored(models.orders_forest(), ORDERS, models.ORDER_FEATURES)
     events = scored(models.events_forest(), EVENTS, models.EVENT_FEATURES)
     forest, single, averaged = models.events_forest(), models.single_forest(), models.averaged_forest()
@@ -98,6 +181,8 @@ steps AS (SELECT row_number() OVER () AS k, w.* FROM walk w)"""
         "forest_stages": orders + STAGES,
         "forest_pushdown": orders + STAGES,
         "forest_walker": scored(models.large_forest(), ORDERS, models.ORDER_FEATURES) + STAGES,
+        "panel_walker": scored(models.panel_forest(), PANEL, models.PANEL_FEATURES) + "SELECT c_custkey, t, tree_sum, raw_margin FROM scored",
+        "panel_grouped": scored(models.panel_forest(), PANEL, models.PANEL_FEATURES) + "SELECT c_custkey, t, tree_sum, raw_margin FROM scored",
         "forest_average": scored(averaged, ORDERS, models.ORDER_FEATURES) + STAGES,
         "forest_float32": scored(single, ORDERS, models.ORDER_FEATURES) + STAGES,
         "forest_frontier": events + BY_EVENT,
@@ -121,7 +206,32 @@ JOIN nodes USING (tree, node) GROUP BY level""",
 SELECT user_id, coalesce(any_value(bad), 0)::BIGINT AS n_violations, count(*) FILTER (WHERE type_code IS NULL) AS n_missing
 FROM e LEFT JOIN (SELECT user_id, count(*) FILTER (WHERE type_code < before) AS bad FROM p GROUP BY 1) USING (user_id) GROUP BY 1""",
         "node_catalog": catalog + "SELECT tree, feature, count(*) AS n_splits, count(DISTINCT predicate) AS n_predicates FROM nodes WHERE op IS NOT NULL GROUP BY 1, 2",
-        "walk_shares": catalog + "SELECT feature, sum(weight) AS weight, count(*) AS n_splits FROM nodes WHERE op IS NOT NULL GROUP BY 1",
+        "tree_catalog": f"WITH {_nodes(models.events_forest())} SELECT tree, n_nodes, n_leaves, n_categories, (sum(n_nodes) OVER (ORDER BY tree) - n_nodes)::BIGINT AS node_start FROM (SELECT tree, count(*) AS n_nodes, count(*) FILTER (WHERE op IS NULL) AS n_leaves, coalesce(sum(len(cats)) FILTER (WHERE op = 'in'), 0)::BIGINT AS n_categories FROM nodes GROUP BY 1)",
+        "feature_ranges": f"WITH {_nodes(models.events_forest())} SELECT feature, op = 'in' AS categorical, min(predicate)::BIGINT AS first, max(predicate)::BIGINT AS last, count(DISTINCT predicate) AS n_predicates, count(*) AS n_splits FROM nodes WHERE op IS NOT NULL GROUP BY ALL",
+        "tree_order": f"WITH RECURSIVE {_paths(models.large_forest())} SELECT row_number() OVER (ORDER BY path, tree) - 1 AS place, tree::BIGINT AS tree, len(path)::BIGINT AS n_splits FROM paths",
+        "prefix_groups": f"""WITH RECURSIVE {_paths(models.large_forest())},
+lead AS (SELECT tree, path, coalesce(list_position(list_transform(features, lambda f: f IN (0, 1)), false), len(path) + 1) - 1 AS upto FROM paths),
+cut AS (SELECT path[1] AS predicate, path[:upto] AS path FROM lead WHERE upto > 0),
+ends AS (SELECT predicate, count(*) AS n_trees, min(len(path)) AS short, list(path) AS all_paths FROM cut GROUP BY 1),
+depths AS (SELECT predicate, n_trees, len(list_filter(range(1, short + 1), lambda k: len(list_distinct(list_transform(all_paths, lambda p: p[:k]))) = 1)) AS depth FROM ends)
+SELECT predicate::BIGINT AS predicate, n_trees, depth::BIGINT AS depth, ((n_trees - 1) * depth)::BIGINT AS saved_steps FROM depths""",
+        "walk_shares": masses + "".join(
+            f"{' UNION ALL' if k else ''} SELECT '{name}_split' AS mode, round(sum(mass) FILTER (WHERE {in_varying}) / sum(mass), 9) AS phi, round(sum(mass) FILTER (WHERE op IS NULL) / sum(mass), 9) AS lambda, round(sum(mass) FILTER (WHERE op IS NULL OR {in_varying}) / sum(mass), 9) AS events_per_step FROM {name} JOIN nodes USING (tree, node)"
+            for k, name in enumerate(("never", "always"))).replace("feature IN", "op IS NOT NULL AND feature IN"),
+        "model_stats": masses + f""" SELECT (SELECT count(DISTINCT tree) FROM nodes) AS n_trees, (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM nodes WHERE op IS NULL) AS n_leaves,
+(SELECT count(DISTINCT predicate) FROM nodes) AS n_predicates, (SELECT round(avg(CASE WHEN {in_varying} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) FROM nodes WHERE op IS NOT NULL) AS varying_share,
+(SELECT round(sum(mass) / 12, 9) FROM never JOIN nodes USING (tree, node) WHERE op IS NOT NULL) AS steps_leaf""",
+        "systematic_sample": strata + " SELECT l_orderkey, n, stratum, timed FROM timed",
+        "sample_design": strata + " SELECT stratum, pool, pool_rows, round(fraction, 12) AS fraction, sampled FROM strata",
+        "design_faults": strata + ", rec AS (SELECT stratum, pool, fraction, sampled + CASE WHEN stratum = 1 THEN 1 ELSE 0 END AS sampled FROM strata), seen AS (SELECT stratum, count(*) AS pool2, count(*) FILTER (WHERE timed) AS sampled2 FROM timed GROUP BY 1) "
+        "SELECT stratum, pool <> pool2 OR sampled <> sampled2 AS counts, abs(sum(sampled) OVER (ORDER BY stratum) - sum(pool * fraction) OVER (ORDER BY stratum)) >= 1 + 1e-9 AS drift FROM rec JOIN seen USING (stratum)",
+        "crossed_bootstrap": _crossed("cell") + " SELECT cell, round(ratio, 9) AS ratio, round(low, 9) AS low, round(high, 9) AS high FROM found",
+        "wide_intervals": _crossed("cell, variant") + ", halves AS (SELECT cell, variant, 100 * (high - low) / 2 / ratio AS half FROM found) SELECT cell, (list(variant ORDER BY half DESC, variant DESC))[1] AS variant, round(max(half), 6) AS half_percent, count(*) AS n_wide FROM halves WHERE half > 5.0 GROUP BY 1",
+        "nested_median_bootstrap": _nested(),
+        "work_terms": SAMPLES + """, c AS (SELECT cell, block, sum(ticks) AS t, sum(n_rows) AS n, count(*) AS k, max(n_rows) AS hi, min(n_rows) AS lo, block + 2 AS v FROM samples GROUP BY ALL),
+d AS (SELECT *, k + CASE WHEN v = 3 THEN lo * 12 ELSE 0 END AS leaves FROM c)
+SELECT cell, block, (CASE WHEN v = 2 THEN t WHEN v <= 7 THEN t + n - hi - leaves END)::BIGINT AS constant_steps, (CASE WHEN v <= 7 THEN hi END)::BIGINT AS varying_splits,
+(CASE WHEN v = 2 THEN k WHEN v <= 7 THEN leaves END)::BIGINT AS leaf_hits, (CASE WHEN v = 2 THEN lo WHEN v <= 7 THEN hi - lo END)::BIGINT AS unsplit_skips FROM d""",
         "panel_expand": "SELECT c_custkey, t, (t / 12.0::DOUBLE) * (t / 12.0::DOUBLE) AS t_frac_sq, 11 - t AS t_left, round(c_acctbal * (t / 12.0::DOUBLE), 6) AS base_frac, round(sin(pi() * (t / 12.0::DOUBLE)), 9) AS t_sine FROM customer, range(12) AS r(t)",
         "session_shuffle": f"SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {_seeded(5, 'o_orderkey')}, o_orderkey) - 1 AS place FROM orders",
         "cohort_first_n": f"SELECT o_custkey, o_orderkey, width::BIGINT AS width, place FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY {_seeded(5, 'o_orderkey')}, o_orderkey) - 1 AS place FROM orders), (VALUES (2), (4), (8)) AS w(width) WHERE n >= 8 AND place < width",

@@ -1,7 +1,10 @@
 """Scoring by generated SQL: one CASE per tree, exact integer sums, entity push-down.
 
-Everything stays in whole-stage codegen; nothing is shuffled but the join that
-the caller asks for.
+Everything stays in generated code; nothing is shuffled but the join that the
+caller asks for.  The JVM does not compile methods of more than 8,000 bytes of
+bytecode, and whole-stage codegen puts a projection into one method.  So sums of
+trees are projected outside of it (`small_methods`), where Spark splits the code
+of every expression into small methods.
 """
 
 from __future__ import annotations
@@ -16,8 +19,11 @@ from ..model import Forest, Node
 
 #: Bits of a flag word; bit 63 is the sign.
 WORD = 63
-#: Trees whose splits together exceed this go to one more projection.
-CHUNK_SPLITS = 320
+
+
+def small_methods(column: str) -> Column:
+    """0, by an expression that whole-stage codegen doesn't take; it keeps its projection out of there."""
+    return F.size(F.filter(F.array(column), lambda v: F.lit(False))).cast("bigint")
 
 
 def double_text(x: float) -> str:
@@ -69,27 +75,20 @@ def missing_as_nan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(math.nan)) for c in columns})
 
 
-def add_sums(df: DataFrame, forest: Forest, test: Callable[[tuple], str], trees: Sequence[int], name: str) -> DataFrame:
-    """Adds the exact integer sum of the given trees' leaves, a chunk of trees per projection."""
-    decimal = forest.sum_plan.kind == "decimal"
-    chunks, splits = [[]], 0
-    for k in trees:
-        splits += len(forest.trees[k]) // 2
-        if splits > CHUNK_SPLITS and chunks[-1]:
-            chunks.append([])
-            splits = len(forest.trees[k]) // 2
-        chunks[-1].append(k)
-    kind = "DECIMAL(38,0)" if decimal else "BIGINT"
-    parts = []
-    for number, chunk in enumerate(chunks):
-        terms = [tree_text(forest, k, test) for k in chunk] or [f"CAST(0 AS {kind})"]
-        part = f"__part{number}"
-        df = df.withColumn(part, F.expr(" + ".join(f"({t})" for t in terms)).cast(kind))
-        parts.append(part)
-    total = F.col(parts[0])
-    for part in parts[1:]:
-        total = total + F.col(part)
-    return df.withColumn(name, total.cast(kind)).drop(*parts)
+def _added(terms: list[str]) -> str:
+    """A balanced sum, so that its tree is not as deep as the forest is wide."""
+    while len(terms) > 1:
+        terms = [f"({a} + {b})" for a, b in zip(terms[::2], terms[1::2])] + ([terms[-1]] if len(terms) % 2 else [])
+    return terms[0]
+
+
+def add_sums(df: DataFrame, forest: Forest, test: Callable[[tuple], str], trees: Sequence[int], name: str, anchor: str) -> DataFrame:
+    """Adds the exact integer sum of the given trees' leaves; anchor is any column without nulls."""
+    kind = "DECIMAL(38,0)" if forest.sum_plan.kind == "decimal" else "BIGINT"
+    terms = [f"({tree_text(forest, k, test)})" for k in trees]
+    if not terms:
+        return df.withColumn(name, F.lit(0).cast(kind))
+    return df.withColumn(name, (F.expr(_added(terms)) + small_methods(anchor)).cast(kind))
 
 
 def stage_columns(forest: Forest, fixed: Column) -> dict[str, Column]:
@@ -117,7 +116,7 @@ def score(df: DataFrame, forest: Forest, features: Sequence[str]) -> DataFrame:
     held = {f: f"__f{k}" for k, f in enumerate(features)}
     out = df.withColumns({h: F.coalesce(F.col(f).cast("double"), F.lit(math.nan)) for f, h in held.items()})
     names = list(held.values())
-    out = add_sums(out, forest, lambda p: condition(forest, p, names[p[0]]), range(len(forest.trees)), "__sum")
+    out = add_sums(out, forest, lambda p: condition(forest, p, names[p[0]]), range(len(forest.trees)), "__sum", names[0])
     return out.withColumns(stage_columns(forest, F.col("__sum"))).drop("__sum", *names)
 
 
@@ -147,8 +146,8 @@ def score_pushed(
         mine = [p for p, b in bits.items() if w <= b < w + WORD]
         text = " | ".join(f"(CASE WHEN {condition(forest, p, names[p[0]])} THEN {1 << bits[p] - w}L ELSE 0L END)" for p in mine)
         words.append(f"__w{w // WORD}")
-        held = held.withColumn(words[-1], F.expr(text))
-    held = add_sums(held, forest, lambda p: condition(forest, p, names[p[0]]), fixed_trees, "__entity_sum")
+        held = held.withColumn(words[-1], F.expr(text) + small_methods(names[on_entity[0]]))
+    held = add_sums(held, forest, lambda p: condition(forest, p, names[p[0]]), fixed_trees, "__entity_sum", names[on_entity[0]] if on_entity else "__none")
     held = held.select(key, *words, "__entity_sum")
     varying = [k for k in range(len(features)) if k not in constant]
     out = rows.withColumns({names[k]: F.coalesce(F.col(features[k]).cast("double"), F.lit(math.nan)) for k in varying}).join(held, key)
@@ -158,6 +157,6 @@ def score_pushed(
             return condition(forest, p, names[p[0]])
         return f"((__w{bits[p] // WORD} & {1 << bits[p] % WORD}L) <> 0L)"
 
-    out = add_sums(out, forest, test, mixed, "__row_sum")
+    out = add_sums(out, forest, test, mixed, "__row_sum", "__entity_sum")
     out = out.withColumns(stage_columns(forest, F.col("__entity_sum") + F.col("__row_sum")))
     return out.drop("__entity_sum", "__row_sum", *words, *[names[k] for k in varying])

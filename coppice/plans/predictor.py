@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import GroupingConfig
 from ..model import Forest
-from . import cases, frontier, walker
+from . import cases, frontier, grouped, walker
 
 #: Splits up to which CASE text stays inside whole-stage codegen's method limit.
 CASE_SPLITS = 640
@@ -60,5 +60,5 @@ class Predictor:
         if self.strategy == "walker":
             kept = [self.features[k] for k in self.config.constant_features]
             joined = rows.join(entities.select(key, *kept), key)
-            return walker.score(joined, self.forest, self.features, rows.columns)
+            return grouped.score(joined, self.forest, self.features, set(self.config.constant_features), key, rows.columns)
         return cases.score_pushed(entities, rows, key, self.forest, self.features, set(self.config.constant_features))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,9 @@ from ..model import Forest
 from .cases import finish
 
 #: Rows walked at once; bounds memory at BLOCK * trees * 24 bytes.
-BLOCK = 4096
+BLOCK = 1024
+#: Bits of a digit of wide sums; int64 holds sums of 2**34 of them.
+DIGIT = 29
 
 
 class Arrays:
@@ -29,6 +32,7 @@ class Arrays:
         self.threshold = np.array([n.threshold for n, _ in flat], np.float64)
         self.strict = np.array([n.op == "<" for n, _ in flat], bool)
         self.member = np.array([n.op == "in" for n, _ in flat], bool)
+        self.some_strict, self.some_member = bool(self.strict.any()), bool(self.member.any())
         self.default = np.array([n.default_left for n, _ in flat], bool)
         self.left = np.array([s + n.left if n.op else j for j, (n, s) in enumerate(flat)], np.int64)
         self.right = np.array([s + n.right if n.op else j for j, (n, s) in enumerate(flat)], np.int64)
@@ -38,7 +42,31 @@ class Arrays:
         self.categories = np.array([c for cs in lists for c in cs], np.int64)
         self.plan, self.scale = forest.sum_plan.kind, forest.sum_plan.scale
         if self.plan == "long":
-            self.fixed = np.array([forest.fixed(n.value) if n.op is None else 0 for n, _ in flat], np.int64)
+            self.fixed = np.array([forest.fixed(n.value) if n.op is None else 0 for n, _ in flat], np.int64)[:, None]
+        else:
+            self._digits([n.value if n.op is None else 0.0 for n, _ in flat])
+
+    def _digits(self, values: list[float]) -> None:
+        """Leaves as integers of 2**-scale in signed digits of DIGIT bits, nodes by digits, so that int64 sums of them are exact."""
+        exact = [Fraction(v) for v in values]
+        self.scale = max((v.denominator.bit_length() - 1 for v in exact), default=0)
+        whole = [int(v * (1 << self.scale)) for v in exact]
+        n = max((abs(v).bit_length() for v in whole), default=0) // DIGIT + 1
+        mask = (1 << DIGIT) - 1
+        self.fixed = np.array([[(abs(v) >> DIGIT * k & mask) * (1 if v >= 0 else -1) for k in range(n)] for v in whole], np.int64).reshape(len(whole), n)
+
+    def rounded(self, sums: np.ndarray) -> np.ndarray:
+        """Doubles nearest to exact sums, given as rows of digits."""
+        if self.plan == "long":
+            return sums[:, 0].astype(np.float64) * 2.0**-self.scale + 0.0
+        whole, out = 1 << self.scale, np.empty(len(sums))
+        for k, digits in enumerate(sums.tolist()):
+            total = sum(d << DIGIT * j for j, d in enumerate(digits))
+            try:
+                out[k] = total / whole
+            except OverflowError:
+                out[k] = math.copysign(math.inf, total)
+        return out
 
     def _members(self, nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
         inside = (x >= 0) & (x < 2.0**32)
@@ -58,26 +86,37 @@ class Arrays:
         rows = np.arange(len(x))[:, None]
         for _ in range(self.depth):
             v = x[rows, self.feature[at]]
-            t = self.threshold[at]
-            with np.errstate(invalid="ignore"):
-                left = np.where(self.strict[at], v < t, v <= t)
-            where = self.member[at] & ~np.isnan(v)
-            if where.any():
-                left[where] = self._members(at[where], v[where])
-            left = np.where(np.isnan(v), self.default[at], left)
-            at = np.where(left, self.left[at], self.right[at])
+            at = np.where(self.goes_left(at, v), self.left[at], self.right[at])
         return at
 
+    def goes_left(self, nodes: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether values go left at nodes; both of one shape, or values with one more axis."""
+        wide = (lambda a: a[..., None]) if v.ndim > nodes.ndim else (lambda a: a)
+        t = wide(self.threshold[nodes])
+        missing = np.isnan(v)
+        with np.errstate(invalid="ignore"):
+            left = (v < t) | (v == t) & ~wide(self.strict[nodes]) if self.some_strict else v <= t
+        if len(self.categories) or self.some_member:
+            where = np.broadcast_to(wide(self.member[nodes]), v.shape) & ~missing
+            if where.any():
+                left[where] = self._members(np.broadcast_to(wide(nodes), v.shape)[where], v[where])
+        if missing.any():
+            left = np.where(missing, wide(self.default[nodes]), left)
+        return left
+
     def sums(self, x: np.ndarray) -> np.ndarray:
         """Sum of the leaves of every row, rounded once."""
-        if self.single:
-            with np.errstate(over="ignore"):
-                x = x.astype(np.float32).astype(np.float64)
-        at = self.leaves(x)
-        if self.plan == "long":
-            return self.fixed[at].sum(axis=1).astype(np.float64) * 2.0**-self.scale
-        values = self.value[at]
-        return np.array([math.fsum(v) + 0.0 for v in values.tolist()], np.float64)
+        at = self.leaves(self.typed(x))
+        if not at.shape[1]:
+            return np.zeros(len(x))
+        return self.rounded(np.stack([self.fixed[:, k][at].sum(axis=1) for k in range(self.fixed.shape[1])], axis=1))
+
+    def typed(self, x: np.ndarray) -> np.ndarray:
+        """Values as the model's type has them."""
+        if not self.single:
+            return x
+        with np.errstate(over="ignore"):
+            return x.astype(np.float32).astype(np.float64)
 
 
 def score(df: DataFrame, forest: Forest, features: Sequence[str], key: Sequence[str]) -> DataFrame:

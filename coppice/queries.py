@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from . import models
 from .config import GroupingConfig
 from .functions.ordering import nearest_rank
-from .model import NODE_SCHEMA
-from .operators import contracts, prep, stats, workloads
-from .plans import cases, frontier, walker
+from .operators import contracts, estimates, prep, schedule, stats, structure, workloads
+from .plans import cases, frontier, grouped, walker
 from .plans.predictor import Predictor
+from .session import spread
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
@@ -21,14 +21,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _orders(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"))
+    return spread(_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", F.substring("o_orderpriority", 1, 1).cast("double").alias("priority")))
 
 
 def _lines(spark, sf_dir) -> DataFrame:
     """Line items; the highest taxes count as missing."""
-    return _table(spark, sf_dir, "lineitem").select(
-        *LINE_KEY, "l_extendedprice", "l_discount", F.when(F.col("l_tax") <= 0.075, F.col("l_tax")).alias("l_tax"))
+    return spread(_table(spark, sf_dir, "lineitem").select(
+        *LINE_KEY, "l_extendedprice", "l_discount", F.when(F.col("l_tax") <= 0.075, F.col("l_tax")).alias("l_tax")))
 
 
 def _order_lines(spark, sf_dir) -> DataFrame:
@@ -37,7 +37,7 @@ def _order_lines(spark, sf_dir) -> DataFrame:
 
 def _user_events(spark, sf_dir) -> DataFrame:
     """Events with per-user constants; event codes are null for signups."""
-    events = _table(spark, sf_dir, "events")
+    events = spread(_table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type", "props"))
     code = F.when(F.col("event_type") == "click", 0.0).when(F.col("event_type") == "error", 1.0).when(
         F.col("event_type") == "purchase", 2.0).when(F.col("event_type") == "view", 3.0)
     k = F.regexp_extract("props", '"k": ([0-9]+)', 1)
@@ -82,6 +82,30 @@ def forest_walker(spark, sf_dir):
     return _staged(walker.score(_order_lines(spark, sf_dir), models.large_forest(), models.ORDER_FEATURES, LINE_KEY))
 
 
+def _panel(spark, sf_dir):
+    """Customers by 32 steps, in the order of their steps."""
+    customers = spread(_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment"))
+    code = F.when(F.col("c_mktsegment") == "AUTOMOBILE", 0.0).when(F.col("c_mktsegment") == "BUILDING", 1.0).when(
+        F.col("c_mktsegment") == "FURNITURE", 2.0).when(F.col("c_mktsegment") == "MACHINERY", 3.0)
+    held = customers.select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey"), code.alias("segment"),
+                            F.length(F.col("c_custkey").cast("string")).cast("double").alias("n_digits"), ((F.col("c_custkey") % 1000) / 1000.0).alias("key_share"))
+    return workloads.panel(held, 32, "c_acctbal")
+
+
+def _panel_stages(df):
+    return df.select("c_custkey", F.col("t").cast("bigint").alias("t"), "tree_sum", "raw_margin")
+
+
+def panel_walker(spark, sf_dir):
+    """The full walk of every row of a panel."""
+    return _panel_stages(walker.score(_panel(spark, sf_dir), models.panel_forest(), models.PANEL_FEATURES, ["c_custkey", "t"]))
+
+
+def panel_grouped(spark, sf_dir):
+    """The same rows, constant splits walked once for each customer."""
+    return _panel_stages(grouped.score(_panel(spark, sf_dir), models.panel_forest(), models.PANEL_FEATURES, models.PANEL_CONSTANT, "c_custkey", ["c_custkey", "t"]))
+
+
 def forest_average(spark, sf_dir):
     return _staged(cases.score(_order_lines(spark, sf_dir), models.averaged_forest(), models.ORDER_FEATURES))
 
@@ -130,14 +154,35 @@ def monotone_violations(spark, sf_dir):
 
 def node_catalog(spark, sf_dir):
     """Splits per tree and feature of the flagship forest."""
-    nodes = spark.createDataFrame(models.orders_forest().node_rows(), NODE_SCHEMA)
+    nodes = structure.nodes(spark, models.orders_forest())
     return nodes.filter("not is_leaf").groupBy("tree", "feature").agg(F.count("*").alias("n_splits"), F.count_distinct("predicate").alias("n_predicates"))
 
 
+def tree_catalog(spark, sf_dir):
+    return structure.trees(spark, models.events_forest())
+
+
+def feature_ranges(spark, sf_dir):
+    return structure.feature_ranges(spark, models.events_forest())
+
+
+def tree_order(spark, sf_dir):
+    return structure.tree_order(spark, models.large_forest())
+
+
+def prefix_groups(spark, sf_dir):
+    return structure.prefix_groups(spark, models.large_forest(), models.ORDER_CONSTANT)
+
+
 def walk_shares(spark, sf_dir):
-    """Per feature, the training weight that passes its splits and their number."""
-    nodes = spark.createDataFrame(models.orders_forest().node_rows(), NODE_SCHEMA)
-    return nodes.filter("not is_leaf").groupBy("feature").agg(F.sum("weight").alias("weight"), F.count("*").alias("n_splits"))
+    """Shares of walk steps that stop at varying splits or leaves, for groups that never and that always split."""
+    out = structure.walk_shares(spark, models.orders_forest(), set(range(6)) - models.ORDER_CONSTANT)
+    return out.select("mode", *(F.round(c, 9).alias(c) for c in ("phi", "lambda", "events_per_step")))
+
+
+def model_stats(spark, sf_dir):
+    out = structure.model_stats(spark, models.orders_forest(), set(range(6)) - models.ORDER_CONSTANT)
+    return out.select("n_trees", "n_nodes", "n_leaves", "n_predicates", F.round("varying_share", 9).alias("varying_share"), F.round("steps_leaf", 9).alias("steps_leaf"))
 
 
 def panel_expand(spark, sf_dir):
@@ -350,6 +395,71 @@ def stratified_sizes(spark, sf_dir):
     return stats.stratified_sample(sizes, "l_orderkey", "n", 20, 2)
 
 
+def _order_sizes(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+def systematic_sample(spark, sf_dir):
+    """Orders timed when a sample may hold 5,000 rows: one fraction for all, quotas by size."""
+    groups, _ = schedule.systematic_sample(_order_sizes(spark, sf_dir), "l_orderkey", "n", 5000, 50, 3)
+    return groups
+
+
+def sample_design(spark, sf_dir):
+    _, strata = schedule.systematic_sample(_order_sizes(spark, sf_dir), "l_orderkey", "n", 5000, 50, 3)
+    return strata.withColumn("fraction", F.round("fraction", 12))
+
+
+def design_faults(spark, sf_dir):
+    """A record that takes one group of a stratum too many, against the groups."""
+    groups, strata = schedule.systematic_sample(_order_sizes(spark, sf_dir), "l_orderkey", "n", 5000, 50, 3)
+    return schedule.design_faults(groups, "n", strata.withColumn("sampled", F.col("sampled") + (F.col("stratum") == 1).cast("bigint")))
+
+
+def method_schedule(spark, sf_dir):
+    """Four rounds of three methods over the regions as groups."""
+    n = _table(spark, sf_dir, "region").count()
+    return schedule.Schedule.of(n, 3, 2, schedule.name_seed(7, "cell")).phases(spark, ["a", "b", "c"], 4)
+
+
+def crossed_bootstrap(spark, sf_dir):
+    out = estimates.crossed_ratio(_samples(spark, sf_dir), ["cell"], "block", "round", F.col("ticks"), F.col("n_rows"), 40, 11)
+    return out.select("cell", *(F.round(c, 9).alias(c) for c in ("ratio", "low", "high")))
+
+
+def nested_median_bootstrap(spark, sf_dir):
+    """Latency of variants against the base one; blocks belong to rounds, entities are crossed with them."""
+    samples = _samples(spark, sf_dir).withColumns({"entity": F.col("event_id") % 11, "round": F.col("block") % 4})
+    out = estimates.nested_median_ratios(samples, "cell", "variant", "block", "entity", "round", "ticks", "base", 30, 5)
+    return out.select("cell", "variant", "latency", *(F.round(c, 9).alias(c) for c in ("ratio", "low", "high")))
+
+
+def wide_intervals(spark, sf_dir):
+    """Cells with blocks whose ratio is known to 5 percent at worst, and the widest of them."""
+    found = estimates.crossed_ratio(_samples(spark, sf_dir), ["cell", "variant"], "block", "round", F.col("ticks"), F.col("n_rows"), 40, 11)
+    out = estimates.wide_intervals(found, ["cell"], 5.0)
+    return out.select("cell", "variant", F.round("half_percent", 6).alias("half_percent"), "n_wide")
+
+
+def work_terms(spark, sf_dir):
+    """Counters of blocks in five versions, in common terms; ticks and rows stand in for the counters."""
+    t, n = F.col("ticks"), F.col("n_rows")
+    counted = _samples(spark, sf_dir).groupBy("cell", "block").agg(F.sum(t).alias("walk_steps"), F.sum(n).alias("prefix_steps"), F.count("*").alias("leaf_events"), F.max(n).alias("varying_events"), F.min(n).alias("splits"))
+    versions = counted.withColumns({"version": F.col("block") + 2, "single_rows": F.col("splits"), "trees": F.lit(12), "constant_steps": F.col("walk_steps"), "varying_splits": F.col("varying_events"), "leaf_hits": F.col("leaf_events"), "unsplit_skips": F.col("splits")})
+    return versions.select("cell", "block", *(c.cast("bigint").alias(k) for k, c in estimates.work_terms().items()))
+
+
+def work_per_row(spark, sf_dir):
+    """Steps of the masked walk of events by user, as a share of the full walk's."""
+    forest = models.events_forest()
+    events = _user_events(spark, sf_dir)
+    steps = work_counters(spark, sf_dir).agg(F.sum("constant_events").alias("constant"), F.sum("varying_events").alias("varying"))
+    size = events.agg(F.count("*").alias("rows"), F.count_distinct("user_id").alias("groups"))
+    n = sum(p[0] not in models.EVENT_CONSTANT for p in forest.predicates)
+    share = estimates.work_per_row(F.col("constant"), F.col("varying"), F.col("rows") * n, F.col("rows"), F.col("groups"), len(forest.trees), forest.depth)
+    return steps.join(size).select(F.round(share, 9).alias("share"))
+
+
 def two_mode_split(spark, sf_dir):
     return stats.two_modes(_samples(spark, sf_dir), ["cell"], "ticks")
 
@@ -387,9 +497,10 @@ def bootstrap_ratio(spark, sf_dir):
 
 
 ALL = (
-    forest_score_orders, forest_stages, forest_pushdown, forest_walker, forest_average, forest_float32, forest_frontier,
+    forest_score_orders, forest_stages, forest_pushdown, forest_walker, panel_walker, panel_grouped, forest_average, forest_float32, forest_frontier,
     categorical_splits, predict_group, predict_fixed, predicate_masks, work_counters, constant_violations, monotone_violations,
-    node_catalog, walk_shares, panel_expand, session_shuffle, cohort_first_n, whatif_variants, whatif_donors, whatif_grid,
+    node_catalog, tree_catalog, feature_ranges, tree_order, prefix_groups, walk_shares, model_stats, systematic_sample, sample_design,
+    design_faults, method_schedule, crossed_bootstrap, nested_median_bootstrap, wide_intervals, work_terms, work_per_row, panel_expand, session_shuffle, cohort_first_n, whatif_variants, whatif_donors, whatif_grid,
     row_groups, zero_fraction, draw_entities, category_encode, entity_split, digitize_bins, survival_expand, session_filter,
     fill_missing, replicate_sample, name_fields, drop_missing, nearest_rank_percentiles, block_nested_median, dense_rank_over,
     mean_over, run_boundaries, group_offsets, summary_aggregates, pivot_speedup, union_diagonal, argmax_attempt, top_k,
