@@ -1,5 +1,6 @@
 """op2, op7, op10 and the pipeline against brute force, planted cases and the library."""
 
+import random
 import re
 
 import numpy as np
@@ -213,3 +214,28 @@ def test_pipeline_stages(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert 0 < len(out) and all(r.round_trip for r in out)
     assert len({r.doc_id for r in out}) == len(out)
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Planted copies of 150 words with up to 18 edits in 100: at least 0.9 of them, and of their words, are found."""
+    rng, rows, places = random.Random(9), [], {}
+    word = lambda: f"w{rng.randrange(10**9)}"
+    for k in range(160):
+        base = [word() for _ in range(150)]
+        copy = []
+        for w in base:
+            kind = rng.choice("sdi" if k % 2 else "s") if rng.random() < (0.05, 0.1, 0.15, 0.18)[k // 2 % 4] else ""
+            copy += {"": [w], "s": [word()], "d": [], "i": [w, word()]}[kind]
+        rows += [(2 * k, " ".join([*(word() for _ in range(30)), *base])), (2 * k + 1, " ".join([*copy, *(word() for _ in range(30))]))]
+        places[2 * k + 1] = len(copy)
+    got = chains.passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r.src_doc_id == r.doc_id - 1 and r.identity >= 0.75 for r in got)  # a union of pieces can be less equal than each
+    assert len({r.doc_id for r in got}) >= 0.9 * len(places)
+    assert sum(min(r.end_word, places[r.doc_id]) - r.start_word for r in got) >= 0.9 * sum(places.values())
+
+
+def test_passages_of_odd_rows(spark):
+    text = " ".join(f"p{k}" for k in range(70))
+    rows = [(None, text, 1, "a"), (1, text, 2, "b"), (1, text, 2, "b"), (2, text.upper(), 3, "c"), (3, None, 4, "d"), (4, " \n\t ", 5, "e"), (5, text + " " + "x " * 60_000, 6, "f")]
+    got = chains.passages(spark.createDataFrame(rows, "doc_id bigint, text string, seed int, src string")).collect()
+    assert sorted((r.doc_id, r.src_doc_id, r.start_word, r.end_word) for r in got) == [(2, 1, 0, 70), (5, 1, 0, 70)]
