@@ -1,17 +1,24 @@
 """N-gram Jaccard join (7): pivots, Voronoi regions, boundary windows, recursion.
 
-Documents are sets of word shingles under the metric 1 - Jaccard.  Pivots are
-the sets of one shingle: a document is nearest (at 1 - 1/size) to the pivots in
-it and at 1 from all others, ties going to the rarer pivot.  Two sets within
-distance 0.2 share 80 of 100 shingles of either, so a document that is
-replicated to its nearest 20 of 100 pivots + 1 meets every partner in a region:
-that is the exact boundary window.  Within a region sizes are sorted, and a
-size ratio under 0.8 (the triangle inequality, against the set of all shingles)
-cuts it.  Two documents within 0.2 share not one but a number of pivots of both
-windows that follows from their sizes; pairs that share fewer are left out,
-exactly.  What is left, and the members of large regions, form groups that are
-joined recursively: a group goes to one task, or to one for every two of its
-blocks, where whole sets are compared and only links that connect
+Documents are sets of word shingles under the metric 1 - Jaccard, with a radius
+r = 0.2.  Nearly all documents of a corpus are at distance 1 from each other, and so
+from any pivot that is a document: there, regions of such pivots would have to hold
+everything.  So the first pivots are the sets of one shingle: a document is nearest
+to the pivots in it and at 1 from all others, ties going to the rarer pivot.  Two
+sets within r share 80 of 100 shingles of either, so a document that is replicated
+to its nearest 20 of 100 pivots + 1 meets every partner in a region.  This first
+level is a prefix filter.  Within a region sizes are sorted, and a size ratio under
+0.8 cuts it.  Two documents within r share not one but a number of pivots of both
+windows that follows from their sizes; pairs that share fewer are left out, exactly.
+
+What is left, and the members of large regions, form groups of documents that have
+something in common, and there distances differ.  A group of more than a block is
+divided by document pivots: distances to all of them are computed, each document
+is at home in the Voronoi region of the nearest, and replicated to those that are
+at most 2 r further, as far as the triangle inequality lets a partner be.  Documents
+linked to a pivot are connected by that; in its region they are compared only to
+those that are not, if these can be within r.  Regions are divided again until they
+fit a block; there whole sets are compared, and only links that connect
 components come out.
 
 Rarity comes from a table of counts of fixed size over all documents; any order
@@ -36,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from . import textkernel as K
-from .common import checkpointed
+from .common import checkpointed, spread_join
 
 
 @dataclass(frozen=True)
@@ -47,8 +54,8 @@ class Join:
     table_bits: int = 18
     #: Regions up to so many documents are listed, pair by pair; larger ones become a group.
     region: int = 24
-    #: Documents of a group that go to one task, at most, for each of two blocks.
-    block: int = 1024
+    #: Documents of a group that are compared in one task; larger groups are divided by pivots.
+    block: int = 256
 
 
 _BLOCK = 4096
@@ -322,16 +329,117 @@ def _candidates(regions: DataFrame, how: Join) -> DataFrame:
     return chosen.unionAll(regions.where("sizes is null").select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")))
 
 
+def _distances(how: Join):
+    """Rows (g, part, x, lead, text) sorted with each part's pivots first to (g, x, pivot, home, d, linked).
+
+    A member is at home in the region of its nearest pivot.  A partner within the
+    radius r of it is at most 2 r further from that pivot than from its own nearest
+    one (triangle inequality): so members are replicated to the regions of all pivots
+    that are that near.
+    """
+    window = 2 * (1 - how.percent / 100) + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, sets, index = None, [], [], None
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            ids, leads, out = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
+            for first, last, data, offsets in K.text_slices(batch.column(4)):
+                found, owner = shingles(data, offsets, how.words)
+                at = np.searchsorted(owner, np.arange(last - first + 1))
+                for k in range(last - first):
+                    row, own = first + k, found[at[k] : at[k + 1]]
+                    if keys[row] != now:
+                        now, names, sets, index = keys[row], [], [], None
+                    if leads[row]:
+                        names.append(ids[row])
+                        sets.append(own.copy())
+                        continue
+                    if index is None:
+                        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                        order = np.argsort(flat, kind="stable")
+                        index = flat[order], of[order], np.array([len(s) for s in sets])
+                    flat, of, sizes = index
+                    low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+                    n = high - low
+                    hits = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+                    both = np.bincount(of[hits], minlength=len(sizes))
+                    union = len(own) + sizes - both
+                    far, linked = 1 - both / union, 100 * both >= how.percent * union
+                    home = int(np.argmin(far))
+                    out += [(now[0], ids[row], names[j], j == home, float(far[j]), bool(linked[j])) for j in np.flatnonzero(far <= far[home] + window)]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["g", "x", "pivot", "home", "d", "linked"])
+
+    return run
+
+
+def _divided(members: DataFrame, texts: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
+    """Large groups (g, x, part, n) by new pivots: exact links to pivots, and what is left to compare, as (g, x, part, n, parent).
+
+    part marks members linked to their group's pivot; they are connected already, so
+    pivots are drawn from the others.  In a region, members linked to its pivot need
+    no comparison with each other, nor with any that is r further from the pivot: they
+    stay only where a member that isn't linked is near enough.
+    """
+    want = F.ceil(2 * F.col("n") / how.block)
+    drawn = members.where((~F.col("part")) & (F.pmod(F.xxhash64("x", "g"), F.col("n")) < want)).select("g", "x")
+    least = members.where(~F.col("part")).groupBy("g").agg(F.min("x").alias("x"))
+    pivots = drawn.unionAll(least).distinct()
+    parts = F.ceil(F.col("n") / how.block).cast("int")
+    dealt = members.select("g", F.pmod(F.xxhash64("x"), parts).cast("int").alias("part_no"), "x", F.lit(False).alias("lead"))
+    leads = pivots.join(members.groupBy("g").agg(F.first("n").alias("n")), "g").select("g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part_no"), "x", F.lit(True).alias("lead"))
+    rows = dealt.unionAll(leads).join(texts, "x").select("g", "part_no", "x", "lead", "text").repartition("g", "part_no").sortWithinPartitions("g", "part_no", F.desc("lead"), "x")
+    near = checkpointed(rows.mapInArrow(_distances(how), "g bigint, x bigint, pivot bigint, home boolean, d double, linked boolean"))
+    links = near.where("linked and x <> pivot").select(F.col("x").alias("a"), F.col("pivot").alias("b"))
+    placed = near.join(members.select("g", "x", F.col("part").alias("was_part"), F.col("n").alias("parent")), ["g", "x"])
+    placed = placed.withColumn("region", F.xxhash64("g", "pivot"))
+    edge = F.min(F.when(~F.col("linked"), F.col("d")))
+    stats = placed.groupBy("region").agg(edge.alias("edge"), F.bool_and("was_part").alias("all_part"))
+    radius = 1 - how.percent / 100 + 1e-9
+    left = spread_join(placed, stats, "region", "x").where(~F.col("all_part") & F.col("edge").isNotNull() & (~F.col("linked") | (F.col("d") >= F.col("edge") - radius)))
+    counted = left.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes"))
+    kept = spread_join(left, counted.where("homes > 0 and n > 1"), "region", "x")
+    return links, checkpointed(kept.select(F.col("region").alias("g"), "x", F.col("linked").alias("part"), "n", "parent"))
+
+
+#: Levels of regions; what is still large then is compared by pairs of blocks.
+LEVELS = 8
+
+
 def _linked(frame: DataFrame, candidates: DataFrame, how: Join) -> DataFrame:
-    """Links that connect each component, from the groups of candidates."""
+    """Links that connect each component, from the groups of candidates.
+
+    A group larger than a block is divided by pivots, again and again; one that pivots
+    don't make a quarter smaller (all its members equally far from each other) goes to
+    a task for every two of its blocks.
+    """
     groups = checkpointed(graph.components(candidates))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / how.block).cast("int").alias("k"))
-    placed = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    dealt = placed.select(F.col("component").alias("g"), F.col("node").alias("x"), "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "x")
     texts = _texts_of(frame.where("doc_id is not null"), groups.select("node")).withColumnRenamed("doc_id", "x")
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    members = checkpointed(spread_join(groups, sizes, "component", "node").select(F.col("component").alias("g"), F.col("node").alias("x"), F.lit(False).alias("part"), "n"))
+    ready, links = members.where(F.col("n") <= how.block), []
+    large = members.where(F.col("n") > how.block)
+    for _ in range(LEVELS):
+        if large.isEmpty():
+            break
+        found, left = _divided(large, texts, how)
+        links.append(found)
+        small = F.col("n") <= how.block
+        stuck = ~small & (4 * F.col("n") > 3 * F.col("parent"))
+        ready = ready.unionAll(left.where(small | stuck).drop("parent"))
+        large = left.where(~small & ~stuck).drop("parent")
+    ready = ready.unionAll(large)
+    blocks = F.ceil(F.col("n") / how.block).cast("int")
+    placed = ready.select("g", "x", blocks.alias("k"), F.pmod(F.xxhash64("x"), blocks).cast("int").alias("block"))
+    dealt = placed.select("g", "x", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "x")
     rows = dealt.join(texts, "x").select("g", "i", "j", "side", "x", "text").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "x")
-    return rows.mapInArrow(_grouped(how), "a bigint, b bigint")
+    compared = rows.mapInArrow(_grouped(how), "a bigint, b bigint")
+    for found in links:
+        compared = compared.unionAll(found)
+    return compared
 
 
 def classes(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame]:

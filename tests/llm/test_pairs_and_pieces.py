@@ -239,3 +239,38 @@ def test_passages_of_odd_rows(spark):
     rows = [(None, text, 1, "a"), (1, text, 2, "b"), (1, text, 2, "b"), (2, text.upper(), 3, "c"), (3, None, 4, "d"), (4, " \n\t ", 5, "e"), (5, text + " " + "x " * 60_000, 6, "f")]
     got = chains.passages(spark.createDataFrame(rows, "doc_id bigint, text string, seed int, src string")).collect()
     assert sorted((r.doc_id, r.src_doc_id, r.start_word, r.end_word) for r in got) == [(2, 1, 0, 70), (5, 1, 0, 70)]
+
+
+def near_copies(seed, n):
+    """Families of texts at all distances: copies of copies with some words replaced, and loose relatives."""
+    rng = random.Random(seed)
+    base = [[f"b{f}w{k}" for k in range(60)] for f in range(3)]
+    out = {}
+    for d in range(n):
+        words = list(base[rng.randrange(3)])
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 6, 10))):
+            words[rng.randrange(60)] = f"r{rng.randrange(40)}"
+        out[d] = " ".join(words[: rng.choice((60, 60, 55, 30))])
+    return out
+
+
+@pytest.mark.parametrize("block,percent", [(4, 80), (16, 80), (16, 60), (10_000, 80)])
+def test_large_groups_are_divided_exactly(spark, block, percent):
+    texts = near_copies(block + percent, 220)
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    at = dict.fromkeys(texts)
+    for d in at:
+        at[d] = d
+
+    def root(d):
+        while at[d] != d:
+            d = at[d]
+        return d
+
+    for a in texts:
+        for b in range(a + 1, len(texts)):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                at[y] = x
+    got = jaccard.join(spark.createDataFrame(list(texts.items()), SCHEMA), jaccard.Join(block=block, percent=percent, region=6)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: root(d) for d in texts}
