@@ -176,20 +176,33 @@ def test_extension_goes_over_indels():
 
 
 def test_matches_over_batch_borders():
-    rows = sorted((int(s), int(d), int(a)) for s, d, a in np.random.default_rng(5).integers(0, 6, (150, 3)))
+    rows = sorted((int(s), int(q), int(d), int(a)) for s, q, d, a in np.random.default_rng(5).integers(0, (3, 2, 6, 6), (150, 4)))
     wanted = []
-    for s in range(6):
-        places = {d: min(a for u, e, a in rows if (u, e) == (s, d)) for d in sorted({e for u, e, _ in rows if u == s})}
+    for key in sorted({r[:2] for r in rows}):
+        here = [(d, a) for *k, d, a in rows if tuple(k) == key]
+        places = {d: min(a for e, a in here if e == d) for d in sorted({e for e, _ in here})}
         docs = list(places)
-        for u, d, a in rows:
-            if u == s:
-                wanted += [(d, p, a, places[p]) for p in {docs[0], docs[max(docs.index(d) - 1, 0)]} if p != d]
+        for d, a in here:
+            wanted += [(d, p, a, places[p]) for p in {docs[0], docs[max(docs.index(d) - 1, 0)]} if p != d]
     for size in (1, 2, 7, 150):
-        cut = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size])], ["seed", "doc", "at"]) for k in range(0, len(rows), size)]
+        cut = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size])], ["seed", "part", "doc", "at"]) for k in range(0, len(rows), size)]
         got = [tuple(r.values()) for b in chains._matches(iter(cut)) for r in b.to_pylist()]
         assert sorted(got) == sorted(wanted)
 
 
+def test_hot_seeds_are_dealt_over_ranges_of_documents(spark, monkeypatch):
+    """A line in every document, and other passages: with hot seeds the same passages as without, but for their sources."""
+    rng, line = random.Random(3), " ".join(f"l{k}" for k in range(60))
+    texts = [(d, " ".join([*(f"w{rng.randrange(10**9)}" for _ in range(40)), line, *(f"w{rng.randrange(10**9)}" for _ in range(40))])) for d in range(90)]
+    frame = spark.createDataFrame(texts, SCHEMA)
+    found = {}
+    for hot in (1, 2048):
+        monkeypatch.setattr(chains, "HOT", hot)
+        assert chains.hot_cells(frame, chains.Chaining()).any() == (hot == 2048)
+        found[hot] = sorted((r.doc_id, r.start_word, r.end_word) for r in chains.passages(frame).collect())
+    assert found[1] == found[2048] == [(d, 40, 100) for d in range(1, 90)]
+
+
 def test_accepted_pieces_equal_brute_force():
     how, rng = chains.Chaining(min_words=6), np.random.default_rng(3)
     for _ in range(300):
