@@ -39,12 +39,12 @@ def crossed_ratio(df: DataFrame, cell: Sequence[str], entity: str, round_: str,
     Rows are summed by entity and round first; a draw then weighs those sums.
     """
     cell = list(cell)
-    totals = df.groupBy(*cell, entity, round_).agg(F.sum(top).cast("double").alias("a"), F.sum(bottom).cast("double").alias("b"))
-    placed = totals.join(_numbered(df, cell, entity, "e"), [*cell, entity]).join(_numbered(df, cell, round_, "r"), [*cell, round_])
-    by_entity = unit_weights(placed.select(F.col("n_e").alias("n")), draws, seed).select(F.col("n").alias("n_e"), "draw", F.col("unit").alias("e"), F.col("weight").alias("we"))
-    by_round = unit_weights(placed.select(F.col("n_r").alias("n")), draws, seed + 1).select(F.col("n").alias("n_r"), "draw", F.col("unit").alias("r"), F.col("weight").alias("wr"))
-    first = placed.join(by_entity, ["n_e", "e"]).groupBy(*cell, "n_r", "r", "draw").agg(F.sum(F.col("a") * F.col("we")).alias("a"), F.sum(F.col("b") * F.col("we")).alias("b"))
-    drawn = first.join(by_round, ["n_r", "r", "draw"]).groupBy(*cell, "draw").agg((F.sum(F.col("a") * F.col("wr")) / F.sum(F.col("b") * F.col("wr"))).alias("ratio"))
+    totals = df.groupBy(*cell, entity, round_).agg(F.sum(top).cast("double").alias("__a"), F.sum(bottom).cast("double").alias("__b"))
+    placed = totals.join(_numbered(df, cell, entity, "__e"), [*cell, entity]).join(_numbered(df, cell, round_, "__r"), [*cell, round_])
+    by_entity = unit_weights(placed.select(F.col("n___e").alias("n")), draws, seed).select(F.col("n").alias("n___e"), "draw", F.col("unit").alias("__e"), F.col("weight").alias("__we"))
+    by_round = unit_weights(placed.select(F.col("n___r").alias("n")), draws, seed + 1).select(F.col("n").alias("n___r"), "draw", F.col("unit").alias("__r"), F.col("weight").alias("__wr"))
+    first = placed.join(by_entity, ["n___e", "__e"]).groupBy(*cell, "n___r", "__r", "draw").agg(F.sum(F.col("__a") * F.col("__we")).alias("__a"), F.sum(F.col("__b") * F.col("__we")).alias("__b"))
+    drawn = first.join(by_round, ["n___r", "__r", "draw"]).groupBy(*cell, "draw").agg((F.sum(F.col("__a") * F.col("__wr")) / F.sum(F.col("__b") * F.col("__wr"))).alias("ratio"))
     whole = df.groupBy(*cell).agg((F.sum(top).cast("double") / F.sum(bottom)).alias("ratio"))
     return whole.join(_interval(drawn, cell, "ratio"), cell, "left")
 
@@ -64,12 +64,12 @@ def nested_median_ratios(df: DataFrame, cell: str, method: str, block: str, enti
     methods of a cell; a draw that leaves a method or the reference no sample is left out.
     """
     rows = df.withColumn("__one", F.lit(1).cast("bigint"))
-    once = _upper_median(_upper_median(rows, [cell, method, block], value, "__one", "m").withColumn("__one", F.lit(1).cast("bigint")), [cell, method], "m", "__one", "latency")
-    placed = df.join(_numbered(df, [cell], entity, "e"), [cell, entity]).join(_numbered(df, [cell], round_, "r"), [cell, round_])
-    by_entity = unit_weights(placed.select(F.col("n_e").alias("n")), draws, seed).select(F.col("n").alias("n_e"), "draw", F.col("unit").alias("e"), F.col("weight").alias("we"))
-    by_round = unit_weights(placed.select(F.col("n_r").alias("n")), draws, seed + 1).select(F.col("n").alias("n_r"), "draw", F.col("unit").alias("r"), F.col("weight").alias("wr"))
-    inner = _upper_median(placed.join(by_entity, ["n_e", "e"]), [cell, method, block, "n_r", "r", "draw"], value, "we", "m")
-    drawn = _upper_median(inner.join(by_round, ["n_r", "r", "draw"]), [cell, method, "draw"], "m", "wr", "latency")
+    once = _upper_median(_upper_median(rows, [cell, method, block], value, "__one", "__m").withColumn("__one", F.lit(1).cast("bigint")), [cell, method], "__m", "__one", "latency")
+    placed = df.join(_numbered(df, [cell], entity, "__e"), [cell, entity]).join(_numbered(df, [cell], round_, "__r"), [cell, round_])
+    by_entity = unit_weights(placed.select(F.col("n___e").alias("n")), draws, seed).select(F.col("n").alias("n___e"), "draw", F.col("unit").alias("__e"), F.col("weight").alias("__we"))
+    by_round = unit_weights(placed.select(F.col("n___r").alias("n")), draws, seed + 1).select(F.col("n").alias("n___r"), "draw", F.col("unit").alias("__r"), F.col("weight").alias("__wr"))
+    inner = _upper_median(placed.join(by_entity, ["n___e", "__e"]), [cell, method, block, "n___r", "__r", "draw"], value, "__we", "__m")
+    drawn = _upper_median(inner.join(by_round, ["n___r", "__r", "draw"]), [cell, method, "draw"], "__m", "__wr", "latency")
     base = drawn.where(F.col(method) == reference).select(cell, "draw", F.col("latency").alias("base"))
     ratios = drawn.join(base, [cell, "draw"]).withColumn("ratio", F.col("latency").cast("double") / F.col("base"))
     base_once = once.where(F.col(method) == reference).select(cell, F.col("latency").alias("base"))

@@ -74,3 +74,14 @@ def replicate(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
 def clean_name(column: Column) -> Column:
     """Characters that LightGBM forbids in names become underscores."""
     return F.regexp_replace(column, r'[^A-Za-z0-9_]+', "_")
+
+
+def cell_parts(cell: Column) -> Column:
+    """A cell's name, `dataset/nt500_md4_h16/framework/workload`, as a struct; parts that are absent are null."""
+    def part(pattern: str, kind: str = "string") -> Column:
+        found = F.regexp_extract(cell, pattern, 1)
+        return F.when(found != "", found).cast(kind)
+
+    return F.struct(
+        part("^([^/]+)/").alias("dataset"), part("/nt([0-9]+)", "bigint").alias("n_trees"), part("_md([0-9]+)", "bigint").alias("depth"),
+        part("_h([0-9]+)", "bigint").alias("horizon"), part("^[^/]+/[^/]+/([^/]+)/").alias("framework"), part("^[^/]+/[^/]+/[^/]+/([^/]+)").alias("workload"))

@@ -55,11 +55,13 @@ def drift(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFram
 
 
 def precision_audit(df: DataFrame, keys: Sequence[str], exact: Column, a: Column, b: Column) -> DataFrame:
-    """Whether a or b is closer to the exact value: closer, tie, farther, largest error of each."""
+    """Whether a or b is closer to the exact value: closer, tie, farther; largest, median and largest relative error of each."""
     da, db = F.abs(a - exact), F.abs(b - exact)
+    size = F.greatest(F.abs(exact), F.lit(1e-300))
     return df.groupBy(*keys).agg(
         F.count_if(da < db).alias("closer"), F.count_if(da == db).alias("tie"), F.count_if(da > db).alias("farther"),
-        F.max(da).alias("max_a"), F.max(db).alias("max_b"))
+        F.max(da).alias("max_a"), F.max(db).alias("max_b"),
+        F.percentile(da, 0.5).alias("median_a"), F.percentile(db, 0.5).alias("median_b"), F.max(da / size).alias("relative_a"), F.max(db / size).alias("relative_b"))
 
 
 def mismatch(a: Column, b: Column, tolerance: float | None = None) -> Column:

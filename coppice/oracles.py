@@ -7,6 +7,7 @@ import math
 from . import models
 from .model import Forest
 from .operators.schedule import SplitMix
+from .plans.options import Options
 
 
 def _number(x: float) -> str:
@@ -250,6 +251,10 @@ SELECT c_custkey, variant, CASE WHEN variant = 0 THEN c_acctbal ELSE s_acctbal E
         "fill_missing": f"WITH e AS ({EVENTS}) SELECT event_id, coalesce(type_code, (SELECT min(type_code) - 1 FROM e)) AS type_code FROM e",
         "replicate_sample": f"SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT o_custkey FROM (SELECT o_custkey, row_number() OVER (ORDER BY {_seeded(4, 'o_custkey')}, o_custkey) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM orders)) WHERE r <= floor(n * 0.1::DOUBLE + 0.5))",
         "name_fields": "SELECT p_partkey, regexp_replace(p_type, '[^A-Za-z0-9_]+', '_', 'g') AS clean, lpad(p_size::VARCHAR, 3, '0') AS padded, regexp_extract(p_brand, '([0-9]+)', 1) AS digits FROM part",
+        "cell_fields": r"""SELECT p_partkey, nullif(regexp_extract(c, '^([^/]+)/', 1), '') AS dataset, nullif(regexp_extract(c, '/nt([0-9]+)', 1), '')::BIGINT AS n_trees, nullif(regexp_extract(c, '_md([0-9]+)', 1), '')::BIGINT AS depth,
+nullif(regexp_extract(c, '_h([0-9]+)', 1), '')::BIGINT AS horizon, 'lightgbm' AS framework, 'panel' AS workload
+FROM (SELECT p_partkey, lower(p_brand) || '/nt' || p_size || '_md' || (p_size % 7) || CASE WHEN p_size % 9 = 0 THEN '' ELSE '_h' || (p_size % 17) END || '/lightgbm/panel' AS c FROM part)""",
+        "option_outputs": orders + "SELECT options, count(*) AS n, sum(tree_sum) AS total, max(raw_margin) AS top_margin FROM scored, (VALUES " + ", ".join(f"('{o.label}')" for o in Options.ablations()) + ") AS o(options) GROUP BY 1",
         "drop_missing": f"SELECT user_id, count(*) AS n_rows, sum(k) AS total_k FROM ({EVENTS}) WHERE type_code IS NOT NULL AND k IS NOT NULL GROUP BY 1",
         "nearest_rank_percentiles": SAMPLES + " UNION ALL ".join(f" SELECT cell, variant, {p}::BIGINT AS percent, {_rank('ticks', p)} AS ticks FROM samples GROUP BY cell, variant" for p in (5, 50, 95, 99)),
         "block_nested_median": f"{SAMPLES}, {MEDIANS} SELECT * FROM medians",
@@ -266,7 +271,7 @@ SELECT c_custkey, variant, CASE WHEN variant = 0 THEN c_acctbal ELSE s_acctbal E
         "sentinel_drift": SAMPLES + ", b AS (SELECT cell, block, sum(ticks)::BIGINT AS ticks FROM samples GROUP BY 1, 2) SELECT cell, block, ticks, first_value(ticks) OVER (PARTITION BY cell ORDER BY block) AS first_value, ticks::DOUBLE / first_value AS drift FROM b",
         "ablation_effect": SAMPLES + ", t AS (SELECT cell, variant, sum(ticks)::DOUBLE / sum(n_rows)::DOUBLE AS per_row FROM samples GROUP BY 1, 2) SELECT o.cell, o.variant, o.per_row / b.per_row AS slowdown FROM t o LEFT JOIN t b ON o.cell = b.cell AND b.variant = 'base' WHERE o.variant <> 'base'",
         "first_against_later": SAMPLES + ", r AS (SELECT cell, block, round, sum(ticks)::BIGINT AS ticks FROM samples GROUP BY 1, 2, 3) SELECT l.cell, sum(f.ticks)::BIGINT AS first_ticks, sum(l.ticks)::BIGINT AS later_ticks, count(*) AS n FROM r l JOIN r f ON l.cell = f.cell AND l.block = f.block AND f.round = 0 WHERE l.round > 0 GROUP BY 1",
-        "precision_audit": "SELECT l_returnflag, count(*) FILTER (WHERE a < b) AS closer, count(*) FILTER (WHERE a = b) AS tie, count(*) FILTER (WHERE a > b) AS farther, max(a) AS max_a, max(b) AS max_b FROM (SELECT l_returnflag, abs(l_extendedprice::FLOAT::DOUBLE - l_extendedprice) AS a, abs(round(l_extendedprice, 1) - l_extendedprice) AS b FROM lineitem) GROUP BY 1",
+        "precision_audit": "SELECT l_returnflag, count(*) FILTER (WHERE a < b) AS closer, count(*) FILTER (WHERE a = b) AS tie, count(*) FILTER (WHERE a > b) AS farther, max(a) AS max_a, max(b) AS max_b, quantile_cont(a, 0.5) AS median_a, quantile_cont(b, 0.5) AS median_b, max(a / l_extendedprice) AS relative_a, max(b / l_extendedprice) AS relative_b FROM (SELECT l_returnflag, l_extendedprice, abs(l_extendedprice::FLOAT::DOUBLE - l_extendedprice) AS a, abs(round(l_extendedprice, 1) - l_extendedprice) AS b FROM lineitem) GROUP BY 1",
         "output_compare": scored(averaged, scored(single, ORDERS, models.ORDER_FEATURES) + "SELECT * EXCLUDE (rid, x, tree_sum, raw_margin, output), tree_sum AS a FROM scored", models.ORDER_FEATURES)
         + "SELECT count(*) AS n, count(*) FILTER (WHERE a <> tree_sum) AS n_bits, count(*) FILTER (WHERE abs(a - tree_sum) > 2.0) AS n_beyond FROM scored",
         "stratified_sizes": f"SELECT l_orderkey, n, floor(log2(n))::BIGINT AS stratum FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) QUALIFY row_number() OVER (PARTITION BY floor(log2(n)) ORDER BY {_seeded(2, 'l_orderkey')}, l_orderkey) <= 20",

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Forest, Node
+from .options import Options
 
 #: Bits of a flag word; bit 63 is the sign.
 WORD = 63
@@ -59,13 +60,13 @@ def leaf_text(forest: Forest, node: Node) -> str:
     return f"CAST('{forest.fixed(node.value)}' AS DECIMAL(38,0))"
 
 
-def tree_text(forest: Forest, k: int, test: Callable[[tuple], str], j: int = 0) -> str:
+def tree_text(forest: Forest, k: int, test: Callable[[tuple], str], options: Options = Options(), j: int = 0) -> str:
     """Two branches per split, the heavier one first."""
     n = forest.trees[k][j]
     if n.op is None:
         return leaf_text(forest, n)
-    left, right = tree_text(forest, k, test, n.left), tree_text(forest, k, test, n.right)
-    if forest.heavy_left(k, j):
+    left, right = tree_text(forest, k, test, options, n.left), tree_text(forest, k, test, options, n.right)
+    if not options.heavy_first or forest.heavy_left(k, j):
         return f"CASE WHEN {test(n.predicate)} THEN {left} ELSE {right} END"
     return f"CASE WHEN NOT {test(n.predicate)} THEN {right} ELSE {left} END"
 
@@ -82,13 +83,14 @@ def _added(terms: list[str]) -> str:
     return terms[0]
 
 
-def add_sums(df: DataFrame, forest: Forest, test: Callable[[tuple], str], trees: Sequence[int], name: str, anchor: str) -> DataFrame:
+def add_sums(df: DataFrame, forest: Forest, test: Callable[[tuple], str], trees: Sequence[int], name: str, anchor: str, options: Options) -> DataFrame:
     """Adds the exact integer sum of the given trees' leaves; anchor is any column without nulls."""
     kind = "DECIMAL(38,0)" if forest.sum_plan.kind == "decimal" else "BIGINT"
-    terms = [f"({tree_text(forest, k, test)})" for k in trees]
+    terms = [f"({tree_text(forest, k, test, options)})" for k in trees]
     if not terms:
         return df.withColumn(name, F.lit(0).cast(kind))
-    return df.withColumn(name, (F.expr(_added(terms)) + small_methods(anchor)).cast(kind))
+    total = F.expr(_added(terms))
+    return df.withColumn(name, (total + small_methods(anchor) if options.small_methods else total).cast(kind))
 
 
 def stage_columns(forest: Forest, fixed: Column) -> dict[str, Column]:
@@ -110,18 +112,18 @@ def _checked(forest: Forest, features: Sequence[str]) -> None:
         raise ValueError("leaves too far apart for integer sums; use the walker")
 
 
-def score(df: DataFrame, forest: Forest, features: Sequence[str]) -> DataFrame:
+def score(df: DataFrame, forest: Forest, features: Sequence[str], options: Options = Options()) -> DataFrame:
     """Adds tree_sum, raw_margin and output to every row; narrow, no shuffle."""
     _checked(forest, features)
     held = {f: f"__f{k}" for k, f in enumerate(features)}
     out = df.withColumns({h: F.coalesce(F.col(f).cast("double"), F.lit(math.nan)) for f, h in held.items()})
     names = list(held.values())
-    out = add_sums(out, forest, lambda p: condition(forest, p, names[p[0]]), range(len(forest.trees)), "__sum", names[0])
+    out = add_sums(out, forest, lambda p: condition(forest, p, names[p[0]]), range(len(forest.trees)), "__sum", names[0], options)
     return out.withColumns(stage_columns(forest, F.col("__sum"))).drop("__sum", *names)
 
 
 def score_pushed(
-    entities: DataFrame, rows: DataFrame, key: str, forest: Forest, features: Sequence[str], constant: set[int]
+    entities: DataFrame, rows: DataFrame, key: str, forest: Forest, features: Sequence[str], constant: set[int], options: Options = Options()
 ) -> DataFrame:
     """Scores rows joined to their entities, deciding constant splits on the entities.
 
@@ -131,13 +133,16 @@ def score_pushed(
     splits hot keys otherwise. Returns the columns of rows and the stages.
     """
     _checked(forest, features)
-    fixed_trees = [k for k, t in enumerate(forest.trees) if all(n.op is None or n.feature in constant for n in t)]
+    fixed_trees = [k for k, t in enumerate(forest.trees) if options.entity_sums and all(n.op is None or n.feature in constant for n in t)]
     mixed = [k for k in range(len(forest.trees)) if k not in set(fixed_trees)]
     bits = {}
     for k in mixed:
         for n in forest.trees[k]:
             if n.op and n.feature in constant:
                 bits.setdefault(n.predicate, len(bits))
+    if not options.shared_predicates:
+        return score(rows.join(entities.select(key, *[features[k] for k in sorted(constant)]), key), forest, features, options).select(
+            key, *[c for c in rows.columns if c != key], *finish(forest, F.lit(0.0)))
     names = [f"__f{k}" for k in range(len(features))]
     on_entity = sorted(constant)
     held = entities.select(key, *[F.coalesce(F.col(features[k]).cast("double"), F.lit(math.nan)).alias(names[k]) for k in on_entity])
@@ -147,7 +152,7 @@ def score_pushed(
         text = " | ".join(f"(CASE WHEN {condition(forest, p, names[p[0]])} THEN {1 << bits[p] - w}L ELSE 0L END)" for p in mine)
         words.append(f"__w{w // WORD}")
         held = held.withColumn(words[-1], F.expr(text) + small_methods(names[on_entity[0]]))
-    held = add_sums(held, forest, lambda p: condition(forest, p, names[p[0]]), fixed_trees, "__entity_sum", names[on_entity[0]] if on_entity else "__none")
+    held = add_sums(held, forest, lambda p: condition(forest, p, names[p[0]]), fixed_trees, "__entity_sum", names[on_entity[0]] if on_entity else "__none", options)
     held = held.select(key, *words, "__entity_sum")
     varying = [k for k in range(len(features)) if k not in constant]
     out = rows.withColumns({names[k]: F.coalesce(F.col(features[k]).cast("double"), F.lit(math.nan)) for k in varying}).join(held, key)
@@ -157,6 +162,6 @@ def score_pushed(
             return condition(forest, p, names[p[0]])
         return f"((__w{bits[p] // WORD} & {1 << bits[p] % WORD}L) <> 0L)"
 
-    out = add_sums(out, forest, test, mixed, "__row_sum", "__entity_sum")
+    out = add_sums(out, forest, test, mixed, "__row_sum", "__entity_sum", options)
     out = out.withColumns(stage_columns(forest, F.col("__entity_sum") + F.col("__row_sum")))
     return out.drop("__entity_sum", "__row_sum", *words, *[names[k] for k in varying])

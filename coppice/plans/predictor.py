@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..config import GroupingConfig
 from ..model import Forest
 from . import cases, frontier, grouped, walker
+from .options import Options
 
-#: Splits up to which CASE text stays inside whole-stage codegen's method limit.
-CASE_SPLITS = 640
+#: Splits up to which CASE text is made: every task's JVM compiles it, some 1 ms a split, before its first row.
+CASE_SPLITS = 2000
 
 
 class Predictor:
@@ -28,13 +29,15 @@ class Predictor:
         small = (self.forest.n_nodes - len(self.forest.trees)) // 2 <= CASE_SPLITS
         return "cases" if small and self.forest.sum_plan.kind != "wide" else "walker"
 
-    def predict(self, df: DataFrame, strategy: str | None = None, *, group: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+    def predict(self, df: DataFrame, strategy: str | None = None, *, group: str | None = None, order: Sequence[str] = (), options: Options = Options()) -> DataFrame:
         """All columns of df with the three stages; every strategy gives the same rows."""
         strategy = strategy or self.strategy
         if strategy == "cases":
-            return cases.score(df, self.forest, self.features)
+            return cases.score(df, self.forest, self.features, options)
         if strategy == "walker":
             return walker.score(df, self.forest, self.features, df.columns)
+        if strategy == "grouped":
+            return grouped.score(df, self.forest, self.features, set(self.config.constant_features), group, df.columns)
         if strategy == "frontier":
             return frontier.score(df, group, order, self.forest, self.features)
         raise ValueError(strategy)
@@ -55,10 +58,10 @@ class Predictor:
         place = F.row_number().over(window.orderBy(*order)) - 1
         return self.predict(df.withColumn("group_id", F.floor(place / width)))
 
-    def predict_pushed(self, entities: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    def predict_pushed(self, entities: DataFrame, rows: DataFrame, key: str, options: Options = Options()) -> DataFrame:
         """Constant features from entities, varying ones from rows."""
         if self.strategy == "walker":
             kept = [self.features[k] for k in self.config.constant_features]
             joined = rows.join(entities.select(key, *kept), key)
             return grouped.score(joined, self.forest, self.features, set(self.config.constant_features), key, rows.columns)
-        return cases.score_pushed(entities, rows, key, self.forest, self.features, set(self.config.constant_features))
+        return cases.score_pushed(entities, rows, key, self.forest, self.features, set(self.config.constant_features), options)

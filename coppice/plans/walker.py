@@ -65,7 +65,7 @@ class Arrays:
             try:
                 out[k] = total / whole
             except OverflowError:
-                out[k] = math.copysign(math.inf, total)
+                out[k] = math.inf if total > 0 else -math.inf
         return out
 
     def _members(self, nodes: np.ndarray, x: np.ndarray) -> np.ndarray:

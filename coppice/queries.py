@@ -10,6 +10,7 @@ from .config import GroupingConfig
 from .functions.ordering import nearest_rank
 from .operators import contracts, estimates, prep, schedule, stats, structure, workloads
 from .plans import cases, frontier, grouped, walker
+from .plans.options import Options
 from .plans.predictor import Predictor
 from .session import spread
 
@@ -280,6 +281,25 @@ def name_fields(spark, sf_dir):
                         F.regexp_extract("p_brand", "([0-9]+)", 1).alias("digits"))
 
 
+def cell_fields(spark, sf_dir):
+    """Parts of cell names; every ninth lacks its horizon."""
+    size = F.col("p_size")
+    design = F.concat(F.lit("nt"), size, F.lit("_md"), size % 7, F.when(size % 9 == 0, "").otherwise(F.concat(F.lit("_h"), size % 17)))
+    cell = F.concat_ws("/", F.lower("p_brand"), design, F.lit("lightgbm"), F.lit("panel"))
+    return _table(spark, sf_dir, "part").select("p_partkey", prep.cell_parts(cell).alias("parts")).select("p_partkey", "parts.*")
+
+
+def option_outputs(spark, sf_dir):
+    """Rows whose result is another with a switch of the plan off: none, for every switch."""
+    out = None
+    for k, options in enumerate(Options.ablations()):
+        predictor = Predictor(models.orders_forest(), GroupingConfig(6, (2, 3, 4, 5)), models.ORDER_FEATURES)
+        scored = predictor.predict_pushed(_orders(spark, sf_dir), _lines(spark, sf_dir), "l_orderkey", options)
+        one = scored.agg(F.lit(options.label).alias("options"), F.count("*").alias("n"), F.sum("tree_sum").alias("total"), F.max("raw_margin").alias("top_margin"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def drop_missing(spark, sf_dir):
     return _user_events(spark, sf_dir).dropna(subset=["type_code", "k"]).groupBy("user_id").agg(F.count("*").alias("n_rows"), F.sum("k").alias("total_k"))
 
@@ -502,7 +522,7 @@ ALL = (
     node_catalog, tree_catalog, feature_ranges, tree_order, prefix_groups, walk_shares, model_stats, systematic_sample, sample_design,
     design_faults, method_schedule, crossed_bootstrap, nested_median_bootstrap, wide_intervals, work_terms, work_per_row, panel_expand, session_shuffle, cohort_first_n, whatif_variants, whatif_donors, whatif_grid,
     row_groups, zero_fraction, draw_entities, category_encode, entity_split, digitize_bins, survival_expand, session_filter,
-    fill_missing, replicate_sample, name_fields, drop_missing, nearest_rank_percentiles, block_nested_median, dense_rank_over,
+    fill_missing, replicate_sample, name_fields, cell_fields, option_outputs, drop_missing, nearest_rank_percentiles, block_nested_median, dense_rank_over,
     mean_over, run_boundaries, group_offsets, summary_aggregates, pivot_speedup, union_diagonal, argmax_attempt, top_k,
     set_difference, sentinel_drift, ablation_effect, first_against_later, precision_audit, output_compare, stratified_sizes,
     two_mode_split, retime_flags, validity_gates, numeric_bins, batch_packing, bootstrap_ratio,
