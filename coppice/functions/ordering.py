@@ -55,8 +55,10 @@ def first_in_order(df: DataFrame, keys: Sequence[str], order: Column, tie: str,
 RANGES = 256
 
 
-def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
-    """at and value: exact quantiles of a column with linear interpolation; nulls don't count, no rows without values.
+def quantiles(df: DataFrame, column: str, at: Sequence[float], inverted_cdf: bool = False) -> DataFrame:
+    """at and value: exact quantiles of a column; nulls don't count, no rows without values.
+
+    With linear interpolation, or the least value that a share of at is not above (inverted_cdf).
 
     Approximate quantiles cut the column into ranges, counts of which tell where each
     rank lies; only the values of these ranges are ranked. Equal values are counted first.
@@ -68,7 +70,7 @@ def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
     ranges = Window.orderBy("__range")  # RANGES rows at most
     sizes = placed.groupBy("__range").agg(F.sum("__n").alias("__in")).withColumns({
         "__base": F.sum("__in").over(ranges.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__in"), "__all": F.sum("__in").over(Window.partitionBy())})
-    place = F.col("at") * (F.col("__all") - 1)
+    place = F.greatest(F.ceil(F.col("at") * F.col("__all")) - 1, F.lit(0)) if inverted_cdf else F.col("at") * (F.col("__all") - 1)
     asked = sizes.withColumn("at", F.explode(F.array(*[F.lit(float(p)) for p in at]))).withColumns({"__low": F.floor(place), "__high": F.ceil(place), "__share": place - F.floor(place)})
     wanted = asked.where("(__low between __base and __base + __in - 1) or (__high between __base and __base + __in - 1)")
     here = placed.join(wanted.select("__range", "__base").distinct(), "__range")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import seeded, uniform
+from ..functions.ordering import quantiles, seeded, uniform
+from ..model import Forest
 
 
 def panel(entities: DataFrame, horizon: int, base: str) -> DataFrame:
@@ -58,6 +60,22 @@ def donor_whatifs(base: DataFrame, donors: DataFrame, key: str, donor_key: str,
     return joined.withColumns(own).drop("__at", "__donor")
 
 
+def ranked_features(usage: Mapping[int, int], pool: Sequence[int], k: int) -> list[int]:
+    """The k features of a pool that most splits take, smaller numbers first on ties; those that no split takes are left out."""
+    return sorted((f for f in pool if usage.get(f, 0) > 0), key=lambda f: (-usage[f], f))[:k]
+
+
+def split_usage(forest: Forest) -> dict[int, int]:
+    """Splits of each feature."""
+    return dict(Counter(n.feature for tree in forest.trees for n in tree if n.op is not None))
+
+
+def grid_levels(donors: DataFrame, column: str, n: int) -> list[float]:
+    """n levels of a column: its quantiles at (k + 1/2) / n, each a value that occurs. n values come to the driver."""
+    found = quantiles(donors, column, [(k + 0.5) / n for k in range(n)], inverted_cdf=True)
+    return [r["value"] for r in found.orderBy("at").collect()]
+
+
 def whatif_grid(base: DataFrame, levels: Mapping[str, Sequence[float]]) -> DataFrame:
     """Every base row at every combination of the given levels; they replace the columns."""
     out = base

@@ -239,7 +239,13 @@ SELECT cell, block, (CASE WHEN v = 2 THEN t WHEN v <= 7 THEN t + n - hi - leaves
         "whatif_variants": f"SELECT c_custkey, variant, round(CASE WHEN variant = 0 THEN c_acctbal ELSE c_acctbal * pow(2.0::DOUBLE, {_uniform(3, 'c_custkey', 'variant')} * 2 - 1) END, 4) AS c_acctbal FROM customer, range(8) AS r(variant)",
         "whatif_donors": f"""WITH pool AS (SELECT row_number() OVER (ORDER BY {_seeded(9, 's_suppkey')}, s_suppkey) - 1 AS place, s_acctbal FROM supplier)
 SELECT c_custkey, variant, CASE WHEN variant = 0 THEN c_acctbal ELSE s_acctbal END AS c_acctbal FROM (SELECT c_custkey, c_acctbal, variant, floor({_uniform(10, 'c_custkey', 'variant')} * 8)::BIGINT AS place FROM customer, range(4) AS r(variant)) JOIN pool USING (place)""",
-        "whatif_grid": "SELECT s_suppkey, s_acctbal, x::DOUBLE AS x, y::DOUBLE AS y FROM supplier, (VALUES (0.0), (0.25), (0.5), (1.0)) AS a(x), (VALUES (-1.0), (0.0), (1.0)) AS b(y)",
+        "whatif_grid": """WITH s AS (SELECT list_sort(list(c_acctbal)) AS a, list_sort(list(c_nationkey)) AS n, count(*) AS c FROM customer)
+SELECT s_suppkey, a[ceil((j + 0.5) / 3 * c)::BIGINT]::DOUBLE AS c_acctbal, n[ceil((i + 0.5) / 4 * c)::BIGINT]::DOUBLE AS c_nationkey FROM supplier, s, range(4) AS x(i), range(3) AS y(j)""",
+        "round_faults": """WITH g AS (SELECT l_orderkey AS k, count(*) AS n, l_orderkey % 2 = 0 AS timed FROM lineitem GROUP BY 1),
+s AS (SELECT method, repetition, k, n, timed, n + CASE WHEN k % 90 = 4 THEN 1 ELSE 0 END AS seen FROM g, range(2) AS r(repetition), (VALUES ('a'), ('b')) AS m(method),
+  LATERAL (SELECT unnest(range(CASE WHEN method = 'b' THEN 1 WHEN k % 50 = 8 THEN 0 WHEN k % 60 = 10 THEN 2 WHEN k % 2 = 1 AND k % 70 <> 1 THEN 0 ELSE 1 END))) WHERE timed OR method = 'a')
+SELECT 'cell' AS cell, method, repetition, (SELECT count(*) FROM g WHERE timed) - count(DISTINCT k) FILTER (WHERE timed) AS lacking, count(*) - count(DISTINCT k) AS repeated,
+count(*) FILTER (WHERE NOT timed) AS untimed, count(*) FILTER (WHERE n <> seen) AS wrong_rows FROM s GROUP BY method, repetition""",
         "row_groups": events + "SELECT event_id AS group_id, count(*) AS n_rows, sum(tree_sum) AS total FROM scored GROUP BY 1",
         "zero_fraction": "SELECT count(*) AS n_groups, avg(CASE WHEN l_discount = 0 OR l_tax = 0 THEN 1 ELSE 0 END) AS zero_fraction FROM lineitem",
         "draw_entities": f"SELECT c_custkey, c_name FROM customer ORDER BY {_seeded(21, 'c_custkey')}, c_custkey LIMIT 25",

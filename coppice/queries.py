@@ -13,6 +13,7 @@ from .plans import cases, frontier, grouped, walker
 from .plans.options import Options
 from .plans.predictor import Predictor
 from .session import spread
+from .sources import run_tables
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
@@ -219,8 +220,24 @@ def whatif_donors(spark, sf_dir):
 
 
 def whatif_grid(spark, sf_dir):
-    base = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
-    return workloads.whatif_grid(base, {"x": [0.0, 0.25, 0.5, 1.0], "y": [-1.0, 0.0, 1.0]})
+    """Suppliers at 4 by 3 levels of the two customer columns that the panel forest splits on most."""
+    usage = workloads.split_usage(models.panel_forest())
+    first, second = (models.PANEL_FEATURES[f] for f in workloads.ranked_features(usage, [0, 1], 2))
+    customers = _table(spark, sf_dir, "customer")
+    levels = {first: workloads.grid_levels(customers, first, 4), second: workloads.grid_levels(customers, second, 3)}
+    grid = workloads.whatif_grid(_table(spark, sf_dir, "supplier").select("s_suppkey"), levels)
+    return grid.select("s_suppkey", "c_acctbal", "c_nationkey")
+
+
+def round_faults(spark, sf_dir):
+    """Two rounds of two methods over the orders of even keys, with samples left out, repeated, of other groups and of wrong sizes."""
+    sizes = _order_sizes(spark, sf_dir).select(F.lit("cell").alias("cell"), F.col("l_orderkey").alias("group"), F.col("n").alias("rows"), (F.col("l_orderkey") % 2 == 0).alias("timed"))
+    key = F.col("group")
+    copies = F.when(key % 50 == 8, 0).when(key % 60 == 10, 2).when((key % 2 == 1) & (key % 70 != 1), 0).otherwise(1)
+    rounds = sizes.withColumn("repetition", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("method", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    kept = rounds.withColumn("__k", F.explode(F.when(F.col("method") == "b", F.array(F.lit(0))).otherwise(F.array_repeat(F.lit(0), copies)))).where(F.col("timed") | (F.col("method") == "a"))
+    samples = kept.select("cell", "method", F.col("repetition").cast("bigint").alias("repetition"), "group", (F.col("rows") + (key % 90 == 4).cast("bigint")).alias("rows"))
+    return run_tables.round_faults(samples, sizes)
 
 
 def row_groups(spark, sf_dir):
@@ -520,7 +537,7 @@ ALL = (
     forest_score_orders, forest_stages, forest_pushdown, forest_walker, panel_walker, panel_grouped, forest_average, forest_float32, forest_frontier,
     categorical_splits, predict_group, predict_fixed, predicate_masks, work_counters, constant_violations, monotone_violations,
     node_catalog, tree_catalog, feature_ranges, tree_order, prefix_groups, walk_shares, model_stats, systematic_sample, sample_design,
-    design_faults, method_schedule, crossed_bootstrap, nested_median_bootstrap, wide_intervals, work_terms, work_per_row, panel_expand, session_shuffle, cohort_first_n, whatif_variants, whatif_donors, whatif_grid,
+    design_faults, round_faults, method_schedule, crossed_bootstrap, nested_median_bootstrap, wide_intervals, work_terms, work_per_row, panel_expand, session_shuffle, cohort_first_n, whatif_variants, whatif_donors, whatif_grid,
     row_groups, zero_fraction, draw_entities, category_encode, entity_split, digitize_bins, survival_expand, session_filter,
     fill_missing, replicate_sample, name_fields, cell_fields, option_outputs, drop_missing, nearest_rank_percentiles, block_nested_median, dense_rank_over,
     mean_over, run_boundaries, group_offsets, summary_aggregates, pivot_speedup, union_diagonal, argmax_attempt, top_k,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 from collections.abc import Sequence
@@ -15,11 +16,13 @@ from ..errors import MalformedModel, Unsupported
 from ..model import NODE_SCHEMA, Forest, Node
 
 MODEL_VERSION = 1
+PREDICATE_SCHEMA = "predicate INT, feature INT, categorical BOOLEAN, threshold DOUBLE, categories ARRAY<BIGINT>, default_left BOOLEAN, op STRING"
 
 
 def save_model(spark: SparkSession, forest: Forest, path: str) -> None:
-    """Nodes and header as Parquet, with version and content hash."""
+    """Nodes, predicates and header as Parquet, with version and content hash."""
     spark.createDataFrame(forest.node_rows(), NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    spark.createDataFrame([(k, p[0], p[1], p[2], list(p[3]), p[4], p[5]) for k, p in enumerate(forest.predicates)], PREDICATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/predicates")
     header = [(MODEL_VERSION, json.dumps(forest.header()), forest.fingerprint())]
     spark.createDataFrame(header, "version INT, header STRING, sha256 STRING").coalesce(1).write.mode("overwrite").parquet(f"{path}/header")
 
@@ -39,6 +42,8 @@ def load_model(spark: SparkSession, path: str) -> Forest:
                     header["averaged"], header["link"], header["alpha"])
     if forest.fingerprint() != digest:
         raise MalformedModel("the saved model does not match its hash")
+    if spark.read.parquet(f"{path}/predicates").count() != len(forest.predicates):
+        raise MalformedModel("the saved predicates are not the model's")
     return forest
 
 
@@ -71,6 +76,20 @@ def read_offsets(raw: bytes) -> list[int]:
     return found
 
 
+def write_npy(x: np.ndarray) -> bytes:
+    """NumPy's own format, without pickled objects."""
+    out = io.BytesIO()
+    np.save(out, np.ascontiguousarray(x), allow_pickle=False)
+    return out.getvalue()
+
+
+def read_npy(raw: bytes) -> np.ndarray:
+    try:
+        return np.load(io.BytesIO(raw), allow_pickle=False)
+    except (ValueError, EOFError) as e:
+        raise MalformedModel(str(e)) from e
+
+
 def matrix_frame(spark: SparkSession, path: str) -> DataFrame:
     """row_no and features ARRAY<DOUBLE> of every matrix file under path, one task a file."""
     def rows(batches):
@@ -90,12 +109,10 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, null: str
 
 
 def read_arff(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Numeric ARFF: lines after @data, without comments; '?' is null."""
-    lines = spark.read.text(path, wholetext=True)
-    body = F.element_at(F.split("value", r"(?im)^@data[ \t]*$", 2), 2)
-    line = lines.select(F.explode(F.split(body, r"\r?\n")).alias("line")).select(F.trim("line").alias("line"))
+    """Numeric ARFF: lines that are neither declarations (`@`) nor comments (`%`); '?' is null. Files are split by lines."""
+    line = spark.read.text(path).select(F.trim(F.regexp_replace("value", "\r$", "")).alias("line"))
     cells = F.split("line", ",")
-    kept = line.filter((F.col("line") != "") & ~F.col("line").startswith("%"))
+    kept = line.filter((F.col("line") != "") & ~F.col("line").rlike("^[%@]"))
     return kept.select(*[_cell(cells[k]).alias(c) for k, c in enumerate(columns)])
 
 

@@ -12,13 +12,14 @@ from coppice import cli, models
 from coppice.config import GroupingConfig
 from coppice.functions.ordering import first_in_order, quantiles, seeded
 from coppice.model import Forest, Node
-from coppice.operators import estimates, prep, schedule, structure
+from coppice.errors import MalformedModel
+from coppice.operators import estimates, prep, schedule, structure, workloads
 from coppice.plans import cases
 from coppice.plans.grouped import Walk, run_starts
 from coppice.plans.options import Options
 from coppice.plans.predictor import Predictor
 from coppice.plans.walker import Arrays
-from coppice.sources import treelite_json
+from coppice.sources import run_tables, tables, treelite_json
 
 RANGES = [(0.0, 1.0), 6, (0.0, 1.0), (0.0, 1.0), 40, (0.0, 1.0)]
 
@@ -185,3 +186,32 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(SystemExit):
         cli.main(["nothing"], spark)
     capsys.readouterr()
+
+
+def test_run_tables_and_formats(spark, tmp_path):
+    rows = [("s", "c", k, k, 10 * k, 10, k < 3) for k in range(4)]
+    groups = spark.createDataFrame(rows, "suite STRING, cell STRING, group INT, entity INT, first_row INT, rows INT, timed BOOLEAN")
+    run_tables.write(groups, "groups", str(tmp_path))
+    back = spark.read.parquet(str(tmp_path / "groups.parquet"))
+    assert back.schema == run_tables.SCHEMAS["groups"] and back.count() == 4
+    with pytest.raises(MalformedModel):
+        run_tables.conform(groups.drop("timed"), "groups")
+    samples = spark.createDataFrame([("c", "a", 0, 0, 10), ("c", "a", 0, 0, 10), ("c", "a", 0, 3, 10), ("c", "a", 0, 9, 10), ("c", "a", 0, 1, 11)], "cell STRING, method STRING, repetition INT, group INT, rows INT")
+    assert tuple(run_tables.round_faults(samples, back).first())[3:] == (1, 1, 2, 2)
+    x = np.arange(6.0).reshape(2, 3)
+    assert (tables.read_npy(tables.write_npy(x)) == x).all()
+    with pytest.raises(MalformedModel):
+        tables.read_npy(b"no array")
+    (tmp_path / "a.arff").write_text("% text\n@relation r\n@attribute a numeric\n@DATA\n1, ?\r\n\n% more\n2.5,3\n")
+    assert [tuple(r) for r in tables.read_arff(spark, str(tmp_path / "a.arff"), ["a", "b"]).collect()] == [(1.0, None), (2.5, 3.0)]
+
+
+def test_levels_and_features_of_whatifs(spark):
+    rng = np.random.default_rng(2)
+    values = np.round(rng.random(501), 2)
+    donors = spark.createDataFrame([(float(v),) for v in values], "v DOUBLE")
+    for n in (1, 4, 64):
+        assert workloads.grid_levels(donors, "v", n) == np.quantile(values, (np.arange(n) + 0.5) / n, method="inverted_cdf").tolist()
+    assert workloads.ranked_features({0: 3, 1: 5, 2: 5, 3: 0}, [0, 1, 2, 3, 4], 3) == [1, 2, 0]
+    forest = models.random_forest(3, 5, 4, RANGES)
+    assert sum(workloads.split_usage(forest).values()) == sum(n.op is not None for t in forest.trees for n in t)
