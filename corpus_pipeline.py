@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a
 DataFrame; all but the last keep the columns of documents.
+
+Defined results: null and empty texts, and all under 50 words, fail the base rule
+and end in the first stage.  Rows of a null doc_id pass through as any other: for
+line dedup they are one document below all others, as near duplicates each is its own
+group.  Rows that share a doc_id and differ in text are judged each by itself; of
+rows that are equal in both one stays at near duplicates, the least by its other
+columns.  An empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -54,9 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's rows written as Parquet and read again."""
+    """All stages over documents, each one's rows written as Parquet and read again.
+
+    Rows of a stage are deleted once those of the next are written; those that the
+    last one reads stay, as it is evaluated by the caller.
+    """
     docs = table(importable(spark), sf_dir, "documents")
     checkpointed(spark.range(1))  # names the shared folder where the session doesn't
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
@@ -64,3 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            old = jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}")
+            old.getFileSystem(hadoop).delete(old, True)
