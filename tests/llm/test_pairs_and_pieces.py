@@ -287,3 +287,27 @@ def test_large_groups_are_divided_exactly(spark, block, percent):
                 at[y] = x
     got = jaccard.join(spark.createDataFrame(list(texts.items()), SCHEMA), jaccard.Join(block=block, percent=percent, region=6)).collect()
     assert {r.doc_id: r.component_id for r in got} == {d: root(d) for d in texts}
+
+
+def test_pipeline_of_odd_rows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    good = sorted(docs.where("length(text) > 600").limit(6).collect(), key=lambda r: r.doc_id)
+    names, last = docs.columns, good[-1].asDict()
+    odd = [r.asDict() for r in good] + [last, last | {"text": good[0].text}, good[1].asDict() | {"doc_id": None}, good[1].asDict() | {"doc_id": None}, last | {"doc_id": 10**7, "text": None}, last | {"doc_id": 10**7 + 1, "text": ""}, last | {"lang": None, "source": None, "n_chars": None, "doc_id": 10**7 + 2}]
+    frame = spark.createDataFrame([tuple(r[c] for c in names) for r in odd], docs.schema)
+    kept = [frame]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept.append(stage(spark, kept[-1], sf_dir))
+        assert kept[-1].columns == names
+    first = [r.asDict() for r in kept[1].collect()]
+    assert all(r["text"] for r in first) and sum(r["doc_id"] is None for r in first) in (0, 2)
+    after = [r.asDict() for r in kept[3].collect()]
+    pairs = [(r["doc_id"], r["text"]) for r in after if r["doc_id"] is not None]
+    assert len(set(pairs)) == len(pairs) and sum(r["doc_id"] is None for r in after) == sum(r["doc_id"] is None for r in first)
+    out = corpus_pipeline.STAGES[-1][1](spark, kept[-1], sf_dir).collect()
+    assert len(out) == kept[-1].count() and all(r.round_trip for r in out)
+    none = frame.where("false")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, none, sf_dir)
+        assert none.columns == names and none.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, none, sf_dir).count() == 0
