@@ -35,4 +35,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM shown GROUP BY conv_id
 """
 
-ORACLES = {"op4_line_dedup": LINE_DEDUP, "op5_chat_format": CHAT_FORMAT}
+JACCARD_JOIN = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT rid, doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM docs),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS hits FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid < b.rid AND a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y WHERE 100 * hits >= 80 * (p.n + q.n - hits)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(node, other) AS (
+  SELECT x, y FROM sides
+  UNION SELECT r.node, s.y FROM reached r JOIN sides s ON s.x = r.other)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(min(o.doc_id), d.doc_id), d.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes USING (rid) LEFT JOIN reached r ON r.node = d.rid LEFT JOIN docs o ON o.rid = r.other GROUP BY d.rid, d.doc_id, n
+"""
+
+ORACLES = {"op4_line_dedup": LINE_DEDUP, "op5_chat_format": CHAT_FORMAT, "op7_jaccard_join": JACCARD_JOIN}
