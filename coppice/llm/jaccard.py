@@ -27,8 +27,9 @@ class from the start.  Sets are compared by 64-bit shingle hashes.
 
 Defined results: a null or empty text has 0 shingles and is its own component;
 fewer than five words are one shingle; a null doc_id is its own component
-(null) and links nothing; repeated rows are returned as often; an empty table
-gives an empty one; columns other than doc_id and text are ignored.
+(null) and links nothing; repeated rows are returned as often; rows of one doc_id
+with different texts each get the component of their own set, and an id that stands
+for both sets joins them; an empty table gives an empty one; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -442,27 +443,36 @@ def _linked(frame: DataFrame, candidates: DataFrame, how: Join) -> DataFrame:
     return compared
 
 
-def classes(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, rep) of every document, and (a, b) links between representatives that connect each component."""
+def classes(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, h1, h2) of every document, (h1, h2, n, rep, copies) of every class of equal sets, and (a, b) links
+    between representatives that connect each component."""
     spark = docs.sparkSession
     frame = docs.select("doc_id", "text")
     table = spark.sparkContext.broadcast(shingle_counts(frame, how))
     sets = checkpointed(frame.mapInArrow(_windows(how, table), "doc_id bigint, n bigint, h1 bigint, h2 bigint, pivots array<bigint>"))
-    reps = sets.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("pivots").alias("pivots"))
-    members = sets.select("doc_id", "n", "h1", "h2")
+    reps = sets.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("pivots").alias("pivots"), F.count(F.lit(1)).alias("copies"))
     rows = reps.select(F.explode("pivots").alias("pivot"), "n", F.col("rep").alias("doc"))
     rows = rows.repartition("pivot").sortWithinPartitions("pivot", "n", "doc")
     regions = checkpointed(rows.mapInArrow(_regions(how), "members array<bigint>, sizes array<bigint>"))
     links = _linked(frame, _candidates(regions, how), how)
-    named = members.join(reps.select("h1", "h2", F.col("n").alias("size"), "rep"), ["h1", "h2"], "left").where("size is null or size = n").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
-    return named, links
+    return sets.drop("pivots"), reps.drop("pivots"), links
 
 
 def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    named, links = classes(docs, how)
-    found = graph.components(links)
-    return named.join(found, named["rep"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    """doc_id, n_shingles, component_id of every document.
+
+    A class of copies may hold most documents: its component is found first, for the
+    class, and then looked up by its documents, dealt out.
+    """
+    sets, reps, links = classes(docs, how)
+    found = checkpointed(graph.components(links))
+    several = reps.where("copies > 1").join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("of_class"))
+    marked = spread_join(sets, several, ["h1", "h2", "n"], "doc_id", "left")
+    alone = F.col("of_class").isNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    # only documents without copies are looked up by themselves; the others are dealt out and meet nothing
+    dealt = marked.withColumn("node", F.when(alone, F.col("doc_id"))).withColumn("part", F.when(alone, 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "h1"), F.lit(256)).cast("int")))
+    joined = dealt.join(found.withColumn("part", F.lit(0)), ["node", "part"], "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "component", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, how: Join = Join()) -> DataFrame:
