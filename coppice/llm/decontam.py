@@ -18,13 +18,16 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 MATCHES = "doc_id bigint, item_id bigint, distance int, start bigint, end bigint, n_chars bigint"
-#: Characters of items that one pass over the documents takes; more items take more passes.
+#: Characters of items that one pass over the documents takes, and that are broadcast at once; more items take more passes.
 BLOCK_CHARS = 16_000_000
 
 
@@ -159,19 +162,25 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def matches(docs: DataFrame, benchmark: DataFrame, error_percent: int = 8) -> DataFrame:
     """One row for each document and item with a passage within the item's error budget."""
-    spark, found = docs.sparkSession, None
+    spark, frame, done, part, items = docs.sparkSession, docs.select("doc_id", "text"), [], None, None
     for block in _blocks(benchmark):
+        if part is not None:  # one block at a time is held
+            done.append(checkpointed(part))
+            items.unpersist()
         items = spark.sparkContext.broadcast(block)
-        part = docs.select("doc_id", "text").mapInArrow(_matching(items, error_percent), MATCHES)
-        found = part if found is None else found.unionAll(part)
+        part = frame.mapInArrow(_matching(items, error_percent), MATCHES)
+    found = reduce(lambda a, b: a.unionAll(b), done, part)
     best = F.min_by(F.struct("distance", "start", "end", "n_chars"), F.struct("distance", "start", "end", "n_chars"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, error_percent: int = 8) -> DataFrame:
     """The documents without any benchmark passage, judged row by row: no join."""
-    frame, at = docs, docs.columns.index("text")
+    frame, at, items = docs, docs.columns.index("text"), None
     for block in _blocks(benchmark):
+        if items is not None:
+            frame = checkpointed(frame)
+            items.unpersist()
         items = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
