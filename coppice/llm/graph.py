@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, spread_join
 
 
 def _largest(edges: DataFrame) -> DataFrame:
     """Every neighbour that is larger than a node goes to the node's smallest neighbour (itself with them)."""
     both = edges.unionAll(edges.selectExpr("b AS a", "a AS b"))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return spread_join(both, low, "a", "b", parts=8).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours go to the smallest of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+    return spread_join(down, low, "a", "b", parts=8).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and component (smallest node reachable) of every node of links(a, b); a loop links nothing.
 
     Each round is two aggregations and two joins on the links; their number
-    grows with the logarithm of a component's diameter.  Lineage is cut by
-    reliable checkpoints.
+    grows with the logarithm of a component's diameter.  A node may have most of the
+    links: joins on nodes are spread.  Lineage is cut by reliable checkpoints.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
