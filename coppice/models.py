@@ -88,3 +88,13 @@ PANEL_RANGES = [(-1000.0, 10000.0), 25, 5, (1.0, 7.0), (0.0, 1.0), (0.0, 32.0),
 
 def panel_forest() -> Forest:
     return random_forest(29, 100, 6, PANEL_RANGES, base_score=-0.5)
+
+
+#: The shape of the published sentinel cell: 500 trees of depth 4, 16 steps an entity, 6 features of the step beside 14 covariates.
+SENTINEL_STEPS = 16
+SENTINEL_FEATURES = [*(f"x{k}" for k in range(14)), "t_frac", "t_frac_sq", "t_left", "left_frac", "base_frac", "t_sine"]
+SENTINEL_CONSTANT = set(range(14))
+
+
+def sentinel_forest() -> Forest:
+    return random_forest(31, 500, 4, [*[(0.0, 1.0)] * 16, (0.0, 16.0), *[(0.0, 1.0)] * 3], base_score=0.25, link="sigmoid", alpha=0.5)

@@ -48,8 +48,6 @@ class Walk:
         #: Whether doubles hold all sums of integers exactly.
         self.small = self.forest.plan == "long" and sum(max(abs(forest.fixed(n.value)) for n in t if n.op is None) for t in forest.trees) < 1 << 53
         self.constant = np.array([k in constant for k in range(forest.n_features)], bool)[self.forest.feature] & ~self.forest.leaf
-        here = np.arange(len(self.constant))
-        self.left, self.right = np.where(self.constant, self.forest.left, here), np.where(self.constant, self.forest.right, here)
 
     def sums(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Sum of the leaves of every row, rounded once; x by row, starts of runs that cover all rows."""
@@ -70,12 +68,12 @@ class Walk:
         held = x[np.minimum(starts[:, None] + np.arange(wide), ends[:, None] - 1)].transpose(2, 0, 1).copy()
         first = x[starts]
         full = np.where(sizes == WIDTH, ~np.uint64(0), _BITS[sizes % WIDTH] - np.uint64(1))
-        at = np.broadcast_to(f.roots, (n, trees)).copy()
-        while self.constant[at].any():  # up to leaves and varying splits, all trees of all runs at once
-            at = np.where(f.goes_left(at, first[np.arange(n)[:, None], f.feature[at]]), self.left[at], self.right[at])
-        whole = np.stack([f.fixed[:, k][at].sum(axis=1) for k in range(f.fixed.shape[1])])  # 0 but at leaves
-        run, tree = np.nonzero(~f.leaf[at])
-        node, mask, done = at[run, tree], full[run], []
+        run, node = np.repeat(np.arange(n), trees), np.tile(f.roots, n)
+        self._settle(run, node, first)
+        whole = np.stack([f.fixed[:, k][node].reshape(n, trees).sum(axis=1) for k in range(f.fixed.shape[1])])  # 0 but at leaves
+        split = np.flatnonzero(~f.leaf[node])
+        run, node = run[split], node[split]
+        mask, done = full[run], []
         while len(node):
             left = self._mask(node, held[f.feature[node], run])
             below, above = mask & left, mask & ~left
@@ -83,11 +81,7 @@ class Walk:
             run = np.concatenate([run[some], run[others]])
             mask = np.concatenate([below[some], above[others]])
             node = np.concatenate([f.left[node[some]], f.right[node[others]]])
-            moving = np.flatnonzero(self.constant[node])
-            while len(moving):
-                here = node[moving]
-                node[moving] = here = np.where(f.goes_left(here, first[run[moving], f.feature[here]]), f.left[here], f.right[here])
-                moving = moving[self.constant[here]]
+            self._settle(run, node, first)
             leaf = f.leaf[node]
             done.append((run[leaf], node[leaf], mask[leaf]))
             run, node, mask = run[~leaf], node[~leaf], mask[~leaf]
@@ -99,6 +93,16 @@ class Walk:
         run, node, bits = run[order], node[order], np.unpackbits(mask[order].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=wide)
         return np.stack([(w[:, None] + self._by_row(run, f.fixed[node, k], bits, n))[inside] for k, w in enumerate(whole)], axis=1)
 
+    def _settle(self, run: np.ndarray, node: np.ndarray, first: np.ndarray) -> None:
+        """Moves nodes on, in place, to leaves and varying splits."""
+        f = self.forest
+        moving = np.flatnonzero(self.constant[node])
+        while len(moving):
+            here = node[moving]
+            after = np.where(f.goes_left(here, first[run[moving], f.feature[here]]), f.left[here], f.right[here])
+            node[moving] = after
+            moving = moving[self.constant[after]]
+
     def _by_row(self, run: np.ndarray, values: np.ndarray, bits: np.ndarray, n: int) -> np.ndarray:
         """For each run and place, the sum of the values of its items that have its bit."""
         heads = np.searchsorted(run, np.arange(n + 1))

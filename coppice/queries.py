@@ -108,6 +108,23 @@ def panel_grouped(spark, sf_dir):
     return _panel_stages(grouped.score(_panel(spark, sf_dir), models.panel_forest(), models.PANEL_FEATURES, models.PANEL_CONSTANT, "c_custkey", ["c_custkey", "t"]))
 
 
+def sentinel_rows(spark, sf_dir):
+    """Orders by 16 steps, with 14 seeded covariates each; for benches."""
+    orders = spread(_table(spark, sf_dir, "orders").select("o_orderkey"))
+    held = orders.select("o_orderkey", *[(F.pmod(F.xxhash64("o_orderkey", F.lit(k)), F.lit(1 << 20)) / float(1 << 20)).alias(f"x{k}") for k in range(14)])
+    return workloads.panel(held, models.SENTINEL_STEPS, "x0")
+
+
+def sentinel_walk(spark, sf_dir):
+    """The full walk of every row of the sentinel."""
+    return walker.score(sentinel_rows(spark, sf_dir), models.sentinel_forest(), models.SENTINEL_FEATURES, ["o_orderkey", "t"])
+
+
+def sentinel_grouped(spark, sf_dir):
+    """The same rows, what is constant walked once an entity."""
+    return grouped.score(sentinel_rows(spark, sf_dir), models.sentinel_forest(), models.SENTINEL_FEATURES, models.SENTINEL_CONSTANT, "o_orderkey", ["o_orderkey", "t"])
+
+
 def forest_average(spark, sf_dir):
     return _staged(cases.score(_order_lines(spark, sf_dir), models.averaged_forest(), models.ORDER_FEATURES))
 
