@@ -71,6 +71,15 @@ def test_quality_without_labels_or_rows(spark, docs):
     assert quality.threshold_of([(0.5, 1), (0.4, 1), (-0.3, 0)], 20, -9) == pytest.approx(0.05)
 
 
+def test_quality_of_clashing_columns_and_repeated_rows(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("doc_id", F.col("doc_id") + 1000).withColumn("fit", F.lit("x")).withColumn("text", F.lit("y"))
+    plain = sorted(map(tuple, quality.score(docs, labels).collect()), key=repr)
+    odd = docs.withColumns({c: F.lit("z") for c in ("fit", "quality", "llr", "kept", "trusted", "_trusted", "row")})
+    assert sorted(map(tuple, quality.score(odd, labels).collect()), key=repr) == plain
+    assert quality.keep(odd, labels).columns == odd.columns and quality.keep(odd, labels).count() == sum(r[7] for r in plain)
+    assert quality.score(docs, labels).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
 def brute_spans(t):
     t = t or ""
 
