@@ -114,10 +114,12 @@ class Forest:
 
     @classmethod
     def load(cls, path: str, options: LoadOptions = LoadOptions()) -> "Forest":
-        """By extension: .json and .bin are Treelite's forms, .txt is LightGBM's text."""
+        """By extension: .json and .bin are Treelite's forms, .txt is LightGBM's text. Paths with a scheme are read by Spark."""
         suffix = Path(path).suffix
         if suffix not in (".json", ".bin", ".txt"):
             raise Unsupported(f"extension {suffix!r}")
+        if "://" in path:
+            return cls.from_bytes(_remote(path, options), suffix[1:], options)
         try:
             size = Path(path).stat().st_size
             if size > options.max_file_bytes:
@@ -226,6 +228,24 @@ class Forest:
         return total, margin, 1.0 / (1.0 + math.exp(z)) if z < 709 else 0.0
 
 
+def _remote(path: str, options: LoadOptions) -> bytes:
+    """A file that the session's file systems know; its size is checked before it is read."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise ModelIOError(f"no Spark session to read {path}")
+    try:
+        file = spark.read.format("binaryFile").load(path)
+        size = file.select("length").first()[0]
+        if size > options.max_file_bytes:
+            raise LimitExceeded(f"{size} bytes")
+        return bytes(file.select("content").first()[0])
+    except (PySparkException, TypeError) as e:
+        raise ModelIOError(str(e)) from e
+
+
 NODE_SCHEMA = (
     "tree INT, node INT, is_leaf BOOLEAN, feature INT, op STRING, threshold DOUBLE, categories ARRAY<BIGINT>, "
     "default_left BOOLEAN, left_id INT, right_id INT, leaf_value DOUBLE, leaf_fixed STRING, weight DOUBLE, predicate INT"

@@ -85,3 +85,20 @@ def cell_parts(cell: Column) -> Column:
     return F.struct(
         part("^([^/]+)/").alias("dataset"), part("/nt([0-9]+)", "bigint").alias("n_trees"), part("_md([0-9]+)", "bigint").alias("depth"),
         part("_h([0-9]+)", "bigint").alias("horizon"), part("^[^/]+/[^/]+/([^/]+)/").alias("framework"), part("^[^/]+/[^/]+/[^/]+/([^/]+)").alias("workload"))
+
+
+def threshold_bin(column: Column, thresholds: Sequence[float], inclusive: bool = False) -> Column:
+    """Number of distinct thresholds below a value (at or below it with inclusive); missing values are above all, as Spark orders NaN.
+
+    A balanced search by nested comparisons, inside generated code.
+    """
+    edges = sorted(set(thresholds))
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low).cast("bigint")
+        middle = (low + high) // 2
+        above = column >= edges[middle] if inclusive else column > edges[middle]
+        return F.when(above, search(middle + 1, high)).otherwise(search(low, middle))
+
+    return search(0, len(edges))

@@ -535,8 +535,7 @@ def validity_gates(spark, sf_dir):
 def numeric_bins(spark, sf_dir):
     """Number of the forest's thresholds of a feature below each value."""
     thresholds = sorted({p[2] for p in models.orders_forest().predicates if p[0] == 2})
-    edges = F.array(*[F.lit(t) for t in thresholds])
-    binned = _table(spark, sf_dir, "lineitem").withColumn("bin", F.size(F.filter(edges, lambda t: t < F.col("l_quantity"))).cast("bigint"))
+    binned = _table(spark, sf_dir, "lineitem").withColumn("bin", prep.threshold_bin(F.col("l_quantity"), thresholds))
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.min("l_quantity").alias("low"))
 
 

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from coppice import cli, models
-from coppice.config import GroupingConfig
+from coppice.config import GroupingConfig, LoadOptions
 from coppice.functions.ordering import first_in_order, quantiles, seeded
 from coppice.model import Forest, Node
-from coppice.errors import MalformedModel
+from coppice.errors import LimitExceeded, MalformedModel, ModelIOError
 from coppice.operators import estimates, prep, schedule, structure, workloads
 from coppice.plans import cases
 from coppice.plans.grouped import Walk, run_starts
@@ -215,3 +215,19 @@ def test_levels_and_features_of_whatifs(spark):
     assert workloads.ranked_features({0: 3, 1: 5, 2: 5, 3: 0}, [0, 1, 2, 3, 4], 3) == [1, 2, 0]
     forest = models.random_forest(3, 5, 4, RANGES)
     assert sum(workloads.split_usage(forest).values()) == sum(n.op is not None for t in forest.trees for n in t)
+
+
+def test_bins_and_remote_models(spark, tmp_path):
+    edges, values = [0.5, 0.1, 0.5, -2.0, 9.0], [-3.0, -2.0, 0.1, 0.3, 0.5, 9.0, 10.0, math.inf, -math.inf]
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
+    for inclusive in (False, True):
+        got = df.select("v", prep.threshold_bin(F.col("v"), edges, inclusive).alias("bin")).collect()
+        assert [r.bin for r in got] == [sum(e < r.v or (inclusive and e == r.v) for e in set(edges)) for r in got]
+    assert df.select(prep.threshold_bin(F.col("v"), []).alias("bin")).distinct().collect()[0].bin == 0
+    forest = models.random_forest(3, 2, 2, [(0.0, 1.0)])
+    (tmp_path / "m.json").write_text(treelite_json.write(forest))
+    assert Forest.load(f"file://{tmp_path}/m.json").fingerprint() == forest.fingerprint()
+    with pytest.raises(ModelIOError):
+        Forest.load(f"file://{tmp_path}/none.json")
+    with pytest.raises(LimitExceeded):
+        Forest.load(f"file://{tmp_path}/m.json", LoadOptions(max_file_bytes=3))
