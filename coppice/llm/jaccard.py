@@ -203,31 +203,52 @@ def _regions(how: Join):
     return run
 
 
-_BITS = 22
+#: log2 of the bits of a bitmap of ids: 16 an id, from 2**18 to 2**28 (32 MB); beyond 2**28 ids it filters little.
+_LEAST_BITS, _MOST_BITS = 18, 28
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(1 << (_BITS - 6), np.int64)
+def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (K.mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _marks(bits: int):
+    """The bitmap of a partition's ids, its blocks that aren't empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << (bits - 6), np.int64)
+        for batch in batches:
+            slot = _slots(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(table, slot >> 6, np.int64(1) << (slot & 63))
+        blocks = table.reshape(-1, _BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[k].tobytes() for k in some], pa.binary())], ["block", "bits"])
+
+    return run
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        slot = (K.mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - _BITS)).astype(np.int64)
-        np.bitwise_or.at(table, slot >> 6, np.int64(1) << (slot & 63))
-    blocks = table.reshape(-1, _BLOCK)
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "bits"])
+        for block, bits in zip(batch.column(0).to_pylist(), batch.column(1)):
+            new = np.frombuffer(bits.as_buffer(), np.int64)
+            total[block] = total[block] | new if block in total else new.copy()
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["block", "bits"])
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id may be in ids: a bitmap of fixed size keeps most other texts from the join's shuffle."""
-    table = np.zeros(1 << (_BITS - 6), np.int64)
-    for r in ids.mapInArrow(_marks, "block int, bits binary").groupBy("block").agg(F.collect_list("bits").alias("bits")).toLocalIterator():
-        for bits in r.bits:
-            table[r.block * _BLOCK : (r.block + 1) * _BLOCK] |= np.frombuffer(bytes(bits), np.int64)
+    """Rows of docs whose id may be in ids: a bitmap of bounded size keeps most other texts from the join's shuffle."""
+    bits = min(max((16 * ids.count()).bit_length(), _LEAST_BITS), _MOST_BITS)
+    table, kind = np.zeros(1 << (bits - 6), np.int64), "block int, bits binary"
+    for r in ids.mapInArrow(_marks(bits), kind).repartition("block").mapInArrow(_united, kind).toLocalIterator():
+        table[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(bytes(r.bits), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        marked = shared.value
         for batch in batches:
-            slot = (K.mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - _BITS)).astype(np.int64)
-            yield batch.filter(pa.array((bits[slot >> 6] >> (slot & 63) & 1).astype(bool)))
+            slot = _slots(batch.column(0).to_numpy(), bits)
+            yield batch.filter(pa.array((marked[slot >> 6] >> (slot & 63) & 1).astype(bool)))
 
     return docs.mapInArrow(run, "doc_id bigint, text string")
 
