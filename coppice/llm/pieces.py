@@ -111,6 +111,7 @@ class Vocabulary:
             raise ValueError("only merge (BPE) models are supported")
         self.bytes = [byte_ids.get(b) for b in range(256)] if len(byte_ids) == 256 else None
         self.longest = max(map(len, self.ids))
+        self.prefixes = {p[:k] for p in self.ids for k in range(2, len(p) + 1)}
         inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         alphabet = {c: k + 1 for k, c in enumerate(sorted({c for two in inside for c in two}))}
         self.kind = np.zeros(0x110000, np.uint16)
@@ -152,22 +153,20 @@ class Vocabulary:
 
         The path to a place is unique, so one token a place is the whole state.
         """
-        ids, longest, fits, pairs = self.ids, self.longest, self.fits, self._pairs
+        ids, begins_piece, fits, pairs = self.ids, self.prefixes, self.fits, self._pairs
         last: list[str | None] = [None] * (stop + 1)
-        for end in range(start + 1, stop + 1):
-            for begin in range(max(start, end - longest), end):
+        for begin in range(start, stop):
+            before = first if begin == start else last[begin]
+            if before is None and begin > start:
+                continue
+            for end in range(begin + 1, stop + 1):
                 token = text[begin:end]
-                if token in ids or begin == end - 1:
-                    if begin == start:
-                        before = first
-                    else:
-                        before = last[begin]
-                        if before is None:
-                            continue
+                if end - begin > 1 and token not in begins_piece:
+                    break  # no piece goes on like this
+                if last[end] is None and (token in ids or end == begin + 1):
                     known = pairs.get((before, token))
                     if known or (known is None and fits(before, token)):
                         last[end] = token
-                        break
         return last
 
     def token_ids(self, token: str) -> list[int]:
