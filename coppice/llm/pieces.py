@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -40,7 +39,7 @@ CHUNK_CHARS = 1 << 16
 #: Matrices that one product of the tree takes.
 FAN = 32
 #: Entries of the caches of units and of pairs in a worker; a full cache starts anew.
-CACHED = 700_000
+CACHED = 200_000
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -405,38 +404,61 @@ def _matrices(shared):
     return run
 
 
-def _product(key, frame):
-    """One matrix of up to FAN consecutive ones."""
-    flat = [x for edge in reduce(combined, map(_edges, frame.sort_values("at").edges)) for x in edge]
-    return pd.DataFrame({"row": [key[0]], "at": [int(key[1])], "edges": [flat]})
+def _by_product(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
+    """Rows (row, up, ...) of one product after the other, from batches sorted by these."""
+    held: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(batch.column(k).to_pylist() for k in range(columns))):
+            if held and r[:2] != held[0][:2]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
 
 
-def _whole(frames):
+def _rows(columns, kind: str) -> pa.RecordBatch:
+    row, at, flat = columns
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(at, pa.int32()), pa.array(flat, pa.list_(pa.int32()))], ["row", "at", kind])
+
+
+def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, up, at, edges) to one matrix of up to FAN consecutive ones."""
+    for group in _by_product(batches, 4):
+        flat = [x for edge in reduce(combined, (_edges(r[3]) for r in group)) for x in edge]
+        yield _rows(([group[0][0]], [group[0][1]], [flat]), "edges")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entry and exit state of whole texts."""
-    for frame in frames:
-        found = [states_on_path([_edges(e)]) for e in frame.edges]
-        yield pd.DataFrame({"row": frame.row, "at": frame["at"], "states": [[*a, *b] for a, b in found]})
+    for batch in batches:
+        found = [states_on_path([_edges(e)]) for e in batch.column("edges").to_pylist()]
+        yield _rows((batch.column("row").to_pylist(), batch.column("at").to_pylist(), [[*a, *b] for a, b in found]), "states")
 
 
-def _factors(key, frame):
-    """Entry and exit state of each factor of a product, from those of the product."""
-    frame = frame.sort_values("at")
-    outer = [int(x) for x in frame.states.iloc[0]]
-    found = states_on_path(list(map(_edges, frame.edges)), tuple(outer[:2]), tuple(outer[2:]))
-    return pd.DataFrame({"row": frame.row, "at": frame["at"], "states": [[*a, *b] for a, b in zip(found, found[1:])]})
+def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, up, at, edges, states of the product) to the entry and exit state of each factor."""
+    for group in _by_product(batches, 5):
+        outer = group[0][4]
+        found = states_on_path([_edges(r[3]) for r in group], tuple(outer[:2]), tuple(outer[2:]))
+        yield _rows(([r[0] for r in group], [r[2] for r in group], [[*a, *b] for a, b in zip(found, found[1:])]), "states")
 
 
 def _states(matrices: DataFrame, fan: int) -> DataFrame:
     """row, at and states (entry, exit) of each chunk: products in a tree upwards, states of factors downwards."""
     levels, up = [matrices], F.floor(F.col("at") / fan).cast("int")
     most = matrices.agg(F.max("at")).first()[0] or 0
+
+    def dealt(frame: DataFrame) -> DataFrame:
+        return frame.repartition("row", "up").sortWithinPartitions("row", "up", "at")
+
     while most:
-        levels.append(levels[-1].groupBy("row", up.alias("up")).applyInPandas(_product, "row string, at int, edges array<int>"))
+        levels.append(dealt(levels[-1].select("row", up.alias("up"), "at", "edges")).mapInArrow(_product, "row string, at int, edges array<int>"))
         most //= fan
-    states = levels.pop().mapInPandas(_whole, "row string, at int, states array<int>")
+    states = levels.pop().mapInArrow(_whole, "row string, at int, states array<int>")
     while levels:
         joined = levels.pop().withColumn("up", up).join(states.withColumnRenamed("at", "up"), ["row", "up"])
-        states = joined.groupBy("row", "up").applyInPandas(_factors, "row string, at int, states array<int>")
+        states = dealt(joined.select("row", "up", "at", "edges", "states")).mapInArrow(_factors, "row string, at int, states array<int>")
     return states
 
 
