@@ -49,6 +49,17 @@ def crossed_ratio(df: DataFrame, cell: Sequence[str], entity: str, round_: str,
     return whole.join(_interval(drawn, cell, "ratio"), cell, "left")
 
 
+def clustered_ratio(df: DataFrame, cell: Sequence[str], cluster: str, top: Column, bottom: Column, draws: int, seed: int) -> DataFrame:
+    """sum(top) / sum(bottom) of each cell with a 95% interval over redrawn clusters."""
+    cell = list(cell)
+    totals = df.groupBy(*cell, cluster).agg(F.sum(top).cast("double").alias("__a"), F.sum(bottom).cast("double").alias("__b"))
+    placed = totals.join(_numbered(df, cell, cluster, "__e"), [*cell, cluster])
+    weights = unit_weights(placed.select(F.col("n___e").alias("n")), draws, seed).select(F.col("n").alias("n___e"), "draw", F.col("unit").alias("__e"), F.col("weight").alias("__we"))
+    drawn = placed.join(weights, ["n___e", "__e"]).groupBy(*cell, "draw").agg((F.sum(F.col("__a") * F.col("__we")) / F.sum(F.col("__b") * F.col("__we"))).alias("ratio"))
+    whole = df.groupBy(*cell).agg((F.sum(top).cast("double") / F.sum(bottom)).alias("ratio"))
+    return whole.join(_interval(drawn, cell, "ratio"), cell, "left")
+
+
 def _upper_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
     """The value at place total // 2 of each key's values, each repeated as often as it weighs."""
     same = df.groupBy(*keys, value).agg(F.sum(weight).alias("__w"))

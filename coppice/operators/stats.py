@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,24 +102,6 @@ def pack_batches(groups: DataFrame, shard: str, key: str, size: str, budget: int
     return ordered.mapInPandas(fill, schema)
 
 
-def bootstrap_ratio(df: DataFrame, cell: str, cluster: str, top: str, bottom: str, draws: int, seed: int) -> DataFrame:
-    """Ratio of sums per cell with a 95% percentile interval over redrawn clusters.
-
-    Rows are summed by cluster before the shuffle; a task sees one cell's clusters.
-    """
-    sums = df.groupBy(cell, cluster).agg(F.sum(top).cast("double").alias("__a"), F.sum(bottom).cast("double").alias("__b"))
-
-    def redraw(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(cluster)
-        a, b, n = frame["__a"].to_numpy(), frame["__b"].to_numpy(), len(frame)
-        rng = np.random.default_rng(seed)
-        ratios = np.sort([a[i].sum() / b[i].sum() for i in (rng.integers(0, n, n) for _ in range(draws))])
-        low, high = (ratios[math.floor(p * (draws - 1) + 0.5)] for p in (0.025, 0.975))
-        return pd.DataFrame({cell: [frame[cell].iloc[0]], "ratio": [a.sum() / b.sum()], "low": [low], "high": [high]})
-
-    return sums.groupBy(cell).applyInPandas(redraw, f"{cell} {df.schema[cell].dataType.simpleString()}, ratio DOUBLE, low DOUBLE, high DOUBLE")
-
-
 def fsum(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Correctly rounded sums of doubles, a group per task; for tests on small groups."""
     def total(frame: pd.DataFrame) -> pd.DataFrame:

@@ -177,7 +177,7 @@ def oracle_sql() -> dict[str, str]:
     walked = f"""{events.rsplit("sums AS", 1)[0]}
 placed AS (SELECT rid, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 63 AS word FROM rws),
 steps AS (SELECT row_number() OVER () AS k, w.* FROM walk w)"""
-    return {
+    twins = {
         "forest_score_orders": orders + "SELECT l_orderkey, count(*) AS n_rows, sum(tree_sum) AS total, max(raw_margin) AS top_margin, round(max(output), 9) AS top_output FROM scored GROUP BY 1",
         "forest_stages": orders + STAGES,
         "forest_pushdown": orders + STAGES,
@@ -241,6 +241,16 @@ SELECT cell, block, (CASE WHEN v = 2 THEN t WHEN v <= 7 THEN t + n - hi - leaves
 SELECT c_custkey, variant, CASE WHEN variant = 0 THEN c_acctbal ELSE s_acctbal END AS c_acctbal FROM (SELECT c_custkey, c_acctbal, variant, floor({_uniform(10, 'c_custkey', 'variant')} * 8)::BIGINT AS place FROM customer, range(4) AS r(variant)) JOIN pool USING (place)""",
         "whatif_grid": """WITH s AS (SELECT list_sort(list(c_acctbal)) AS a, list_sort(list(c_nationkey)) AS n, count(*) AS c FROM customer)
 SELECT s_suppkey, a[ceil((j + 0.5) / 3 * c)::BIGINT]::DOUBLE AS c_acctbal, n[ceil((i + 0.5) / 4 * c)::BIGINT]::DOUBLE AS c_nationkey FROM supplier, s, range(4) AS x(i), range(3) AS y(j)""",
+        "batch_packing": """WITH RECURSIVE sizes AS (SELECT l_orderkey % 16 AS shard, l_orderkey, count(*) AS n, row_number() OVER (PARTITION BY l_orderkey % 16 ORDER BY l_orderkey) AS k FROM lineitem GROUP BY 1, 2),
+fold(shard, k, l_orderkey, n, batch, used) AS (SELECT shard, k, l_orderkey, n, 0::BIGINT, n FROM sizes WHERE k = 1
+  UNION ALL SELECT s.shard, s.k, s.l_orderkey, s.n, CASE WHEN f.used + s.n > 64 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.used + s.n > 64 THEN s.n ELSE f.used + s.n END
+  FROM fold f JOIN sizes s ON s.shard = f.shard AND s.k = f.k + 1)
+SELECT shard, l_orderkey, n, batch FROM fold""",
+        "bootstrap_ratio": f"""{SAMPLES}, totals AS (SELECT cell, block, sum(ticks)::DOUBLE AS a, sum(n_rows)::DOUBLE AS b FROM samples GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY block) - 1 AS e, count(*) OVER (PARTITION BY cell) AS n_e FROM totals), {_draws('we', 'n_e', 1, 200)},
+drawn AS (SELECT cell, draw, sum(a * weight) / sum(b * weight) AS ratio FROM placed JOIN we ON we.n = n_e AND unit = e GROUP BY ALL)
+SELECT cell, round(sum(a) / sum(b), 9) AS ratio, any_value(low) AS low, any_value(high) AS high FROM totals
+JOIN (SELECT cell, round(quantile_cont(ratio, 0.025), 9) AS low, round(quantile_cont(ratio, 0.975), 9) AS high FROM drawn GROUP BY 1) USING (cell) GROUP BY cell""",
         "round_faults": """WITH g AS (SELECT l_orderkey AS k, count(*) AS n, l_orderkey % 2 = 0 AS timed FROM lineitem GROUP BY 1),
 s AS (SELECT method, repetition, k, n, timed, n + CASE WHEN k % 90 = 4 THEN 1 ELSE 0 END AS seen FROM g, range(2) AS r(repetition), (VALUES ('a'), ('b')) AS m(method),
   LATERAL (SELECT unnest(range(CASE WHEN method = 'b' THEN 1 WHEN k % 50 = 8 THEN 0 WHEN k % 60 = 10 THEN 2 WHEN k % 2 = 1 AND k % 70 <> 1 THEN 0 ELSE 1 END))) WHERE timed OR method = 'a')
@@ -286,3 +296,7 @@ FROM (SELECT p_partkey, lower(p_brand) || '/nt' || p_size || '_md' || (p_size %
         "validity_gates": SAMPLES + " SELECT cell, count(DISTINCT block) < 8 AS few_blocks, count(*) FILTER (WHERE ticks < 0) > 0 AS has_negative, count(*) > count(DISTINCT event_id) AS has_repeated FROM samples GROUP BY 1",
         "numeric_bins": f"SELECT len(list_filter({places}::DOUBLE[], lambda t: t < l_quantity))::BIGINT AS bin, count(*) AS n, min(l_quantity) AS low FROM lineitem GROUP BY 1",
     }
+    n_varying = sum(p[0] not in models.EVENT_CONSTANT for p in forest.predicates)
+    twins["work_per_row"] = f"""SELECT round(((c + v + r * {n_varying}) / g + (r / g) * {len(forest.trees)}) / (r / g) / {len(forest.trees) * forest.depth}, 9) AS share
+FROM (SELECT sum(constant_events)::DOUBLE AS c, sum(varying_events)::DOUBLE AS v FROM ({twins['work_counters']})), (SELECT count(*)::DOUBLE AS r, count(DISTINCT user_id)::DOUBLE AS g FROM events)"""
+    return twins

@@ -541,12 +541,13 @@ def numeric_bins(spark, sf_dir):
 
 def batch_packing(spark, sf_dir):
     sizes = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    sharded = sizes.withColumn("shard", F.pmod(F.xxhash64("l_orderkey"), F.lit(16)))
+    sharded = sizes.withColumn("shard", F.col("l_orderkey") % 16)
     return stats.pack_batches(sharded, "shard", "l_orderkey", "n", 64)
 
 
 def bootstrap_ratio(spark, sf_dir):
-    return stats.bootstrap_ratio(_samples(spark, sf_dir), "cell", "block", "ticks", "n_rows", 200, 1)
+    out = estimates.clustered_ratio(_samples(spark, sf_dir), ["cell"], "block", F.col("ticks"), F.col("n_rows"), 200, 1)
+    return out.select("cell", *(F.round(c, 9).alias(c) for c in ("ratio", "low", "high")))
 
 
 ALL = (

@@ -7,11 +7,12 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from coppice import models, oracles, queries
 from coppice.config import GroupingConfig
-from coppice.operators import contracts, stats, workloads
+from coppice.operators import contracts, estimates, stats, workloads
 from coppice.plans.predictor import Predictor
 from coppice.sources import tables
 from coppice.streaming.scoring import score_stream
@@ -115,7 +116,7 @@ def test_batches_are_greedy(spark):
 
 def test_bootstrap_holds_the_ratio(spark):
     df = spark.createDataFrame([("x", k % 5, float(k), 2.0) for k in range(50)], "c STRING, b BIGINT, t DOUBLE, n DOUBLE")
-    r = stats.bootstrap_ratio(df, "c", "b", "t", "n", 100, 1).first()
+    r = estimates.clustered_ratio(df, ["c"], "b", F.col("t"), F.col("n"), 100, 1).first()
     assert r.ratio == sum(range(50)) / 100 and r.low <= r.ratio <= r.high
 
 
