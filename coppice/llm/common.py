@@ -51,7 +51,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: str | list[str], by: str,
     """left joined to right, which has one row for a value of `on`; a value may hold most rows of left.
 
     The rows of a value are dealt out by the hash of the column `by`, and right is repeated for each part.
+    Both are sorted and merged: small sides would be broadcast as tables of whole memory pages.
     """
     dealt = left.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
     repeated = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return dealt.join(repeated, [*([on] if isinstance(on, str) else on), "_part"], how).drop("_part")
+    return dealt.join(repeated.hint("merge"), [*([on] if isinstance(on, str) else on), "_part"], how).drop("_part")

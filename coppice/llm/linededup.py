@@ -4,8 +4,8 @@ Lines of at least `min_chars` code points whose normalised key stands in at
 least `min_docs` documents are dropped from all of these but the one of the
 largest doc_id.  Only hashes, positions and ids are shuffled by line; texts are
 shuffled once, by document.  Documents are counted by line and document first.  The
-lines that hold the most rows, HOT_LINES at most, are looked up in a broadcast
-table, so that none of them gathers its rows in one task.
+rows of the lines that hold the most, HOT_LINES at most, are dealt over parts, so
+that none of them gathers its rows in one task.
 
 Defined results: a null or empty text is one empty line; a null doc_id counts
 as one document below all others; repeated rows of a doc_id are one document
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import BLANKS, checkpointed, lowered, text_of
 
 _NO_ID = -(2**63)
-#: A line with more than this part of the rows of all common lines is broadcast: so many at most.
+#: A line with more than one part in HOT_LINES of the rows of all common lines is hot: so many at most.
 HOT_LINES = 4096
+#: Parts that the rows of a hot line are dealt over.
+PARTS = 64
 
 
 def _lines(text: Column) -> Column:
@@ -47,12 +49,12 @@ def with_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     held = keyed.groupBy("a", "b", "id").agg(F.count(F.lit(1)).alias("rows")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"), F.sum("rows").alias("rows"))
     common = checkpointed(held.where(F.col("n") >= min_docs).select("a", "b", "keeper", "rows"))
     most = (common.agg(F.sum("rows")).first()[0] or 0) / HOT_LINES
-    hot, rest = common.where(F.col("rows") > most), common.where(F.col("rows") <= most)
-    marked = keyed.join(F.broadcast(hot.select("a", "b", F.col("keeper").alias("hot_keeper"))), ["a", "b"], "left")
-    # rows of hot lines are done: they are dealt out and meet nothing
-    dealt = marked.withColumn("part", F.when(F.col("hot_keeper").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id", "at"), F.lit(256)).cast("int")))
-    judged = dealt.join(rest.select("a", "b", "keeper", F.lit(0).alias("part")), ["a", "b", "part"], "left")
-    dropped = judged.where(F.col("id") != F.coalesce("hot_keeper", "keeper"))
+    hot = [r.a for r in common.where(F.col("rows") > most).select("a").collect()]  # HOT_LINES at most
+    is_hot = F.col("a").isin(hot) if hot else F.lit(False)
+    # rows of hot lines are dealt over all parts, and these lines are repeated for each
+    dealt = keyed.withColumn("part", F.when(is_hot, F.pmod(F.xxhash64("id", "at"), F.lit(PARTS)).cast("int")).otherwise(0))
+    repeated = common.select("a", "b", "keeper", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))).alias("part"))
+    dropped = dealt.join(repeated.hint("merge"), ["a", "b", "part"]).where("id <> keeper")
     drops = dropped.groupBy("id", "body_hash").agg(F.collect_set("at").alias("drops"))
     joined = named.withColumn("body_hash", F.xxhash64("body")).join(drops, ["id", "body_hash"], "left")
     return joined.select("row", _lines(F.col("body")).alias("lines"), F.coalesce("drops", F.array().cast("array<int>")).alias("drops"))

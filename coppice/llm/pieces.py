@@ -360,7 +360,7 @@ def _encode_short(shared):
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64).cumsum()
             while first < batch.num_rows:
                 start = sizes[first - 1] if first else 0
-                last = max(first + 1, int(np.searchsorted(sizes, start + (1 << 20), "right")))
+                last = max(first + 1, int(np.searchsorted(sizes, start + (1 << 18), "right")))
                 texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
                 ids, offsets = v.encode_all(texts)
                 same = [v.decode(ids[a:b].tolist()) == t.replace(SPACE, " ") for t, a, b in zip(texts, offsets, offsets[1:])]
