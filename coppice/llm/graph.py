@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from .common import checkpointed, spread_join
 
 
-def _largest(edges: DataFrame) -> DataFrame:
+#: Links from which on joins on nodes are spread; fewer fit a task, whatever node they have in common.
+SPREAD = 1_000_000
+
+
+def _met(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """Each edge with the smallest neighbour of its node a; one node may have most of n edges."""
+    return spread_join(edges, low, "a", "b", parts=16) if n >= SPREAD else edges.join(low, "a")
+
+
+def _largest(edges: DataFrame, n: int) -> DataFrame:
     """Every neighbour that is larger than a node goes to the node's smallest neighbour (itself with them)."""
     both = edges.unionAll(edges.selectExpr("b AS a", "a AS b"))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return spread_join(both, low, "a", "b", parts=8).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return _met(both, low, n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
+def _smallest(edges: DataFrame, n: int) -> DataFrame:
     """A node and its smaller neighbours go to the smallest of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    return spread_join(down, low, "a", "b", parts=8).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+    return _met(down, low, n).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round is two aggregations and two joins on the links; their number
     grows with the logarithm of a component's diameter.  A node may have most of the
-    links: joins on nodes are spread.  Lineage is cut by reliable checkpoints.
+    links: joins on nodes of many links are spread.  Lineage is cut by reliable checkpoints.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
@@ -36,6 +45,6 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(state) == mark or not state[0]:
             break
         mark = tuple(state)
-        edges = checkpointed(_smallest(_largest(edges)))
+        edges = checkpointed(_smallest(_largest(edges, state[0]), state[0]))
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)

@@ -492,7 +492,7 @@ def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
     alone = F.col("of_class").isNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull()
     # only documents without copies are looked up by themselves; the others are dealt out and meet nothing
     dealt = marked.withColumn("node", F.when(alone, F.col("doc_id"))).withColumn("part", F.when(alone, 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "h1"), F.lit(256)).cast("int")))
-    joined = dealt.join(found.withColumn("part", F.lit(0)), ["node", "part"], "left")
+    joined = dealt.join(found.withColumn("part", F.lit(0)).hint("merge"), ["node", "part"], "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "component", "doc_id")).alias("component_id"))
 
 

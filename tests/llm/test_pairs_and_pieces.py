@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from coppice.llm import chains, jaccard, pieces
+from coppice.llm import chains, graph, jaccard, pieces
 from coppice.llm.common import table
 
 SCHEMA = "doc_id BIGINT, text STRING"
@@ -267,6 +267,15 @@ def near_copies(seed, n):
     return out
 
 
+@pytest.mark.parametrize("spread", [1, 10**6])
+def test_components_of_hubs_and_chains(spark, monkeypatch, spread):
+    monkeypatch.setattr(graph, "SPREAD", spread)
+    links = [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(100, 140)] + [(300, 200), (200, 250), (7, 7), (400, 400)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {k: 0 for k in range(60)} | {k: 100 for k in range(100, 141)} | {200: 200, 250: 200, 300: 200}
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
 @pytest.mark.parametrize("block,percent", [(4, 80), (16, 80), (16, 60), (10_000, 80)])
 def test_large_groups_are_divided_exactly(spark, block, percent):
     texts = near_copies(block + percent, 220)
