@@ -18,7 +18,7 @@ is at home in the Voronoi region of the nearest, and replicated to those that ar
 at most 2 r further, as far as the triangle inequality lets a partner be.  Documents
 linked to a pivot are connected by that; in its region they are compared only to
 those that are not, if these can be within r.  Regions are divided again until they
-fit a block; there whole sets are compared, and only links that connect
+fit a block, or until dividing gains nothing; there whole sets are compared, and only links that connect
 components come out.
 
 Rarity comes from a table of counts of fixed size over all documents; any order
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,8 @@ class Join:
     region: int = 24
     #: Documents of a group that are compared in one task; larger groups are divided by pivots.
     block: int = 256
+    #: Document pivots of a group, about so many.
+    pivots: int = 4
 
 
 _BLOCK = 4096
@@ -398,15 +401,14 @@ def _distances(how: Join):
 
 
 def _divided(members: DataFrame, texts: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
-    """Large groups (g, x, part, n) by new pivots: exact links to pivots, and what is left to compare, as (g, x, part, n, parent).
+    """Large groups (g, x, part, n) by new pivots: exact links to pivots, and what is left to compare, as (g, x, part, n, parent, size).
 
     part marks members linked to their group's pivot; they are connected already, so
     pivots are drawn from the others.  In a region, members linked to its pivot need
     no comparison with each other, nor with any that is r further from the pivot: they
     stay only where a member that isn't linked is near enough.
     """
-    want = F.ceil(2 * F.col("n") / how.block)
-    drawn = members.where((~F.col("part")) & (F.pmod(F.xxhash64("x", "g"), F.col("n")) < want)).select("g", "x")
+    drawn = members.where((~F.col("part")) & (F.pmod(F.xxhash64("x", "g"), F.col("n")) < how.pivots)).select("g", "x")
     least = members.where(~F.col("part")).groupBy("g").agg(F.min("x").alias("x"))
     pivots = drawn.unionAll(least).distinct()
     parts = F.ceil(F.col("n") / how.block).cast("int")
@@ -415,7 +417,7 @@ def _divided(members: DataFrame, texts: DataFrame, how: Join) -> tuple[DataFrame
     rows = dealt.unionAll(leads).join(texts, "x").select("g", "part_no", "x", "lead", "text").repartition("g", "part_no").sortWithinPartitions("g", "part_no", F.desc("lead"), "x")
     near = checkpointed(rows.mapInArrow(_distances(how), "g bigint, x bigint, pivot bigint, home boolean, d double, linked boolean"))
     links = near.where("linked and x <> pivot").select(F.col("x").alias("a"), F.col("pivot").alias("b"))
-    placed = near.join(members.select("g", "x", F.col("part").alias("was_part"), F.col("n").alias("parent")), ["g", "x"])
+    placed = near.join(members.select("g", "x", F.col("part").alias("was_part"), F.col("n").alias("size")), ["g", "x"])
     placed = placed.withColumn("region", F.xxhash64("g", "pivot"))
     edge = F.min(F.when(~F.col("linked"), F.col("d")))
     stats = placed.groupBy("region").agg(edge.alias("edge"), F.bool_and("was_part").alias("all_part"))
@@ -423,45 +425,58 @@ def _divided(members: DataFrame, texts: DataFrame, how: Join) -> tuple[DataFrame
     left = spread_join(placed, stats, "region", "x").where(~F.col("all_part") & F.col("edge").isNotNull() & (~F.col("linked") | (F.col("d") >= F.col("edge") - radius)))
     counted = left.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes"))
     kept = spread_join(left, counted.where("homes > 0 and n > 1"), "region", "x")
-    return links, checkpointed(kept.select(F.col("region").alias("g"), "x", F.col("linked").alias("part"), "n", "parent"))
+    return links, checkpointed(kept.select(F.col("region").alias("g"), "x", F.col("linked").alias("part"), "n", F.col("g").alias("parent"), "size"))
 
 
 #: Levels of regions; what is still large then is compared by pairs of blocks.
 LEVELS = 8
 
 
+def _dealt(groups: DataFrame, how: Join) -> DataFrame:
+    """Groups (g, x, main) as the tasks (g, i, j) of pairs of blocks: those of main with each other are left out."""
+    sizes = groups.groupBy("g").agg(F.ceil(F.count_if(~F.col("main")) / how.block).cast("int").alias("others"), F.ceil(F.count_if("main") / how.block).cast("int").alias("mains"))
+    hashed = F.pmod(F.xxhash64("x"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    placed = spread_join(groups, sizes.where("others > 0"), "g", "x").withColumn("block", F.when(F.col("main"), F.col("others") + hashed).otherwise(hashed))
+    upto = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    dealt = placed.select("g", "x", "block", F.explode(F.sequence(F.lit(0), upto)).alias("other"))
+    return dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "x")
+
+
 def _linked(frame: DataFrame, candidates: DataFrame, how: Join) -> DataFrame:
     """Links that connect each component, from the groups of candidates.
 
-    A group larger than a block is divided by pivots, again and again; one that pivots
-    don't make a quarter smaller (all its members equally far from each other) goes to
-    a task for every two of its blocks.
+    A group larger than a block is divided by pivots, again and again.  One whose
+    regions together are more than twice as large (its members are all near each other, or
+    all equally far) is compared by pairs of blocks; but members that links to pivots
+    have connected already, the largest such class of a group, not with each other.
     """
     groups = checkpointed(graph.components(candidates))
     texts = _texts_of(frame.where("doc_id is not null"), groups.select("node")).withColumnRenamed("doc_id", "x")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = checkpointed(spread_join(groups, sizes, "component", "node").select(F.col("component").alias("g"), F.col("node").alias("x"), F.lit(False).alias("part"), "n"))
-    ready, links = members.where(F.col("n") <= how.block), []
-    large = members.where(F.col("n") > how.block)
+    ready, large, links, held = members.where(F.col("n") <= how.block), members.where(F.col("n") > how.block), [], []
     for _ in range(LEVELS):
         if large.isEmpty():
             break
         found, left = _divided(large, texts, how)
         links.append(found)
-        small = F.col("n") <= how.block
-        stuck = ~small & (4 * F.col("n") > 3 * F.col("parent"))
-        ready = ready.unionAll(left.where(small | stuck).drop("parent"))
-        large = left.where(~small & ~stuck).drop("parent")
-    ready = ready.unionAll(large)
-    blocks = F.ceil(F.col("n") / how.block).cast("int")
-    placed = ready.select("g", "x", blocks.alias("k"), F.pmod(F.xxhash64("x"), blocks).cast("int").alias("block"))
-    dealt = placed.select("g", "x", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "x")
+        stuck = checkpointed(left.groupBy("parent").agg(F.count(F.lit(1)).alias("all"), F.first("size").alias("size")).where("all > 2 * size").select("parent"))
+        held.append(large.join(stuck.withColumnRenamed("parent", "g"), "g", "left_semi"))
+        divided = left.join(stuck, "parent", "left_anti").select("g", "x", "part", "n")
+        ready, large = ready.unionAll(divided.where(F.col("n") <= how.block)), divided.where(F.col("n") > how.block)
+    dealt = _dealt(ready.select("g", "x", F.lit(False).alias("main")), how)
+    if links:
+        found = reduce(lambda a, b: a.unionAll(b), links)
+        classes = graph.components(found)
+        rows = reduce(lambda a, b: a.unionAll(b), [*held, large]).select("g", "x")
+        classed = checkpointed(rows.join(classes, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("component", "x").alias("c")))
+        most = classed.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "c"))["c"].alias("most"))
+        marked = spread_join(classed, most, "g", "x").select("g", "x", (F.col("c") == F.col("most")).alias("main"))
+        # ids of groups that were divided and of those that were not are never the same
+        dealt = dealt.unionAll(_dealt(marked, how))
     rows = dealt.join(texts, "x").select("g", "i", "j", "side", "x", "text").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "x")
     compared = rows.mapInArrow(_grouped(how), "a bigint, b bigint")
-    for found in links:
-        compared = compared.unionAll(found)
-    return compared
+    return compared.unionAll(found) if links else compared
 
 
 def classes(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame, DataFrame]:
