@@ -276,7 +276,7 @@ def test_components_of_hubs_and_chains(spark, monkeypatch, spread):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
-@pytest.mark.parametrize("block,percent", [(8, 80), (16, 60), (10_000, 80)])
+@pytest.mark.parametrize("block,percent", [(4, 80), (16, 60), (10_000, 80)])
 def test_large_groups_are_divided_exactly(spark, block, percent):
     texts = near_copies(block + percent, 120)
     sets = {d: shingle_set(t) for d, t in texts.items()}
