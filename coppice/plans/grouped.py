@@ -17,13 +17,13 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Forest
 from .cases import finish
-from .walker import Arrays
+from .walker import Arrays, matrix, with_sums
 
 WIDTH = 64
 #: Items (runs times trees) walked at once; bounds memory at about ITEMS * WIDTH * 40 bytes.
@@ -140,10 +140,10 @@ def score(df: DataFrame, forest: Forest, features: Sequence[str], constant: set[
     key = F.coalesce(F.xxhash64(group), F.lit(0)).alias("__group")
     held = df.select(*kept, key, *[F.coalesce(F.col(f).cast("double"), F.lit(math.nan)).alias(f"__f{k}") for k, f in enumerate(features)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch[[f"__f{k}" for k in range(n)]].to_numpy(np.float64)
-            yield batch[kept].assign(tree_sum=walk.sums(x, run_starts(batch["__group"].to_numpy())))
+            starts = run_starts(batch.column(len(kept)).to_numpy())
+            yield with_sums(batch, kept, walk.sums(matrix(batch, len(kept) + 1, n), starts))
 
     schema = held.select(*kept, F.lit(0.0).alias("tree_sum")).schema
-    return held.mapInPandas(run, schema).withColumns(finish(forest, F.col("tree_sum")))
+    return held.mapInArrow(run, schema).withColumns(finish(forest, F.col("tree_sum")))

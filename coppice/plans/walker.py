@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +119,18 @@ class Arrays:
             return x.astype(np.float32).astype(np.float64)
 
 
+def matrix(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
+    """n columns of a batch from the first on, rows by features."""
+    out = np.empty((batch.num_rows, n))
+    for k in range(n):
+        out[:, k] = batch.column(first + k).to_numpy(zero_copy_only=False)
+    return out
+
+
+def with_sums(batch: pa.RecordBatch, kept: Sequence[str], sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(sums, pa.float64())], [*kept, "tree_sum"])
+
+
 def score(df: DataFrame, forest: Forest, features: Sequence[str], key: Sequence[str]) -> DataFrame:
     """The key columns, tree_sum, raw_margin and output of every row; no shuffle.
 
@@ -130,11 +142,11 @@ def score(df: DataFrame, forest: Forest, features: Sequence[str], key: Sequence[
     arrays, n, kept = Arrays(forest), len(features), list(key)
     held = df.select(*kept, *[F.coalesce(F.col(f).cast("double"), F.lit(math.nan)).alias(f"__f{k}") for k, f in enumerate(features)])
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch[[f"__f{k}" for k in range(n)]].to_numpy(np.float64)
+            x = matrix(batch, len(kept), n)
             parts = [arrays.sums(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)]
-            yield batch[kept].assign(tree_sum=np.concatenate(parts) if parts else np.empty(0))
+            yield with_sums(batch, kept, np.concatenate(parts) if parts else np.empty(0))
 
     schema = held.select(*kept, F.lit(0.0).alias("tree_sum")).schema
-    return held.mapInPandas(walk, schema).withColumns(finish(forest, F.col("tree_sum")))
+    return held.mapInArrow(walk, schema).withColumns(finish(forest, F.col("tree_sum")))
