@@ -215,17 +215,20 @@ def _sums(page: Page) -> tuple[list[float], list[float]]:
 def _dropped(page: Page) -> set[int]:
     """Elements that their name and their place or content make boilerplate.
 
-    One with more than half of the page's text never is.  A weak name needs more in
-    an article: many links, or a short text that has no heading.
+    One that holds an article or main element never is, nor, by a weak name, one with a
+    long text that is more than half of the page's.  A weak name needs more in an
+    article: many links, or a short text that has no heading.
     """
     length, linked = _sums(page)
     headings = page.summed({e: 1 for e, tag in enumerate(page.tags) if tag in HEADINGS})
+    articles = page.summed({e: 1 for e, tag in enumerate(page.tags) if tag in ("article", "main")})
     out = set()
     for e, strength in enumerate(page.named):
-        if not strength or 2 * length[e] > length[0]:
+        if not strength or articles[e]:
             continue
         many_links, slight = linked[e] > 0.3 * length[e], length[e] < 400 and not headings[e]
-        if strength == 2 or not page.in_article[e] or many_links or slight:
+        most = length[e] >= 400 and 2 * length[e] > length[0]
+        if strength == 2 or many_links or slight or not (page.in_article[e] or most):
             out.add(e)
     return out
 

@@ -148,3 +148,11 @@ def test_deep_pages_take_linear_time(tag):
         htmltext.main_text(page(n))
         took.append(time.perf_counter() - start)
     assert took[1] < 10 * took[0] + 0.2
+
+
+def test_short_articles_beside_longer_adverts():
+    advert = "An advert of some length. " * 3
+    assert htmltext.main_text(f'<body><div class="ad">{advert}</div><article><h1>T.</h1><p>T.</p></article></body>') == "T.\nT."
+    assert htmltext.main_text(f'<body><div class="notice">{advert}</div><article><p>T.</p></article></body>') == "T."
+    assert htmltext.main_text(f'<div class="content header"><main><p>{_TEXT}</p></main></div>') == _TEXT.strip()
+    assert htmltext.main_text(f'<div id="discussion"><p>{_TEXT * 9}</p></div>') == (_TEXT * 9).strip()
