@@ -298,6 +298,43 @@ def test_large_groups_are_divided_exactly(spark, block, percent):
     assert {r.doc_id: r.component_id for r in got} == {d: root(d) for d in texts}
 
 
+@pytest.mark.parametrize("how", [jaccard.Join(region=2, sketched=3, table_bits=1), jaccard.Join(region=2, sketched=3, table_bits=1, percent=40), jaccard.Join(region=6, table_bits=1)])
+def test_documents_of_a_common_passage_form_no_group(spark, monkeypatch, how):
+    """Pivots that many unlike documents share link no more of them than sketches must let pass."""
+    rng, common = random.Random(7), [f"c{k}" for k in range(24)]
+    texts = {d: " ".join([*common, *(f"w{rng.randrange(10**6)}" for _ in range(50 + d % 40))]) for d in range(120)}
+    texts |= {200 + d: " ".join([*texts[d].split()[:-3], "x", "y", "z"]) for d in range(0, 120, 10)}
+    texts |= {300 + d: f"{texts[0]} {d}" for d in range(12)}
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    links = [(a, b) for a in texts for b in texts if a < b and 100 * len(sets[a] & sets[b]) >= how.percent * len(sets[a] | sets[b])]
+    seen, whole = [], jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda frame, candidates, how: seen.extend(map(tuple, graph.components(candidates).collect())) or whole(frame, candidates, how))
+    got = jaccard.join(spark.createDataFrame(list(texts.items()), SCHEMA), how).collect()
+    want = dict(map(tuple, graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
+    assert {r.doc_id: r.component_id for r in got} == {d: want.get(d, d) for d in texts}
+    assert how.percent < 80 or len(seen) < len(texts) / 2
+
+
+def test_sketches_exclude_no_link():
+    rng = np.random.default_rng(5)
+    for percent in (30, 80):
+        how, base = jaccard.Join(percent=percent), rng.integers(0, 2**63, 3000).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[:k][rng.random(k) < 0.95], rng.integers(0, 2**63, rng.integers(0, 1 + k // 4)).astype(np.uint64)])) for k in rng.integers(1, 3000, 60)]
+        sets = sorted((s for s in sets if len(s)), key=len)
+        n, side = np.array([len(s) for s in sets]), rng.integers(0, 2, len(sets))
+        sketches = jaccard._sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), n).to_pylist()
+        for sides in (np.zeros(len(sets), np.int64), side):
+            pairs, at = jaccard.alike(n, sides, sketches, how), list(range(len(sets)))
+            for _ in sets:
+                for a, b in pairs:
+                    at[a] = at[b] = min(at[a], at[b])
+            for a in range(len(sets)):
+                for b in range(a):
+                    both = len(np.intersect1d(sets[a], sets[b]))
+                    if 100 * both >= percent * (n[a] + n[b] - both) and (sides.max() == 0 or sides[a] != sides[b]):
+                        assert at[a] == at[b]
+
+
 def test_pipeline_of_odd_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     good = sorted(docs.where("length(text) > 600").limit(6).collect(), key=lambda r: r.doc_id)
