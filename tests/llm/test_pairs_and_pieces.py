@@ -190,6 +190,20 @@ def test_matches_over_batch_borders():
         assert sorted(got) == sorted(wanted)
 
 
+def test_passages_of_common_seeds_are_matched_to_their_source(spark):
+    """Every seed of the passage stands alone in many other documents too, so that neither its first nor its previous document holds the passage."""
+    rng, size = random.Random(4), 70  # window 1: each k-mer is a seed, also in the other documents
+    for others in (3, 2 * chains.MANY):
+        passage = [f"p{k}" for k in range(size)]
+        pieces_of = [[w for k in range(a, size - 3, 4) for w in [*passage[k : k + 4], *(f"z{rng.randrange(10**9)}" for _ in range(100))]] for a in range(4)]
+        rows = [(10 + 4 * n + a, " ".join(pieces_of[a])) for n in range(others) for a in range(4)]
+        rows += [(1000, " ".join([*(f"s{k}" for k in range(30)), *passage]))]
+        rows += [(2000 + 4 * n + a, " ".join(pieces_of[a])) for n in range(others) for a in range(4)]
+        rows += [(9000, " ".join([*passage, *(f"t{k}" for k in range(30))]))]
+        got = [(r.src_doc_id, r.start_word, r.end_word) for r in chains.passages(spark.createDataFrame(rows, SCHEMA), chains.Chaining(window=1)).collect() if r.doc_id == 9000]
+        assert got == [(1000, 0, size)]
+
+
 def test_hot_seeds_are_dealt_over_ranges_of_documents(spark, monkeypatch):
     """A line in every document, and other passages: with hot seeds the same passages as without, but for their sources."""
     rng, line = random.Random(3), " ".join(f"l{k}" for k in range(60))
