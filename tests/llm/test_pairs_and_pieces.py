@@ -329,6 +329,19 @@ def test_documents_of_a_common_passage_form_no_group(spark, monkeypatch, how):
     assert how.percent < 80 or len(seen) < len(texts) / 2
 
 
+def test_near_duplicates_of_the_pipeline_form_no_group_of_unlike_documents(spark, sf_dir, monkeypatch):
+    """With counts that tell no shingles apart, as in very large corpora, a common passage makes no group."""
+    rng, common = random.Random(8), [f"c{k}" for k in range(30)]
+    rows = [(d, " ".join([*common, *(f"w{rng.randrange(10**9)}" for _ in range(60))])) for d in range(60)]
+    rows += [(100 + d, rows[d][1] + " end") for d in range(0, 60, 6)]
+    seen, whole = [], jaccard._linked
+    monkeypatch.setattr(jaccard, "shingle_counts", lambda docs, how: np.zeros(1 << how.table_bits, np.int64))
+    monkeypatch.setattr(jaccard, "_linked", lambda frame, candidates, how: seen.extend(graph.components(candidates).collect()) or whole(frame, candidates, how))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(60))
+    assert len(seen) == 20
+
+
 def test_sketches_exclude_no_link():
     rng = np.random.default_rng(5)
     for percent in (30, 80):
