@@ -384,3 +384,44 @@ def test_pipeline_of_odd_rows(spark, sf_dir):
         none = stage(spark, none, sf_dir)
         assert none.columns == names and none.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, none, sf_dir).count() == 0
+
+
+def shuffled(spark, make):
+    """Bytes that the stages of make() write to shuffles."""
+    jvm = spark._jvm
+    context, none = spark.sparkContext, jvm.java.util.ArrayList()
+
+    def total():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = context._jsc.sc().statusStore().stageList(none, False, False, context._gateway.new_array(jvm.double, 0), none)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before, out = total(), make()
+    return out, sum(n for k, n in total().items() if k not in before)
+
+
+def test_near_duplicates_of_the_pipeline_shuffle_few_texts(spark, sf_dir):
+    rng = random.Random(5)
+    texts = {d: " ".join(f"{rng.getrandbits(60):015x}" for _ in range(300)) for d in range(400)}
+    texts |= {1000 + d: texts[d] + " end" for d in range(5)} | {2000: texts[7]}
+    docs = spark.createDataFrame([*texts.items(), (1000, "another text"), (8, texts[8])], SCHEMA)
+    (kept, n) = shuffled(spark, lambda: corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect())
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([*((d, texts[d]) for d in range(400)), (1000, "another text")])
+    assert n < sum(map(len, texts.values()))
+
+
+def test_windows_of_a_checkpoint_go_once_regions_are_made(spark):
+    rng = random.Random(6)
+    rows = [(d, " ".join(f"{rng.getrandbits(60):015x}" for _ in range(500))) for d in range(500)]
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    jaccard.checkpointed(spark.range(1))
+    folder = jvm.org.apache.hadoop.fs.Path(spark._jsc.sc().getCheckpointDir().get())
+
+    def held():
+        return folder.getFileSystem(hadoop).getContentSummary(folder).getLength()
+
+    before = held()
+    links = jaccard.classes(spark.createDataFrame(rows, SCHEMA))[2]
+    assert links.isEmpty()
+    windows = 500 * 100 * 8
+    assert held() - before < windows
