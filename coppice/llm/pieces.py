@@ -25,6 +25,7 @@ import struct
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .common import checkpointed
 
 #: Texts of more characters are scanned in chunks of so many.
 CHUNK_CHARS = 1 << 16
 #: Matrices that one product of the tree takes.
 FAN = 32
-#: Entries of the caches of units and of pairs in a worker; a full cache starts anew.
-CACHED = 200_000
+#: Entries of the caches of units and of pairs in a worker.  That of pairs starts anew when it is full; of units
+#: those of the last half that was filled stay, and of these what is met again.
+CACHED = 100_000
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -76,6 +79,34 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+def _code(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _distinct(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans that cover code one of each kind, and for each span which of these it equals."""
+    _, least, of = np.unique(K.code_hashes(code, starts, ends), return_index=True, return_inverse=True)
+    n, same = ends - starts, least[of]
+    if (n == n[same]).all() and (code == code[np.arange(len(code)) - np.repeat(starts - starts[same], n)]).all():
+        return least, of
+    return np.arange(len(starts)), np.arange(len(starts))
+
+
+Tree = dict[str, tuple["Tree", str | None]]
+_LEAF: tuple[Tree, None] = ({}, None)
+
+
+def _tree(pieces: list[str], depth: int) -> Tree:
+    """The tree of sorted pieces that agree up to depth and go on."""
+    out: Tree = {}
+    for c, group in groupby(pieces, key=lambda p: p[depth]):
+        same = list(group)
+        whole = same[0] if len(same[0]) == depth + 1 else None
+        longer = same[1:] if whole else same
+        out[c] = (_tree(longer, depth + 1) if longer else _LEAF[0], whole)
+    return out
+
+
 class Vocabulary:
     """Pieces, scores and options of a merge model without character normalisation."""
 
@@ -110,7 +141,8 @@ class Vocabulary:
             raise ValueError("only merge (BPE) models are supported")
         self.bytes = [byte_ids.get(b) for b in range(256)] if len(byte_ids) == 256 else None
         self.longest = max(map(len, self.ids))
-        self.prefixes = {p[:k] for p in self.ids for k in range(2, len(p) + 1)}
+        #: Beginnings of pieces as a tree: by character, what may follow and the piece that ends there, or None.
+        self.tree: Tree = _tree(sorted(p for p in self.ids if p), 0)
         inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         alphabet = {c: k + 1 for k, c in enumerate(sorted({c for two in inside for c in two}))}
         self.kind = np.zeros(0x110000, np.uint16)
@@ -119,8 +151,10 @@ class Vocabulary:
         self.joins = np.zeros((len(alphabet) + 1, len(alphabet) + 1), bool)
         for two in inside:
             self.joins[alphabet[two[0]], alphabet[two[1]]] = True
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[str | None, dict[str, bool]] = {}
+        self._n_pairs = 0
         self._units: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merge rule itself, for the short strings that pairs are: best score first, then leftmost."""
@@ -138,13 +172,15 @@ class Vocabulary:
 
     def fits(self, before: str | None, token: str) -> bool:
         """Whether the step has weight 0."""
-        known = self._pairs.get((before, token))
+        known = self._pairs.get(before, {}).get(token)
         if known is None:
-            if len(self._pairs) > CACHED:
+            if self._n_pairs > CACHED:
                 self._pairs.clear()
+                self._n_pairs = 0
             # a first token must be what merging gives for its own characters
             known = self.merged((before or "") + token) == ([before, token] if before else [token])
-            self._pairs[before, token] = known
+            self._pairs.setdefault(before, {})[token] = known
+            self._n_pairs += 1
         return known
 
     def path(self, text: str, start: int, first: str | None, stop: int) -> list[str | None]:
@@ -152,20 +188,26 @@ class Vocabulary:
 
         The path to a place is unique, so one token a place is the whole state.
         """
-        ids, begins_piece, fits, pairs = self.ids, self.prefixes, self.fits, self._pairs
+        tree, fits, pairs = self.tree, self.fits, self._pairs
         last: list[str | None] = [None] * (stop + 1)
+        none: dict[str, bool] = {}
         for begin in range(start, stop):
             before = first if begin == start else last[begin]
             if before is None and begin > start:
                 continue
-            for end in range(begin + 1, stop + 1):
-                token = text[begin:end]
-                if end - begin > 1 and token not in begins_piece:
-                    break  # no piece goes on like this
-                if last[end] is None and (token in ids or end == begin + 1):
-                    known = pairs.get((before, token))
+            after = pairs.get(before, none).get
+            # a character is a token even if it is no piece
+            token = text[begin]
+            follow, end = tree.get(token, _LEAF)[0], begin
+            while True:
+                end += 1
+                if token is not None and last[end] is None:
+                    known = after(token)
                     if known or (known is None and fits(before, token)):
                         last[end] = token
+                if end == stop or (node := follow.get(text[end])) is None:
+                    break  # no piece goes on like this
+                follow, token = node
         return last
 
     def token_ids(self, token: str) -> list[int]:
@@ -185,17 +227,22 @@ class Vocabulary:
         """Ids, as int32 bytes, of a text that stands between places where no piece spans."""
         found = self._units.get(text)
         if found is None:
-            if len(self._units) > CACHED:
-                self._units.clear()
-            tokens = self.back(self.path(text, 0, None, len(text)), 0, len(text))
-            found = np.array([i for t in tokens for i in self.token_ids(t)], np.int32).tobytes()
+            found = self._older.get(text)
+            if found is None:
+                tokens = self.back(self.path(text, 0, None, len(text)), 0, len(text))
+                found = np.array([i for t in tokens for i in self.token_ids(t)], np.int32).tobytes()
             if len(text) <= 64:
+                if len(self._units) >= CACHED // 2:
+                    self._older, self._units = self._units, {}
                 self._units[text] = found
         return found
 
-    def cuts(self, text: str, firsts: np.ndarray | None = None) -> np.ndarray:
+    def cuts(self, text: str) -> np.ndarray:
         """Places where a unit starts."""
-        kind = self.kind[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        return self._starts(_code(text))
+
+    def _starts(self, code: np.ndarray, firsts: np.ndarray | None = None) -> np.ndarray:
+        kind = self.kind[code]
         new = np.empty(len(kind), bool)
         new[:1] = True
         new[1:] = ~self.joins[kind[:-1], kind[1:]]
@@ -208,21 +255,32 @@ class Vocabulary:
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and where each text's ids start and the last end.  One chunk each."""
+        return self._encoded(texts)[:2]
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, bool]:
+        """The same, and whether all distinct units decode to themselves, as then all texts do."""
         ready = [self.prepared(t) for t in texts]
         lengths = np.array([len(t) for t in ready], np.int64)
         joined = "".join(ready)
         offsets = np.zeros(len(ready) + 1, np.int64)
         np.cumsum(lengths, out=offsets[1:])
         if not joined:
-            return np.zeros(0, np.int32), np.zeros(len(ready) + 1, np.int64)
-        starts = self.cuts(joined, offsets[:-1][lengths > 0])
-        at = [*starts.tolist(), len(joined)]
+            return np.zeros(0, np.int32), np.zeros(len(ready) + 1, np.int64), True
+        code = _code(joined)
+        starts = self._starts(code, offsets[:-1][lengths > 0])
+        ends = np.append(starts[1:], len(code))
+        least, of = _distinct(code, starts, ends)
         known, unit = self._units, self.unit
-        found = [known.get(u) or unit(u) for u in map(joined.__getitem__, map(slice, at, at[1:]))]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        total = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(sizes, out=total[1:])
-        return np.frombuffer(b"".join(found), np.int32), total[np.searchsorted(starts, offsets)]
+        units = list(map(joined.__getitem__, map(slice, starts[least].tolist(), ends[least].tolist())))
+        found = [known.get(u) or unit(u) for u in units]
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, first = np.frombuffer(b"".join(found), np.int32), np.cumsum(n) - n
+        total = np.zeros(len(of) + 1, np.int64)
+        np.cumsum(n[of], out=total[1:])
+        ids = flat[np.arange(total[-1]) - np.repeat(total[:-1] - first[of], n[of])]
+        # only an unknown character does not show itself, and what it shows is longer than any
+        shown = b"".join(map(self.shown.__getitem__, flat.tolist())) == "".join(units).replace(SPACE, " ").encode()
+        return ids, total[np.searchsorted(starts, offsets)], shown
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
@@ -362,8 +420,8 @@ def _encode_short(shared):
                 start = sizes[first - 1] if first else 0
                 last = max(first + 1, int(np.searchsorted(sizes, start + (1 << 18), "right")))
                 texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
-                ids, offsets = v.encode_all(texts)
-                same = [v.decode(ids[a:b].tolist()) == t.replace(SPACE, " ") for t, a, b in zip(texts, offsets, offsets[1:])]
+                ids, offsets, shown = v._encoded(texts)
+                same = [shown or v.decode(ids[a:b].tolist()) == t.replace(SPACE, " ") for t, a, b in zip(texts, offsets, offsets[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(same)], ["doc_id", "ids", "round_trip"])
                 first = last
 

@@ -425,3 +425,16 @@ def test_windows_of_a_checkpoint_go_once_regions_are_made(spark):
     assert links.isEmpty()
     windows = 500 * 100 * 8
     assert held() - before < windows
+
+
+def test_units_of_a_slice_are_looked_up_once_each(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHED", 4)
+    with open(pieces.MODEL, "rb") as file:
+        v = pieces.Vocabulary(file.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    calls, unit = [], v.unit
+    monkeypatch.setattr(v, "unit", lambda text: calls.append(text) or unit(text))
+    texts = ["one two, three four. five six; seven\n" * 50, "", "seven six five ☃\U0001f600 " * 40, "seven"]
+    ids, offsets = v.encode_all(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t) for t in texts]
+    assert len(calls) == len(set(calls))
