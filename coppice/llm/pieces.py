@@ -42,7 +42,7 @@ CHUNK_CHARS = 1 << 16
 FAN = 32
 #: Entries of the caches of units and of pairs in a worker.  That of pairs starts anew when it is full; of units
 #: those of the last half that was filled stay, and of these what is met again.
-CACHED = 100_000
+CACHED = 140_000
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
