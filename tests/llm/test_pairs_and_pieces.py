@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -176,6 +177,16 @@ def test_extension_goes_over_indels():
         assert sum(n for _, _, n in chains.align(d, s, [seed])) == 59
 
 
+def test_chains_aligned_together_are_aligned_as_alone():
+    rng = random.Random(6)
+    texts = [[rng.randrange(6) if rng.random() < 0.2 else k for k in range(rng.choice((1, 9, 60, 3000)))] for _ in range(30)]
+    sides = [[array("q", t) for t in texts], [array("q", t + t[3:40]) for t in texts]]
+    jobs = [(k, p, [(0, 0, 1)]) for k in range(30) for p in range(30)] + [(k, k, [(len(texts[k]) // 2, len(texts[k]) // 2, 1)]) for k in range(30)]
+    together = chains.align_all(*sides, jobs)
+    assert together == [chains.align(texts[k], list(sides[1][p]), segments) for k, p, segments in jobs]
+    assert all(texts[k][x : x + n] == list(sides[1][p][y : y + n]) for (k, p, _), runs in zip(jobs, together) for x, y, n in runs)
+
+
 def test_matches_over_batch_borders():
     rows = sorted((int(s), int(q), int(d), int(a)) for s, q, d, a in np.random.default_rng(5).integers(0, (3, 2, 6, 6), (150, 4)))
     wanted = []
