@@ -229,6 +229,14 @@ def test_hot_seeds_are_dealt_over_ranges_of_documents(spark, monkeypatch):
     assert found[1] == found[2048] == [(d, 40, 100) for d in range(1, 90)]
 
 
+def test_ranges_of_documents_are_the_same_however_rows_are_dealt(spark):
+    frame = spark.range(20_000).selectExpr("id * id as doc_id")
+    cuts = {chains._cuts(f) for f in (frame, frame.repartition(7), frame.orderBy(frame.doc_id.desc()))}
+    assert len(cuts) == 1 and len(bounds := cuts.pop()) == chains.PARTS - 1
+    held = np.histogram(np.arange(20_000) ** 2, [-1, *bounds, 20_000**2])[0]
+    assert held.min() > 100 and held.max() < 700
+
+
 def test_accepted_pieces_equal_brute_force():
     how, rng = chains.Chaining(min_words=6), np.random.default_rng(3)
     for _ in range(300):
